@@ -1,0 +1,190 @@
+"""Runs of identical or near-identical consecutive events, collapsed to one event each.
+
+Events are deduplicated, given the canonical id of their object, and range partitioned by
+(source, time, log position) with sampled quantiles, so that a source holding a third of the log
+spreads over many tasks. Within a block of the sorted rows a run is where the row number within
+the source minus the row number within (source, type, canonical object) is constant; an exact
+check of neighbours then splits at gaps in time and joins objects that are the same by another
+rule. Runs inside a block are final; the first and last run of each block (at most two a block)
+go on to a small stitch.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracewright.session import cut
+
+NO_ATTR = ("", "null", "none", "<unknown>")
+GAP_NS = 60_000_000_000
+BLOCK_ROWS = 250_000
+
+
+def object_groups(entities: DataFrame) -> DataFrame:
+    """(dstid, by_uuid, by_look): for entities that share an object with another, its group's smallest id.
+
+    by_uuid: one uuid under several ids. by_look: files whose attributes are equal once every run
+    of the digits 0-9 is one sign, and sockets of exactly four fields that are equal in all but
+    the second. Null attributes and the stand-ins of ``NO_ATTR`` make nothing equal. Entities
+    that share nothing aren't listed.
+    """
+    e = entities.where(F.col("entity_id").isNotNull()).select("entity_id", "uuid", "cls", "attr")
+    real = ~F.col("attr").isin(*NO_ATTR)
+    four = F.split("attr", ",", -1)
+    look = F.when(real & (F.col("cls") == "file"), F.concat(F.lit("f"), F.regexp_replace("attr", "[0-9]+", "\u0001"))).when(
+        real & (F.col("cls") == "socket") & (F.size(four) == 4),
+        F.concat(F.lit("s"), F.concat_ws("\u0001", four[0], four[2], four[3])),
+    )
+    keys = e.select(
+        "entity_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("rule"), F.col("uuid").alias("key")),
+                F.struct(F.lit(2).alias("rule"), look.alias("key")),
+            )
+        ),
+    ).where(F.col("key").isNotNull())
+    shared = keys.groupBy("rule", "key").agg(F.min("entity_id").alias("rep"), F.max("entity_id").alias("hi")).where("hi > rep")
+    return (
+        keys.join(shared, ["rule", "key"])
+        .groupBy(F.col("entity_id").alias("dstid"))
+        .agg(F.min(F.when(F.col("rule") == 1, F.col("rep"))).alias("by_uuid"), F.min(F.when(F.col("rule") == 2, F.col("rep"))).alias("by_look"))
+    )
+
+
+def _changed(*cols: np.ndarray) -> np.ndarray:
+    """True where any column differs from the row before; True at the first row."""
+    out = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    out[:1] = True
+    return out
+
+
+def _block_runs(t: pa.Table, gap_ns: int, min_run: int) -> pa.RecordBatch:
+    src, dst, ts, seq = (t[c].to_numpy() for c in ("srcid", "dstid", "ts", "seq"))
+    kinds = t["etype"].combine_chunks()
+    ety = np.asarray(kinds.dictionary_encode().indices)
+    uuid = t["by_uuid"].fill_null(-1).to_numpy()
+    look = t["by_look"].fill_null(-1).to_numpy()
+    has_u, has_l = (np.asarray(t[c].is_valid()) for c in ("by_uuid", "by_look"))
+    rule = np.where(has_l, 2, np.where(has_u, 1, 0))
+    rep = np.where(has_l, look, np.where(has_u, uuid, dst))
+    n = len(src)
+    value = pd.DataFrame({"s": src, "e": ety, "r": rule, "o": rep}).groupby(["s", "e", "r", "o"], sort=False)
+    code = value.ngroup().to_numpy()
+    row = np.arange(n) - value.cumcount().to_numpy()  # row within source, less row within value; the source's own start is constant
+    start = _changed(code, row)
+    near = np.zeros(n, bool)
+    near[1:] = (src[1:] == src[:-1]) & (ety[1:] == ety[:-1]) & (ts[1:] - ts[:-1] <= gap_ns)
+    other = np.zeros(n, bool)  # the same object by uuid though its looks differ
+    other[1:] = has_u[1:] & has_u[:-1] & (uuid[1:] == uuid[:-1])
+    start = (start & ~(near & other)) | ~near
+    first = np.flatnonzero(start)
+    last = np.r_[first[1:], n] - 1
+    size = last - first + 1
+    edge_first, edge_last = first == 0, last == n - 1
+    keep = np.flatnonzero((size >= min_run) | edge_first | edge_last)
+    f, z = first[keep], last[keep]
+
+    def ids(x: np.ndarray, ok: np.ndarray) -> pa.Array:
+        return pa.array(x, pa.int64(), mask=~ok)
+
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(src[f]), kinds.take(pa.array(f)), pa.array(dst[f]), pa.array(ts[f]), pa.array(seq[f]),
+            ids(uuid[f], has_u[f]), ids(look[f], has_l[f]), pa.array(dst[z]), pa.array(ts[z]),
+            ids(uuid[z], has_u[z]), ids(look[z], has_l[z]), pa.array(size[keep].astype("int64")),
+            pa.array(edge_first[keep]), pa.array(edge_last[keep]),
+        ],
+        names=RUN_FIELDS.fieldNames(),
+    )
+
+
+RUN_FIELDS = T.StructType(
+    [T.StructField("srcid", T.LongType()), T.StructField("etype", T.StringType())]
+    + [T.StructField(n, T.LongType()) for n in ("dstid", "first_ts", "first_seq", "f_uuid", "f_look", "l_dst", "last_ts", "l_uuid", "l_look", "n_events")]
+    + [T.StructField(n, T.BooleanType()) for n in ("at_first", "at_last")]
+)
+
+
+def _in_blocks(gap_ns: int, min_run: int, block_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= block_rows:
+                yield _block_runs(pa.Table.from_batches(held).combine_chunks(), gap_ns, min_run)
+                held, rows = [], 0
+        if held:
+            yield _block_runs(pa.Table.from_batches(held).combine_chunks(), gap_ns, min_run)
+
+    return run
+
+
+def _stitch(edges: DataFrame, gap_ns: int, min_run: int) -> DataFrame:
+    """Join the last run of a block with the first of the next where they continue each other."""
+    w = Window.partitionBy("srcid").orderBy("first_ts", "first_seq")
+
+    def prev(c: str):
+        return F.lag(c).over(w)
+
+    same = (
+        (prev("l_dst") == F.col("dstid"))
+        | F.coalesce(prev("l_uuid") == F.col("f_uuid"), F.lit(False))
+        | F.coalesce(prev("l_look") == F.col("f_look"), F.lit(False))
+    )
+    goes_on = (
+        F.col("at_first") & prev("at_last") & (prev("etype") == F.col("etype")) & (F.col("first_ts") - prev("last_ts") <= gap_ns) & same
+    )
+    numbered = edges.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn(
+        "run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    head = F.min(F.struct("first_ts", "first_seq", "etype", "dstid")).alias("h")
+    return (
+        numbered.groupBy("srcid", "run")
+        .agg(head, F.max("last_ts").alias("last_ts"), F.sum("n_events").alias("n_events"))
+        .where(F.col("n_events") >= min_run)
+        .select("srcid", "h.etype", "h.dstid", "h.first_seq", "h.first_ts", "last_ts", "n_events")
+    )
+
+
+def collapse_runs(
+    events: DataFrame, entities: DataFrame, gap_ns: int = GAP_NS, min_run: int = 1, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """One row for each run: srcid, etype, dstid, first_seq, first_ts, last_ts, n_events, duration_ns.
+
+    Rows with a null in srcid, etype, dstid, ts or seq, or ts <= 0, take no part; of rows equal in
+    srcid, etype, dstid and ts only the smallest seq does. Within a source, by ts then seq,
+    neighbours continue a run if etype is equal, ts differs by at most ``gap_ns`` and their objects
+    are the same (``object_groups``). etype, dstid and first_seq are those of the run's first row.
+    Runs below ``min_run`` events are left out. Empty tables give an empty result.
+    """
+    rows = (
+        events.where(F.col("srcid").isNotNull() & F.col("etype").isNotNull() & F.col("dstid").isNotNull() & F.col("seq").isNotNull() & (F.col("ts") > 0))
+        .groupBy("srcid", "etype", "dstid", "ts")
+        .agg(F.min("seq").alias("seq"))
+    )
+    known = cut(object_groups(entities), "objects")
+    ranged = (
+        rows.join(known, "dstid", "left")
+        .select("srcid", "etype", "dstid", "ts", "seq", "by_uuid", "by_look")
+        .repartitionByRange("srcid", "ts", "seq")
+        .sortWithinPartitions("srcid", "ts", "seq")
+    )
+    found = cut(ranged.mapInArrow(_in_blocks(gap_ns, min_run, block_rows), RUN_FIELDS), "runs")
+    edge = F.col("at_first") | F.col("at_last")
+    inner = found.where(~edge & (F.col("n_events") >= min_run)).select(
+        "srcid", "etype", "dstid", "first_seq", "first_ts", "last_ts", "n_events"
+    )
+    return inner.unionByName(_stitch(found.where(edge), gap_ns, min_run)).withColumn("duration_ns", F.col("last_ts") - F.col("first_ts"))
