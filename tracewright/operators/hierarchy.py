@@ -22,6 +22,7 @@ from tracewright.session import cut
 
 TREE, CYCLE, UNDER = "tree", "cycle", "under_cycle"
 LINK_TYPES = ("EVENT_FORK", "EVENT_CLONE")
+LOCAL_NODES = 250_000
 
 
 def parent_table(
@@ -180,18 +181,20 @@ def _loops(links: DataFrame) -> DataFrame:
         step = step.drop("moved")
 
 
-def resolve_forest(parents: DataFrame, with_path: bool = False) -> DataFrame:
+def resolve_forest(parents: DataFrame, with_path: bool = False, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """Root, depth and link state of every node of a (node, parent) table.
 
     Output: entity_id, root_id, depth, link_state, and with ``with_path`` the ids from the root
     down to the node. 'tree': root_id is the ancestor without a parent. 'cycle': the node is its
     own ancestor; root_id is the smallest id of its loop, depth 0, path the node alone.
     'under_cycle': depth counts the steps to the loop, the path starts at the loop's node that is
-    reached first. An empty table gives an empty result.
+    reached first. ``local_nodes`` is about how many nodes one forest holds in memory. An empty
+    table gives an empty result.
     """
     parents = cut(parents, "parents")
+    spread = parents.repartition(max(1, -(-parents.count() // local_nodes)), "node")
     schema = "node long, anchor long, off long, state string" + (", path array<long>" if with_path else "")
-    level = cut(parents.mapInArrow(_local(with_path), schema), "forest")
+    level = cut(spread.mapInArrow(_local(with_path), schema), "forest")
     done, rest = _merge(level, with_path)
     if rest is not None:
         links = cut(parents.join(rest.select("node"), "node", "left_semi"), "links")
