@@ -15,18 +15,20 @@ def with_position(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
 
     Rows are range partitioned and sorted; positions within partitions are shifted by the sizes of
     the partitions before. Only those sizes, one number a partition, pass through the driver. Rows
-    equal in all order columns follow one another in no defined order.
+    equal in all order columns follow one another in no defined order. An existing column ``name``
+    is replaced.
     """
+    kept = [c for c in df.columns if c != name]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut(ranged.withColumn("_id", F.monotonically_increasing_id()), "placed")
-    part = F.shiftright("_id", 33)
+    placed = cut(ranged.withColumn("__tw_id", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__tw_id", 33)
     sizes = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
     starts = list(accumulate((n for _, n in sizes), initial=0))
     spark = df.sparkSession
-    offsets = spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "_part long, _start long")
+    offsets = spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "__tw_part long, __tw_start long")
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")  # a row per partition
-        .withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-        .select(*df.columns, name)
+        placed.withColumn("__tw_part", part)
+        .join(F.broadcast(offsets), "__tw_part")  # a row per partition
+        .withColumn(name, F.col("__tw_start") + F.col("__tw_id").bitwiseAND(F.lit((1 << 33) - 1)))
+        .select(*kept, name)
     )

@@ -72,35 +72,26 @@ def _ways(n: int, chunk: int, total: int):
     return run
 
 
-def _number(n: int, chunk: int, starts: dict[int, tuple[int, int]]):
+def _number(n: int, starts: dict[int, tuple[int, int]]):
+    """Numbers a chunk's events; starts has the first start within a chunk and its snapshot, and an end mark beyond the last chunk."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = int(key[0])
         pdf = pdf.sort_values("pos")
-        first, number = starts.get(c, (2**62, -1))
-        begun = starts[c][1] if c in starts else 0
-        out, seen = [], set()
-        now, opened = begun - 1, False
-        if c not in starts:
-            now = key_before(starts, c)
+        first, begun = starts.get(c) or (2**62, min(number for k, (_, number) in starts.items() if k > c))
+        out, seen, now = [], set(), begun - 1
         for pos, a, b in zip(pdf["pos"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist()):
-            if pos >= first and (not opened or len(seen) >= n):
-                now, opened, seen = now + 1, True, set()
-            if opened:
+            if pos == first or (pos > first and len(seen) >= n):
+                now, seen = now + 1, set()
+            if pos >= first:
                 seen.add(a)
                 seen.add(b)
             out.append(now)
-        pdf["snapshot_id"] = out
-        return pdf.drop(columns=["chunk", "src", "dst"])
+        return pd.DataFrame({"pos": pdf["pos"].to_numpy(), "snapshot_id": out})
 
     return run
 
 
-def key_before(starts: dict[int, tuple[int, int]], chunk: int) -> int:
-    """The snapshot that covers a chunk in which none begins."""
-    later = [number for c, (_, number) in starts.items() if c > chunk]
-    return min(later) - 1 if later else max(number for _, number in starts.values())
-
-
 def cut_snapshots(events: DataFrame, order: list[str], n: int = SNAPSHOT_NODES, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
     """``events`` with pos (0-based log position) and snapshot_id (from 0).
 
@@ -129,11 +120,8 @@ def cut_snapshots(events: DataFrame, order: list[str], n: int = SNAPSHOT_NODES,
         if not short:
             break
         chunk *= 2  # some snapshot is longer than a chunk
-    numbered = (
-        slim.withColumn("chunk", own)
-        .groupBy("chunk")
-        .applyInPandas(_number(n, chunk, starts), "pos long, snapshot_id int")
-    )
+    starts[total // chunk + 1] = (total, number)
+    numbered = slim.withColumn("chunk", own).groupBy("chunk").applyInPandas(_number(n, starts), "pos long, snapshot_id int")
     return placed.join(numbered, "pos")
 
 

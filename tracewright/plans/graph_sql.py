@@ -351,7 +351,7 @@ SELECT uuid, cls, row_number() OVER (ORDER BY k, uuid) - 1 AS new_id FROM one"""
 FROM entities WHERE cls = 'socket' AND {_REAL_ATTR} AND len(string_split(attr, ',')) = 4""",
         "snapshot_assign": _tail("SELECT seq, snapshot_id FROM snap"),
         "snapshot_edges": _tail("SELECT * FROM edges"),
-        "snapshot_node_pos": _tail("SELECT * FROM nodes"),
+        "snapshot_node_pos": _tail("SELECT snapshot_id, node, CAST(pos AS INTEGER) AS pos FROM nodes"),
         "chunk_partition": _tail("SELECT snapshot_id, node, label FROM members"),
         "membership_last": _tail("SELECT * FROM last"),
         "membership_multi": _tail("SELECT node, count(*) AS n_labels, string_agg(label, ' ' ORDER BY snapshot_id) AS labels FROM members GROUP BY node"),
