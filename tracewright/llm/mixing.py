@@ -92,7 +92,7 @@ def shard_counts(quota: np.ndarray, shard_blocks: int, seed: int) -> np.ndarray:
             got += np.minimum(rng.multinomial(need, open_ / open_.sum()), open_)
         rows.append(got)
         left -= got
-    return np.array(rows, np.int64).reshape(-1, len(quota))
+    return np.array(rows, np.int64).reshape(len(rows), len(quota))
 
 
 def source_blocks(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
@@ -103,7 +103,7 @@ def source_blocks(documents: DataFrame, sources: list[str], vocabulary: str = VO
     """
     rows = documents.where(F.col("source").isin(*sources) & (F.length("text") > 0)).select("source", "doc_id", "text")
     spread = max(1, rows.count() // CHUNK_DOCS)
-    hashed = F.xxhash64("doc_id", F.lit(seed))
+    hashed = F.xxhash64("doc_id", "n_tokens", F.lit(seed))
     coded = cut(
         with_tokens(rows, "text", vocabulary, ids=True).where("n_tokens > 0").withColumn("chunk", F.pmod(hashed, F.lit(spread))), "coded"
     )
@@ -134,6 +134,14 @@ def source_blocks(documents: DataFrame, sources: list[str], vocabulary: str = VO
     return parts.groupBy("source", "block_index").agg(F.flatten(F.transform(whole, lambda x: x["part"])).alias("tokens"))
 
 
+def _key(*parts: int) -> int:
+    """One number from several, for keying a permutation."""
+    out = 0
+    for p in parts:
+        out = (out * 6364136223846793005 + p + 1442695040888963407) % 2**64
+    return out
+
+
 _SLOTS = pa.schema([("out_shard", pa.int32()), ("slot", pa.int64()), ("source", pa.string()), ("repeat_no", pa.int32()), ("block_index", pa.int64())])
 
 
@@ -146,8 +154,8 @@ def _slots(names: list[str], blocks: list[int], seed: int, step: int = 50_000):
                     turn, inner = np.divmod(start + i, blocks[k])
                     index = np.empty_like(inner)
                     for t in np.unique(turn):
-                        index[turn == t] = permuted(inner[turn == t], blocks[k], hash((seed, k, int(t))) & (2**63 - 1))
-                    place = permuted(base + i, size, hash((seed, -1, shard)) & (2**63 - 1))
+                        index[turn == t] = permuted(inner[turn == t], blocks[k], _key(seed, k, int(t)))
+                    place = permuted(base + i, size, _key(seed, len(blocks), shard))
                     cols = (np.full(len(i), shard), place, [names[k]] * len(i), turn, index)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SLOTS)], schema=_SLOTS)
 

@@ -9,6 +9,7 @@ global packing is at most its last, partly filled containers.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +27,8 @@ class RoomTree:
 
     def __init__(self, capacity: int):
         self.leaves = 1 << max(1, capacity.bit_length())
-        self.count = [0] * (2 * self.leaves)
+        # beyond what a text model's context asks for, only the nodes that are touched are kept
+        self.count = [0] * (2 * self.leaves) if capacity <= 1 << 20 else defaultdict(int)
         self.bins: dict[int, list[int]] = {}
 
     def add(self, room: int, container: int) -> None:
@@ -77,7 +79,7 @@ def _pack_shard(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
     capacity = int(items["capacity_tokens"].iloc[0])
     items = items.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True], na_position="first")
     items["container_id"] = best_fit_decreasing(items["n_tokens"].tolist(), capacity)
-    items["container_id"] += int(key[1]) << 32
+    items["container_id"] += int(key[2]) << 32
     return items[["profile", "capacity_tokens", "container_id", "doc_id", "piece_no", "tok_start", "n_tokens"]]
 
 
@@ -114,7 +116,7 @@ def pack(documents: DataFrame, profiles: DataFrame, vocabulary: str = VOCABULARY
     schema = "profile string, capacity_tokens int, container_id long, doc_id long, piece_no int, tok_start long, n_tokens long"
     packed = (
         pieces.where("n_tokens > 0")
-        .groupBy("profile", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)).alias("shard"))
+        .groupBy("profile", "capacity_tokens", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)).alias("shard"))
         .applyInPandas(_pack_shard, schema)
     )
     nothing = pieces.where("n_tokens = 0").select(
