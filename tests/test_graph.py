@@ -166,7 +166,7 @@ def test_extraction_quirks(spark):
     records = spark.createDataFrame([(0, i, t) for i, t in enumerate(LINES)], "file_ord int, line_off long, value string")
     fast, strict, by_name = PROFILES["cadets_fast"], PROFILES["theia_e3"], PROFILES["theia_fast"]
     assert rows(extract.subjects(records, fast), "uuid", "attr") == [("L" * 64, "null"), ("S1", "null")]
-    assert rows(extract.subjects(records, strict), "uuid", "attr") == [("S1", "null")]
+    assert rows(extract.subjects(records, strict), "uuid", "attr") == [("S1", "old")]
     assert rows(extract.files(records, fast), "uuid", "attr") == [("F1", "/first"), ("F2", "")]
     assert rows(extract.files(records, by_name), "uuid", "attr") == [("F1", "/own"), ("F2", "")]
     assert rows(extract.sockets(records, fast), "uuid", "attr") == [("N1", "a,1,b,2")]
@@ -215,3 +215,40 @@ def test_matrices(spark):
     assert rows(codec.reorder_vector(codec.reorder_vector(v, perm), perm, reverse=True)) == rows(v)
     assert rows(codec.partition_matrix(cells, 1)) == [(1, 0, 0, 2.0), (1, 0, 1, 1.0), (2, 2, 0, 1.0)]
     assert rows(codec.at_least(cells, 2)) == [(0, 1, 2.0)]
+
+
+def test_small_readers(spark, tmp_path):
+    from tracewright.operators.storage import table_sizes, write_table
+
+    (tmp_path / "e.txt").write_text("1 X 2 9\nbad\n3 Y 4 9\n")
+    assert rows(raw_log.read_edge_list(spark, str(tmp_path / "e.txt"))) == [(1, 2), (3, 4)]
+    (tmp_path / "map.txt").write_text("/usr:$0$\nnone\n/lib:$1$\n")
+    assert raw_log.read_dictionary(spark, str(tmp_path / "map.txt")) == [("/usr", "$0$"), ("/lib", "$1$")]
+    with pytest.raises(ValueError):
+        raw_log.read_dictionary(spark, str(tmp_path / "map.txt"), strict=True)
+    (tmp_path / "b.txt").write_text("0.1 1000000000000000*0*2#0000000000000001*1*0\n")
+    blocks = codec.parse_block_text(raw_log.read_block_text(spark, str(tmp_path / "b.txt")))
+    assert rows(blocks) == [("0.1", 0, 2, 32768), ("0.1", 1, 0, 1)]
+    wanted = spark.createDataFrame([("0.1",), ("9.9",)], "label string")
+    assert ("9.9", None, None, None) in rows(raw_log.blocks_of(wanted, blocks))
+    assert raw_log.list_files(spark, str(tmp_path)) == ["b.txt", "e.txt", "map.txt"]
+    write_table(wanted, str(tmp_path / "w"))
+    sizes = table_sizes({"w": spark.read.parquet(str(tmp_path / "w"))}).collect()
+    assert sizes[0]["n_rows"] == 2 and sizes[0]["n_bytes"] > 0
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([(1, 3, None), (2, 4, 5)], "poi int, a int, b int")
+    assert rows(scalar.metric_summary(df, ["a", "b"])) == [("a", 3.0, 4.0, 4.0, 0), ("b", 5.0, 5.0, 5.0, 1)]
+    s = spark.createDataFrame([(1, 3, 2, 10, 5), (2, 4, None, 9, 4), (3, 1, 1, 8, 5)], "poi long, last_hop int, full_recall_hop int, final_nodes long, final_covered long")
+    assert rows(traverse.median_poi(s), "poi") == [(1,)]
+    assert rows(traverse.median_poi(s.where("poi = 2")), "poi") == [(2,)]
+    m = spark.createDataFrame([(0, 1, 1.0), (2, 1, 1.0), (0, 0, 1.0), (1, 5, 1.0)], "i long, j long, v double")
+    assert rows(codec.degree_rank(m)) == [(0, 0), (1, 2), (5, 1)]
+
+
+def test_plain_restore_loses_what_coding_confused(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("/etc1/lib",), ("/usr/x",)], "t string").select("t", codec.restore(codec.compress(F.col("t"))).alias("back"))
+    assert rows(df) == [("/etc1/lib", "$2/lib1$"), ("/usr/x", "/usr/x")]

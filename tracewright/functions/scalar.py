@@ -40,6 +40,14 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return run.where(hit).select(*keys, "n", F.col(value).alias("upper_median"))
 
 
+def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, lowest, median, highest, n_none) of several columns; the median is the upper one."""
+    pairs = df.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))))
+    ends = pairs.groupBy("metric").agg(F.min("v").alias("lowest"), F.max("v").alias("highest"), F.count_if(F.col("v").isNull()).alias("n_none"))
+    middle = upper_median(pairs, ["metric"], "v").select("metric", F.col("upper_median").alias("median"))
+    return ends.join(middle, "metric", "left").select("metric", "lowest", "median", "highest", "n_none")
+
+
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, lowest, highest, mean, deviation): deviation is the population's."""
     return df.groupBy(*keys).agg(

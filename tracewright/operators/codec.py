@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.ordering import with_position
+
 BLOCK = 4
 
 #: The dictionary, in its order; entry i is replaced by '$i$'.
@@ -141,16 +143,16 @@ def slashburn(n: int, edges: list[tuple[int, int]], k: int | None = None, greedy
 
 def slashburn_order(members: DataFrame, intra: DataFrame, k: int | None = None) -> DataFrame:
     """(label, node, new_idx): the SlashBurn order of each community, one community a group."""
-    nodes = members.select("label", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"))
+    nodes = members.select("label", F.col("node").alias("u"), F.col("node").alias("v"), F.lit(False).alias("edge"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf.loc[pdf["v"].isna(), "u"].tolist())
+        ids = sorted(pdf.loc[~pdf["edge"], "u"].tolist())
         at = {x: i for i, x in enumerate(ids)}
-        own = pdf[pdf["v"].notna()]
-        order, _ = slashburn(len(ids), [(at[u], at[int(v)]) for u, v in zip(own["u"].tolist(), own["v"].tolist())], k)
+        own = pdf[pdf["edge"]]
+        order, _ = slashburn(len(ids), [(at[u], at[v]) for u, v in zip(own["u"].tolist(), own["v"].tolist())], k)
         return pd.DataFrame({"label": key[0], "node": [ids[i] for i in order], "new_idx": range(len(order))})
 
-    return nodes.unionByName(intra.select("label", "u", "v")).groupBy("label").applyInPandas(run, "label string, node long, new_idx int")
+    return nodes.unionByName(intra.select("label", "u", "v", F.lit(True).alias("edge"))).groupBy("label").applyInPandas(run, "label string, node long, new_idx int")
 
 
 def compress(c: Column) -> Column:
@@ -160,6 +162,13 @@ def compress(c: Column) -> Column:
     return c
 
 
+def restore(c: Column) -> Column:
+    """Every token replaced by its entry, token by token in the same order; loses what ``compress`` made ambiguous."""
+    for i, source in enumerate(DICTIONARY):
+        c = F.replace(c, F.lit(f"${i}$"), F.lit(source))
+    return c
+
+
 def compress_exact(c: Column) -> Column:
     """As ``compress``, with the token sign itself given a token first, so that nothing is lost."""
     return compress(F.replace(c, F.lit("$"), F.lit(f"${len(DICTIONARY)}$")))
@@ -201,6 +210,13 @@ def partition_matrix(matrix: DataFrame, n: int, m: int | None = None) -> DataFra
     )
 
 
+def degree_rank(matrix: DataFrame, ascending: bool = True) -> DataFrame:
+    """(old, new): columns of a matrix in order of how many entries they hold, ties by column."""
+    degree = matrix.groupBy(F.col("j").alias("old")).agg(F.count(F.lit(1)).alias("deg"))
+    signed = degree.withColumn("key", F.col("deg") if ascending else -F.col("deg"))
+    return with_position(signed, "key", "old", name="new").select("old", "new")
+
+
 def at_least(matrix: DataFrame, t: float) -> DataFrame:
     """The entries of magnitude ``t`` or more."""
     return matrix.where(F.abs("v") >= t)

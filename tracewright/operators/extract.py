@@ -36,7 +36,8 @@ def _ref(name: str, p: Profile) -> str:
 def event_tuples(records: DataFrame, p: Profile) -> DataFrame:
     """(file_ord, line_off, src_uuid, etype, dst_uuid, ts_ns, path, exec): considered events with both ends.
 
-    ts_ns is 0 where the line has no timestamp followed by a comma, or one that isn't a number. path and exec are null where absent.
+    ts_ns is 0 where the line has no timestamp followed by a comma, or one that isn't a number. path
+    and exec (the first that follows the subject) are null where absent.
     """
     lines = classified(records, p).where(F.col("rec_kind") == "Event")
     if p.drop_flows:
@@ -49,7 +50,7 @@ def event_tuples(records: DataFrame, p: Profile) -> DataFrame:
         first_match(_ref("predicateObject", p)).alias("dst_uuid"),
         F.coalesce(first_match('"timestampNanos":(.*?),').try_cast("long"), F.lit(0)).alias("ts_ns"),
         first_match(r'"predicateObjectPath":\{"string":"(.*?)"').alias("path"),
-        first_match('"exec":"(.*?)"').alias("exec"),
+        first_match(_ref("subject", p) + '.*?"exec":"(.*?)"', 2).alias("exec"),
     )
     return found.where(F.col("etype").isin(*p.types) & F.col("src_uuid").isNotNull() & F.col("dst_uuid").isNotNull())
 
@@ -68,20 +69,30 @@ def _members(records: DataFrame, p: Profile, cls: str, attr: Column) -> DataFram
     return lines.select(first_match(_own(cls, p)).alias("uuid"), _at(), attr.alias("name")).where("uuid is not null")
 
 
+def _named(rows: DataFrame, p: Profile) -> DataFrame:
+    """Rows with a name that counts as one."""
+    rows = rows.where("name is not null")
+    return rows.where("name <> ''") if p.skip_empty else rows
+
+
 def subjects(records: DataFrame, p: Profile) -> DataFrame:
     """(uuid, attr, first_at) of the subjects; a repeated subject keeps the attribute of its last record."""
-    rule = {"cmdLine": r'"cmdLine":\{"string":"(.*?)"\}', "path": '"path":"(.*?)"'}.get(p.subject_rule)
-    rows = _members(records, p, "Subject", first_match(rule) if rule else F.lit(None).cast("string"))
-    if p.subject_rule == "exec":  # names come from events of known subjects
-        named = event_tuples(records, p).where("exec <> ''").groupBy(F.col("src_uuid").alias("uuid")).agg(F.max_by("exec", _at()).alias("name"))
-        rows = rows.drop("name").join(named, "uuid", "left")
+    if p.subject_rule == "exec_any":
+        lines = records.where(F.col("value").contains("Event"))
+        pair = _ref("subject", p) + '.*?"exec":"(.*?)"'
+        rows = _named(lines.select(first_match(pair).alias("uuid"), _at(), first_match(pair, 2).alias("name")), p)
+    else:
+        rule = {"cmdLine": r'"cmdLine":\{"string":"(.*?)"\}', "path": '"path":"(.*?)"'}.get(p.subject_rule)
+        rows = _members(records, p, "Subject", first_match(rule) if rule else F.lit(None).cast("string"))
+        if p.subject_rule == "exec":  # names come from events of known subjects
+            acted = event_tuples(records, p).where("exec is not null")
+            last = acted.groupBy(F.col("src_uuid").alias("uuid")).agg(F.max_by("exec", _at()).alias("name"))
+            rows = rows.drop("name").join(last, "uuid", "left")
+        elif p.strict:
+            rows = _named(rows, p)
     if not p.long_uuids:
         rows = rows.where(F.length("uuid") != 64)
-    stand_in = p.missing[0]
-    if p.subject_rule == "cmdLine":  # the last record wins, with or without an attribute
-        attr = F.coalesce(F.max_by(F.coalesce("name", F.lit(stand_in)), "at"), F.lit(stand_in)).alias("attr")
-    else:
-        attr = _last("name", stand_in)
+    attr = F.max_by(F.coalesce("name", F.lit(p.missing[0])), "at").alias("attr")  # the last record wins, with or without an attribute
     return rows.groupBy("uuid").agg(attr, F.min("at").alias("first_at"))
 
 
@@ -89,12 +100,21 @@ def files(records: DataFrame, p: Profile) -> DataFrame:
     """(uuid, attr, first_at) of the files, under the profile's rule for which name wins."""
     if p.file_rule in ("filename", "path"):
         rows = _members(records, p, "FileObject", first_match(f'"{p.file_rule}":"(.*?)"'))
-        return rows.groupBy("uuid").agg(_last("name", p.missing[1]), F.min("at").alias("first_at"))
+        rows = rows.where("name is not null") if p.strict else rows
+        found = rows.groupBy("uuid").agg(_last("name", p.missing[1]), F.min("at").alias("first_at"))
+        return found.where(~F.col("attr").isin(*p.unnamed)) if p.unnamed else found
     own = _members(records, p, "FileObject", F.lit(p.missing[1]))
+    if p.file_rule == "event_any":
+        lines = classified(records, p).where(F.col("rec_kind") == "Event")
+        lines = lines.where(~F.col("value").contains('"predicateObjectPath":null,') & ~F.col("value").contains("<unknown>"))
+        path = F.coalesce(first_match(r'"predicateObjectPath":\{"string":"(.*?)"'), F.lit(p.missing[1]))
+        seen = lines.select(first_match(_ref("predicateObject", p)).alias("uuid"), _at(), path.alias("name"))
+        found = seen.join(own.select("uuid").distinct(), "uuid", "left_semi").groupBy("uuid")
+        return found.agg(F.max_by("name", "at").alias("attr"), F.min("at").alias("first_at")).where(~F.col("attr").isin(*p.unnamed))
     seen = event_tuples(records, p).where("path is not null").select(F.col("dst_uuid").alias("uuid"), _at(), F.col("path").alias("name"))
     if p.file_rule == "event_first":  # first writer wins, a file record writes the stand-in
         return own.unionByName(seen).groupBy("uuid").agg(F.min_by("name", "at").alias("attr"), F.min("at").alias("first_at"))
-    named = seen.where("name <> '<unknown>'").groupBy("uuid").agg(F.max_by("name", "at").alias("name"))
+    named = seen.groupBy("uuid").agg(F.max_by("name", "at").alias("name"))
     first = own.groupBy("uuid").agg(F.min("at").alias("first_at"))
     return first.join(named, "uuid", "left").select("uuid", F.coalesce("name", F.lit(p.missing[1])).alias("attr"), "first_at")
 

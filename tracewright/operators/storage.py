@@ -47,3 +47,17 @@ def text_footprint(texts: DataFrame, order: DataFrame, entities: DataFrame) -> D
         one = one.select(F.lit(name).alias("component"), "n_rows", "n_bytes")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n_rows, n_bytes): rows, and bytes of the files that each table is read from."""
+    out = None
+    for name, df in tables.items():
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        size = 0
+        for f in df.inputFiles():
+            p = jvm.org.apache.hadoop.fs.Path(f)
+            size += p.getFileSystem(conf).getFileStatus(p).getLen()
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows", F.lit(size).cast("long").alias("n_bytes"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -46,35 +46,27 @@ def expand(pois: DataFrame, members: DataFrame, attack: DataFrame, hub: int | No
     attack = cut(attack.join(members.select("node").distinct(), "node", "left_semi"), "attack")
     goal = attack.count()
     fresh = cut(pois.join(members.withColumnRenamed("node", "poi"), "poi").select("poi", "label", F.lit(0).alias("hop")), "open")
-    opened, cand, curve = fresh, None, []
-    hop = 0
-    while fresh.limit(1).count():
+    opened, cand, hop = fresh, None, 0
+    while not fresh.isEmpty():
         found = fresh.join(members, "label").select("poi", "node").distinct()
         if cand is not None:
             found = found.join(cand, ["poi", "node"], "left_anti")
-        found = cut(found, "found")
+        found = cut(found.withColumn("hop", F.lit(hop)), "found")
         cand = found if cand is None else cand.unionByName(found)
-        labels = fresh.groupBy("poi").agg(F.count(F.lit(1)).alias("labels"))
-        hits = found.join(attack, "node", "left_semi").groupBy("poi").agg(F.count(F.lit(1)).alias("hits"))
-        nodes = found.groupBy("poi").agg(F.count(F.lit(1)).alias("nodes"))
-        row = labels.join(nodes, "poi", "left").join(hits, "poi", "left").select("poi", F.lit(hop).alias("hop"), "labels", "nodes", "hits")
-        curve.append(cut(row.fillna(0, ["nodes", "hits"]), "row"))
-        covered = curve[0].select("poi", "hits")
-        for c in curve[1:]:
-            covered = covered.unionByName(c.select("poi", "hits"))
-        done = covered.groupBy("poi").agg(F.sum("hits").alias("c")).where(F.col("c") >= goal if goal else F.lit(False)).select("poi")
         if hop == max_hop:
             break
         hop += 1
+        covered = cand.join(attack, "node", "left_semi").groupBy("poi").agg(F.count(F.lit(1)).alias("c"))
+        done = covered.where(F.col("c") >= goal if goal else F.lit(False)).select("poi")
         onward = found.join(done, "poi", "left_anti").join(doors, "node").select("poi", "label").distinct()
         fresh = cut(onward.join(opened, ["poi", "label"], "left_anti").withColumn("hop", F.lit(hop)), "open")
         opened = opened.unionByName(fresh)
-    if not curve:
-        empty = fresh.select("poi", "hop", F.lit(0).cast("long").alias("communities_open"), F.lit(0).cast("long").alias("candidate_nodes"), F.lit(0).cast("long").alias("gt_covered"))
-        return empty, opened
-    rows = curve[0]
-    for c in curve[1:]:
-        rows = rows.unionByName(c)
+    count = F.count(F.lit(1))
+    labels = opened.groupBy("poi", "hop").agg(count.alias("labels"))
+    if cand is None:
+        cand = opened.select("poi", F.col("poi").alias("node"), "hop")
+    nodes = cand.join(attack.withColumn("hit", F.lit(1)), "node", "left").groupBy("poi", "hop").agg(count.alias("nodes"), F.count("hit").alias("hits"))
+    rows = labels.join(nodes, ["poi", "hop"], "left").fillna(0, ["nodes", "hits"])
     w = Window.partitionBy("poi").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)  # at most max_hop + 1 rows
     sums = [F.sum(a).over(w).alias(b) for a, b in (("labels", "communities_open"), ("nodes", "candidate_nodes"), ("hits", "gt_covered"))]
     return rows.select("poi", "hop", *sums), opened
@@ -93,39 +85,45 @@ def curve_summary(curve: DataFrame, goal: int) -> DataFrame:
     )
 
 
+def median_poi(summary: DataFrame) -> DataFrame:
+    """The point in the middle by (hops, candidates): of those that reach full recall, else of all by their last hop.
+
+    A summary has one row per point of interest, which the sample bounds.
+    """
+    some = F.max(F.col("full_recall_hop").isNotNull()).over(Window.partitionBy())
+    pool = summary.withColumn("some", some).where(F.col("full_recall_hop").isNotNull() | ~F.col("some"))
+    w = Window.orderBy(F.coalesce("full_recall_hop", "last_hop"), "final_nodes", "poi")
+    ranked = pool.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    return ranked.where(F.col("i") == F.floor(F.col("n") / 2)).select("poi", "last_hop", "full_recall_hop", "final_nodes", "final_covered")
+
+
 def bfs(pois: DataFrame, edges: DataFrame, attack: DataFrame, max_hop: int = MAX_HOP) -> DataFrame:
     """(poi, hop, visited, gt_covered): breadth-first search on the union of all snapshot graphs.
 
     A point stops at full recall, at ``max_hop`` or when its frontier is empty, which is a hop of
     its own. edges is any (u, v); a point that isn't in the graph has no rows.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = cut(both, "adjacency")
+    both = cut(edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))).distinct(), "adjacency")
     nodes = both.select(F.col("u").alias("node")).distinct()
     attack = cut(attack.join(nodes, "node", "left_semi"), "attack")
     goal = attack.count()
     fresh = cut(pois.join(nodes.withColumnRenamed("node", "poi"), "poi", "left_semi").select("poi", F.col("poi").alias("node")), "frontier")
-    active, seen, curve, hop = fresh.select("poi"), fresh, [], 0
-    while True:
-        count = fresh.groupBy("poi").agg(F.count(F.lit(1)).alias("nodes"))
-        hits = fresh.join(attack, "node", "left_semi").groupBy("poi").agg(F.count(F.lit(1)).alias("hits"))
-        row = active.join(count, "poi", "left").join(hits, "poi", "left").fillna(0, ["nodes", "hits"])
-        curve.append(cut(row.withColumn("hop", F.lit(hop)), "row"))
-        covered = curve[0]
-        for c in curve[1:]:
-            covered = covered.unionByName(c)
-        covered = covered.groupBy("poi").agg(F.sum("hits").alias("c"))
-        going = covered.where(F.col("c") < goal if goal else F.lit(True)).select("poi")
-        going = cut(going.join(curve[-1].where("nodes > 0"), "poi", "left_semi"), "going")
-        if hop == max_hop or not going.limit(1).count():
+    fresh = fresh.withColumn("hop", F.lit(0))
+    seen, going, last, hop = fresh, fresh.select("poi"), fresh.select("poi", "hop"), 0
+    while hop < max_hop:
+        covered = seen.join(attack, "node", "left_semi").groupBy("poi").agg(F.count(F.lit(1)).alias("c"))
+        done = covered.where(F.col("c") >= goal if goal else F.lit(False)).select("poi")
+        going = cut(going.join(fresh.select("poi").distinct(), "poi", "left_semi").join(done, "poi", "left_anti"), "going")
+        if going.isEmpty():
             break
         hop += 1
-        step = fresh.join(going, "poi", "left_semi").join(both.withColumnRenamed("u", "node"), "node").select("poi", F.col("v").alias("node")).distinct()
-        fresh = cut(step.join(seen, ["poi", "node"], "left_anti"), "frontier")
-        seen, active = seen.unionByName(fresh), going
-    rows = curve[0]
-    for c in curve[1:]:
-        rows = rows.unionByName(c)
+        last = last.unionByName(going.withColumn("hop", F.lit(hop)))  # an empty frontier is a hop of its own
+        step = fresh.drop("hop").join(going, "poi", "left_semi").join(both.withColumnRenamed("u", "node"), "node")
+        step = step.select("poi", F.col("v").alias("node")).distinct()
+        fresh = cut(step.join(seen, ["poi", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
+        seen = seen.unionByName(fresh)
+    nodes = seen.join(attack.withColumn("hit", F.lit(1)), "node", "left").groupBy("poi", "hop")
+    rows = last.join(nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count("hit").alias("hits")), ["poi", "hop"], "left").fillna(0, ["nodes", "hits"])
     w = Window.partitionBy("poi").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("poi", "hop", F.sum("nodes").over(w).alias("visited"), F.sum("hits").over(w).alias("gt_covered"))
 

@@ -234,6 +234,11 @@ def queries() -> dict[str, Query]:
         "cdm18_sockets": _profile("cadets_fast", extract.sockets),
         "cdm20_subjects": _profile("cadets_e5", extract.subjects),
         "cdm20_files": _profile("theia_e5", extract.files),
+        "cdm20_files_by_event": _profile("cadets_e5", extract.files),
+        "cdm18_subjects_by_event": _profile("cadets_e3", extract.subjects),
+        "cdm18_files_by_any_event": _profile("cadets_e3", extract.files),
+        "cdm18_subjects_strict": _profile("theia_e3", extract.subjects),
+        "cdm18_files_by_path": _profile("trace_e3", extract.files),
         "cdm20_sockets": _profile("cadets_e5", extract.sockets),
         "parsed_entities": _records(lambda r: entities.entity_table(r, fast)),
         "entity_ids": lambda s, d: entities.dense_ids(load(s, d, "entities")),

@@ -194,7 +194,7 @@ tuples AS (
   SELECT * FROM (
     SELECT file_ord, line_off, {_m('"subject' + ref)} AS src_uuid, {_m('"type":"(.*?)"')} AS etype, {_m('"predicateObject' + ref)} AS dst_uuid,
       coalesce(try_cast({_m('"timestampNanos":(.*?),')} AS BIGINT), 0) AS ts_ns, {_m(r'"predicateObjectPath":\{"string":"(.*?)"')} AS path,
-      {_m('"exec":"(.*?)"')} AS exec
+      {_m('"subject' + ref + '.*?"exec":"(.*?)"', 2)} AS exec
     FROM kinds WHERE k = 'Event'{flat})
   WHERE etype IN ({types}) AND src_uuid IS NOT NULL AND dst_uuid IS NOT NULL)"""
 
@@ -214,11 +214,15 @@ def _socket_name(flat: str) -> str:
     return f"CASE WHEN regexp_matches(value, '{whole}') THEN {parts} END"
 
 
-def _last_named(version: str, cls: str, name: str, missing: str) -> str:
+def _last_named(version: str, cls: str, name: str, missing: str, keep: str = "true") -> str:
     latest = "arg_max(name, (file_ord, line_off)) FILTER (WHERE name IS NOT NULL)"
-    return f"SELECT uuid, coalesce({latest}, '{missing}') AS attr, {_AT} FROM {_members(version, cls, name)} WHERE uuid IS NOT NULL GROUP BY uuid"
+    return f"SELECT uuid, coalesce({latest}, '{missing}') AS attr, {_AT} FROM {_members(version, cls, name)} WHERE uuid IS NOT NULL AND {keep} GROUP BY uuid"
 
 
+_CMD = r'"cmdLine":\{"string":"(.*?)"\}'
+_PATH = r'"predicateObjectPath":\{"string":"(.*?)"'
+_OBJECT18 = r'"predicateObject":\{"com.bbn.tc.schema.avro.cdm18.UUID":"(.*?)"\}'
+_EXEC18 = r'"subject":\{"com.bbn.tc.schema.avro.cdm18.UUID":"(.*?)"\}.*?"exec":"(.*?)"'
 _SUBJECTS18 = (
     "SELECT uuid, arg_max(coalesce(name, 'null'), (file_ord, line_off)) AS attr, "
     + _AT
@@ -328,10 +332,29 @@ def oracle_sql() -> dict[str, str]:
         + _kinds("cdm20")
         + ","
         + _events("cdm20", _WIDE, True)
-        + f""", named AS (SELECT src_uuid AS uuid, arg_max(exec, (file_ord, line_off)) AS name FROM tuples WHERE exec <> '' GROUP BY src_uuid)
+        + f""", named AS (SELECT src_uuid AS uuid, arg_max(exec, (file_ord, line_off)) AS name FROM tuples WHERE exec IS NOT NULL GROUP BY src_uuid)
 SELECT s.uuid, coalesce(any_value(n.name), 'none') AS attr, {_AT} FROM {_members("cdm20", "Subject", "NULL")} s LEFT JOIN named n ON n.uuid = s.uuid
 WHERE s.uuid IS NOT NULL AND len(s.uuid) <> 64 GROUP BY s.uuid""",
-        "cdm20_files": "WITH" + _kinds("cdm20") + _last_named("cdm20", "FileObject", _m('"filename":"(.*?)"'), ""),
+        "cdm20_files": "WITH" + _kinds("cdm20") + _last_named("cdm20", "FileObject", _m('"filename":"(.*?)"'), "", "name IS NOT NULL"),
+        "cdm20_files_by_event": "WITH" + _kinds("cdm20") + "," + _events("cdm20", _WIDE, True) + f""",
+named AS (SELECT dst_uuid AS uuid, arg_max(path, (file_ord, line_off)) AS name FROM tuples WHERE path IS NOT NULL GROUP BY dst_uuid)
+SELECT f.uuid, coalesce(any_value(n.name), 'null') AS attr, {_AT} FROM {_members("cdm20", "FileObject", "NULL")} f LEFT JOIN named n ON n.uuid = f.uuid
+WHERE f.uuid IS NOT NULL GROUP BY f.uuid""",
+        "cdm18_subjects_by_event": "WITH own AS (SELECT file_ord, line_off, "
+        + _m(_EXEC18)
+        + " AS uuid, "
+        + _m(_EXEC18, 2)
+        + f""" AS name FROM raw_records WHERE contains(value, 'Event'))
+SELECT uuid, arg_max(name, (file_ord, line_off)) AS attr, {_AT} FROM own WHERE uuid IS NOT NULL AND name <> '' AND len(uuid) <> 64 GROUP BY uuid""",
+        "cdm18_files_by_any_event": "WITH" + _kinds("cdm18") + f""", seen AS (
+  SELECT {_m(_OBJECT18)} AS uuid, file_ord, line_off, coalesce({_m(_PATH)}, '') AS name FROM kinds
+  WHERE k = 'Event' AND NOT contains(value, '"predicateObjectPath":null,') AND NOT contains(value, '<unknown>'))
+SELECT * FROM (SELECT uuid, arg_max(name, (file_ord, line_off)) AS attr, {_AT} FROM seen
+  WHERE uuid IN (SELECT uuid FROM {_members("cdm18", "FileObject", "NULL")}) GROUP BY uuid) WHERE attr <> 'none'""",
+        "cdm18_subjects_strict": "WITH"
+        + _kinds("cdm18")
+        + _last_named("cdm18", "Subject", _m(_CMD), "null", "name <> '' AND len(uuid) <> 64"),
+        "cdm18_files_by_path": "WITH" + _kinds("cdm18") + _last_named("cdm18", "FileObject", _m('"path":"(.*?)"'), "", "name IS NOT NULL"),
         "cdm20_sockets": "WITH" + _kinds("cdm20") + _last_named("cdm20", "NetFlowObject", _socket_name(_NET20), "null"),
         "parsed_entities": _PARSED + "SELECT * FROM ids",
         "entity_ids": """

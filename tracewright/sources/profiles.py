@@ -16,10 +16,14 @@ CONSIDERED_WIDE = (*CONSIDERED, "EVENT_CLOSE", "EVENT_RECVFROM", "EVENT_SENDTO")
 class Profile:
     """How to read one family of logs.
 
-    subject_rule: where a subject's attribute comes from: its own 'cmdLine' or 'path', or 'exec' of events.
-    file_rule: where a file's comes from: 'event_first' or 'event_last' (path of events on it), or
-    its own 'filename' or 'path'. missing: attributes of a subject, file and socket without one.
-    long_uuids: whether subject uuids of 64 characters are kept.
+    subject_rule: where a subject's attribute comes from: its own 'cmdLine' or 'path', 'exec' of
+    considered events, or 'exec_any' of any event, which then also makes the subject.
+    file_rule: where a file's comes from: 'event_first' or 'event_last' (path of considered events
+    on it), 'event_any' (path of any event on it, which the file must have), or its own 'filename' or 'path'.
+    missing: attributes of a subject, file and socket without one. strict: subjects and files
+    whose own record has no attribute are dropped. skip_empty: an empty subject attribute counts
+    as none. unnamed: file names that drop the file. long_uuids: whether subject uuids of 64
+    characters are kept.
     """
 
     version: str
@@ -28,16 +32,19 @@ class Profile:
     subject_rule: str = "cmdLine"
     file_rule: str = "event_first"
     missing: tuple[str, str, str] = ("null", "", "null")
+    strict: bool = False
+    skip_empty: bool = False
+    unnamed: tuple[str, ...] = ()
     long_uuids: bool = True
 
 
 PROFILES: dict[str, Profile] = {
     "cadets_fast": Profile("cdm18"),
     "theia_fast": Profile("cdm18", file_rule="filename"),
-    "cadets_e3": Profile("cdm18", subject_rule="exec", file_rule="event_last", long_uuids=False),
-    "theia_e3": Profile("cdm18", file_rule="filename", long_uuids=False),
-    "trace_e3": Profile("cdm18", CONSIDERED_WIDE, False, "cmdLine", "path", long_uuids=False),
-    "trace_e5": Profile("cdm18", CONSIDERED_WIDE, False, "cmdLine", "path", long_uuids=False),
-    "cadets_e5": Profile("cdm20", CONSIDERED_WIDE, False, "exec", "event_last", ("none", "null", "null"), False),
-    "theia_e5": Profile("cdm20", CONSIDERED_WIDE, False, "path", "filename", long_uuids=False),
+    "cadets_e3": Profile("cdm18", subject_rule="exec_any", file_rule="event_any", skip_empty=True, unnamed=("none",), long_uuids=False),
+    "theia_e3": Profile("cdm18", file_rule="filename", strict=True, skip_empty=True, unnamed=("none",), long_uuids=False),
+    "trace_e3": Profile("cdm18", CONSIDERED_WIDE, False, "cmdLine", "path", strict=True, long_uuids=False),
+    "trace_e5": Profile("cdm18", CONSIDERED_WIDE, False, "cmdLine", "path", strict=True, long_uuids=False),
+    "cadets_e5": Profile("cdm20", CONSIDERED_WIDE, False, "exec", "event_last", ("none", "null", "null"), long_uuids=False),
+    "theia_e5": Profile("cdm20", CONSIDERED_WIDE, False, "path", "filename", strict=True, long_uuids=False),
 }

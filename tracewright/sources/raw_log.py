@@ -70,6 +70,47 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(first.cast("long").alias("entity_id")).distinct()
 
 
+def read_edge_list(spark: SparkSession, path: str, sep: str = " ", src: int = 0, dst: int = 2) -> DataFrame:
+    """(src, dst): two fields of a delimited text file, by position from 0; lines without them are skipped."""
+    parts = F.split("value", rf"\Q{sep}\E", -1)
+    rows = spark.read.text(path).select(F.get(parts, src).try_cast("long").alias("src"), F.get(parts, dst).try_cast("long").alias("dst"))
+    return rows.where("src is not null and dst is not null")
+
+
+def read_dictionary(spark: SparkSession, path: str, strict: bool = False) -> list[tuple[str, str]]:
+    """The 'source:token' lines of a dictionary file in order. Lines without a colon are an error if strict, else skipped.
+
+    A dictionary is a small fixed file; it is read as one.
+    """
+    text = spark.read.text(path, wholetext=True).first()
+    out = []
+    for line in (text[0] if text else "").splitlines():
+        fields = line.rstrip().split(":") if strict else line.rstrip().split(":", 1)
+        if len(fields) == 2:
+            out.append((fields[0], fields[1]))
+        elif strict and line.strip():
+            raise ValueError(line)
+    return out
+
+
+def read_block_text(spark: SparkSession, path: str) -> DataFrame:
+    """(label, text) of lines '<label> <blocks>'."""
+    parts = F.split("value", " ", 2)
+    return spark.read.text(path).where(F.col("value").contains(" ")).select(parts[0].alias("label"), parts[1].alias("text"))
+
+
+def blocks_of(labels: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(label, br, bc, mask) of the wanted labels; one that has no blocks is a row of nulls."""
+    return labels.select("label").distinct().join(blocks, "label", "left")
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files right inside a folder, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().getName() for s in p.getFileSystem(conf).listStatus(p) if s.isFile())
+
+
 def read_weighted_edges(
     edges: DataFrame, normalize: bool = False, transpose: bool = False, damping: float = 1.0, add_identity: bool = False
 ) -> DataFrame:
