@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +75,12 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _pack_shard(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-    capacity = int(items["capacity_tokens"].iloc[0])
-    items = items.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True], na_position="first")
-    items["container_id"] = best_fit_decreasing(items["n_tokens"].tolist(), capacity)
-    items["container_id"] += int(key[2]) << 32
-    return items[["profile", "capacity_tokens", "container_id", "doc_id", "piece_no", "tok_start", "n_tokens"]]
+def _pack_shard(key: tuple, items: pa.Table) -> pa.Table:
+    capacity, shard = key[1].as_py(), key[2].as_py()
+    items = items.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece_no", "ascending")])
+    bins = best_fit_decreasing(items["n_tokens"].to_pylist(), capacity)
+    items = items.append_column("container_id", pa.array([(shard << 32) + b for b in bins], pa.int64()))
+    return items.select(["profile", "capacity_tokens", "container_id", "doc_id", "piece_no", "tok_start", "n_tokens"])
 
 
 def pack(documents: DataFrame, profiles: DataFrame, vocabulary: str = VOCABULARY, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -117,7 +117,7 @@ def pack(documents: DataFrame, profiles: DataFrame, vocabulary: str = VOCABULARY
     packed = (
         pieces.where("n_tokens > 0")
         .groupBy("profile", "capacity_tokens", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)).alias("shard"))
-        .applyInPandas(_pack_shard, schema)
+        .applyInArrow(_pack_shard, schema)
     )
     nothing = pieces.where("n_tokens = 0").select(
         "profile", "capacity_tokens", F.lit(None).cast("long").alias("container_id"), "doc_id", "piece_no", "tok_start", "n_tokens"
