@@ -1,5 +1,4 @@
 import os
-import tempfile
 
 import pytest
 
@@ -10,8 +9,6 @@ from tracewright.session import build_session
 def spark():
     session = build_session("tests", cores=8, partitions=4)
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tracewright-tests-"))
     yield session
     session.stop()
 

@@ -43,6 +43,16 @@ def test_positions(spark):
     assert [tuple(r) for r in with_position(df, "k").orderBy("k").collect()] == [(i, i) for i in range(1000)]
 
 
+def test_running_sums(spark):
+    from tracewright.operators.ordering import with_running_sum
+
+    df = spark.range(500).selectExpr("(id * 37) % 500 AS k", "id % 7 AS v").repartition(6)
+    values = {r["k"]: r["v"] for r in df.collect()}
+    got = {r["k"]: r["s"] for r in with_running_sum(df, "v", "k", name="s").collect()}
+    assert got == {k: sum(values[i] for i in range(k)) for k in range(500)}
+    assert with_running_sum(df.where("false"), "v", "k", name="s").count() == 0
+
+
 def test_louvain_finds_the_cliques():
     edges = [(a, b, 1.0) for base in (0, 10, 20) for a in range(base, base + 5) for b in range(a + 1, base + 5)]
     edges += [(4, 10, 1.0), (14, 20, 1.0), (2, 2, 1.0)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.ordering import with_position
+
 #: Strings that stand for a missing attribute.
 STAND_INS = ("", "null", "none", "<unknown>")
 
@@ -27,17 +29,12 @@ def half_even(c: Column, digits: int) -> Column:
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, upper_median): the element at index n div 2 of each key's sorted non-null values.
 
-    Values are counted per distinct value first, so what is ordered per key is its distinct
-    values, not its rows.
+    Found by position in one order of all keys and values, so no task sorts a key's values alone.
     """
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(whole))
-    hit = (F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2))
-    return run.where(hit).select(*keys, "n", F.col(value).alias("upper_median"))
+    rows = with_position(df.where(F.col(value).isNotNull()).select(*keys, value), *keys, value, name="__at")
+    n = F.count(F.lit(1)).cast("long")
+    middle = rows.groupBy(*keys).agg(n.alias("n"), (F.min("__at") + F.floor(n / 2)).alias("__at"))
+    return middle.join(rows.select("__at", F.col(value).alias("upper_median")), "__at").select(*keys, "n", "upper_median")
 
 
 def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalar import ratio
+from tracewright.operators.ordering import with_position, with_running_sum
 
 
 def event_type_counts(events: DataFrame, types: tuple[str, ...]) -> DataFrame:
@@ -73,8 +74,9 @@ def hit_positions(visits: DataFrame, members: DataFrame, attack: DataFrame) -> D
     inside = Window.partitionBy("poi", "label").orderBy("pos")
     ranked = first.withColumn("inner", F.row_number().over(inside))
     labels = first.groupBy("poi", "hop", "label").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("poi").orderBy("hop", "label").rowsBetween(Window.unboundedPreceding, -1)
-    before = labels.select("poi", "label", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    summed = with_running_sum(labels, "n", "poi", "hop", "label", name="upto")
+    start = summed.groupBy("poi").agg(F.min("upto").alias("start"))
+    before = summed.join(start, "poi").select("poi", "label", (F.col("upto") - F.col("start")).alias("before"))
     hits = ranked.join(attack, "node", "left_semi").join(before, ["poi", "label"])
     return hits.select("poi", "node", (F.col("before") + F.col("inner")).alias("idx"))
 
@@ -94,14 +96,15 @@ def recall_budget(hits: DataFrame, pois: DataFrame, total_nodes: int, attack_nod
 
 
 def timing_stats(times: DataFrame, value: str) -> DataFrame:
-    """(n, mean, deviation, median, p95, highest) of measured times; p95 is the value at index floor(0.95 n)."""
-    counts = times.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    run = counts.withColumn("upto", upto)
-    n = times.where(F.col(value).isNotNull()).count()
-    at = min(n - 1, int(0.95 * n)) if n else 0
-    p95 = F.min(F.when(F.col("upto") > at, F.col(value))).alias("p95")
-    stats = times.agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.median(value).alias("median"), F.max(value).alias("highest")
-    )
-    return stats.join(F.broadcast(run.agg(p95)))  # one row on either side
+    """(n, mean, deviation, median, p95, highest) of measured times; p95 is the value at index floor(0.95 n).
+
+    Median and p95 are read off by position, so the times are never sorted in one task.
+    """
+    rows = with_position(times.where(F.col(value).isNotNull()).select(value), value)
+    n = rows.count()
+    middle = F.avg(F.when(F.col("pos").isin((n - 1) // 2, n // 2), F.col(value)))
+    p95 = F.max(F.when(F.col("pos") == min(max(n - 1, 0), int(0.95 * n)), F.col(value)))
+    return rows.agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"),
+        middle.alias("median"), p95.alias("p95"), F.max(value).alias("highest"),
+    )

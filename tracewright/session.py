@@ -9,7 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[object, object]] = []  # (file system, path) of each table that cut wrote
+_own: list[str] = []
 
 
 def build_session(app: str = "tracewright", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -42,8 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = have.get() if have.isDefined() else None
     if not at:
-        at = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="tracewright-"))
+        at = _own[0]
     return at
 
 
@@ -56,18 +58,18 @@ def cut(df: DataFrame, tag: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"tw-{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append((spark, path))
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not _written:
+        atexit.register(clear_cuts)  # after Spark's own exit handler, so that it runs before it
+    _written.append((p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p))
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
 def clear_cuts() -> None:
-    """Delete what ``cut`` wrote, as far as the session still lives."""
+    """Delete what ``cut`` wrote. Runs at exit; a long session may call it once its results are stored."""
     while _written:
-        spark, path = _written.pop()
+        files, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone; its folder is the cluster's to clear
+            files.delete(path, True)
+        except Exception:  # the JVM is gone; its folder is the cluster's to clear
             pass
