@@ -93,6 +93,32 @@ def test_slashburn_is_a_permutation(greedy_hubs):
     assert codec.slashburn(8, star)[0] == [1, 2, 3, 4, 5, 6, 7, 0]
 
 
+def test_groups_over_batch_bounds(spark):
+    import pyarrow as pa
+
+    from tracewright.operators.grouped import over_groups
+
+    df = spark.range(500).selectExpr("CAST(id % 37 AS STRING) AS k", "id AS v").repartition(5)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = over_groups(df, "k", lambda k, g: [(k, sum(g["v"]), len(g["v"]))], "k string, s long, n long", pa.schema([("k", pa.string()), ("s", pa.int64()), ("n", pa.int64())]))
+        want = [(str(k), sum(range(k, 500, 37)), len(range(k, 500, 37))) for k in range(37)]
+        assert rows(got) == order(want)
+        assert rows(over_groups(df.where("false"), "k", lambda k, g: [(k, 0, 0)], "k string, s long, n long", pa.schema([("k", pa.string()), ("s", pa.int64()), ("n", pa.int64())]))) == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_louvain_partition_covers_each_snapshot(spark):
+    edges = spark.createDataFrame([(s, u, (u * 7 + s) % 25, 1 + u % 3) for s in range(12) for u in range(25)], "snapshot_id int, u long, v long, weight long")
+    got = communities.louvain_partition(edges)
+    assert got.count() == 12 * 25 == got.select("snapshot_id", "node").distinct().count()
+    one = sorted((r["node"], r["label"]) for r in got.where("snapshot_id = 3").collect())
+    want = communities.louvain([(u, (u * 7 + 3) % 25, float(1 + u % 3)) for u in range(25)], 42 * 1_000_003 + 3)
+    assert one == sorted((n, f"3.{i}") for i, c in enumerate(want) for n in c)
+
+
 def test_codec_round_trip_with_loops(spark):
     intra = spark.createDataFrame([("0.0", 1, 1), ("0.0", 1, 9), ("0.0", 5, 9), ("0.1", 3, 4)], "label string, u long, v long")
     members = spark.createDataFrame([("0.0", n, i) for i, n in enumerate((1, 5, 9, 11, 12, 13))] + [("0.1", 3, 0), ("0.1", 4, 1)], "label string, node long, pos int")

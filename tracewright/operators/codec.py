@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.grouped import over_groups
 from tracewright.operators.ordering import with_position
 
 BLOCK = 4
@@ -145,14 +146,16 @@ def slashburn_order(members: DataFrame, intra: DataFrame, k: int | None = None)
     """(label, node, new_idx): the SlashBurn order of each community, one community a group."""
     nodes = members.select("label", F.col("node").alias("u"), F.col("node").alias("v"), F.lit(False).alias("edge"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf.loc[~pdf["edge"], "u"].tolist())
+    def run(label: str, group: dict[str, list]) -> list[tuple]:
+        us, vs, edge = group["u"], group["v"], group["edge"]
+        ids = sorted(u for u, e in zip(us, edge) if not e)
         at = {x: i for i, x in enumerate(ids)}
-        own = pdf[pdf["edge"]]
-        order, _ = slashburn(len(ids), [(at[u], at[v]) for u, v in zip(own["u"].tolist(), own["v"].tolist())], k)
-        return pd.DataFrame({"label": key[0], "node": [ids[i] for i in order], "new_idx": range(len(order))})
+        order, _ = slashburn(len(ids), [(at[u], at[v]) for u, v, e in zip(us, vs, edge) if e], k)
+        return [(label, ids[x], i) for i, x in enumerate(order)]
 
-    return nodes.unionByName(intra.select("label", "u", "v", F.lit(True).alias("edge"))).groupBy("label").applyInPandas(run, "label string, node long, new_idx int")
+    arrow = pa.schema([("label", pa.string()), ("node", pa.int64()), ("new_idx", pa.int32())])
+    both = nodes.unionByName(intra.select("label", "u", "v", F.lit(True).alias("edge")))
+    return over_groups(both, "label", run, "label string, node long, new_idx int", arrow)
 
 
 def compress(c: Column) -> Column:

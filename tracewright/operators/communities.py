@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.grouped import over_groups
+
 
 def label(snapshot: str = "snapshot_id", index: str = "cidx"):
     """The label '<snapshot>.<community>'."""
@@ -79,13 +81,13 @@ def louvain(edges: list[tuple[int, int, float]], seed: int = 42) -> list[list[in
 def louvain_partition(edges: DataFrame, seed: int = 42, weighted: bool = True) -> DataFrame:
     """(snapshot_id, node, label): Louvain communities of each snapshot graph (at most n + 1 nodes a task)."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = pdf["weight"] if weighted else [1.0] * len(pdf)
-        found = louvain(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), map(float, weights))), seed * 1_000_003 + int(key[0]))
-        rows = [(int(key[0]), node, f"{key[0]}.{i}") for i, c in enumerate(found) for node in c]
-        return pd.DataFrame(rows, columns=["snapshot_id", "node", "label"])
+    def run(snapshot: int, group: dict[str, list]) -> list[tuple]:
+        weights = map(float, group["weight"]) if weighted else [1.0] * len(group["u"])
+        found = louvain(list(zip(group["u"], group["v"], weights)), seed * 1_000_003 + snapshot)
+        return [(snapshot, node, f"{snapshot}.{i}") for i, c in enumerate(found) for node in c]
 
-    return edges.groupBy("snapshot_id").applyInPandas(run, "snapshot_id int, node long, label string")
+    arrow = pa.schema([("snapshot_id", pa.int32()), ("node", pa.int64()), ("label", pa.string())])
+    return over_groups(edges.select("snapshot_id", "u", "v", "weight"), "snapshot_id", run, "snapshot_id int, node long, label string", arrow)
 
 
 def seed_sweep(edges: DataFrame, seeds: tuple[int, ...] = (42, 1, 2, 3, 4)) -> DataFrame:

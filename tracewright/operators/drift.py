@@ -68,7 +68,9 @@ def canonical(value) -> str:
 
 
 def _cast(value, kind: str):
-    """(fits, value) of an unwrapped value under a target type."""
+    """(fits, value) of an unwrapped value under a target type; 'json' takes anything as it came."""
+    if kind == "json":
+        return True, value
     value = unwrap(value)
     if value is None:
         return True, None
@@ -214,7 +216,7 @@ def field_inventory(records: DataFrame) -> DataFrame:
 def _rescued_values(records: DataFrame, wanted: DataFrame) -> DataFrame:
     """(file_ord, rec_class, field_name, uuid, value) of the non-null values of the wanted (file_ord, rec_class, field_name).
 
-    Each file is held against the fields it shares with its neighbour; the others are rescued.
+    Each file's records are held against the schema it shares with its neighbours; what that doesn't know is rescued.
     """
     per_file = cut(wanted.groupBy("file_ord").agg(F.collect_set(F.concat_ws(".", "rec_class", "field_name")).alias("fields")), "wanted")
     schema = pa.schema([("file_ord", pa.int32()), ("rec_class", pa.string()), ("field_name", pa.string()), ("uuid", pa.string()), ("value", pa.string())])
@@ -234,7 +236,8 @@ def _rescued_values(records: DataFrame, wanted: DataFrame) -> DataFrame:
                 for cls, _, body in bodies(whole_json(text)):
                     names = known[file_ord].get(cls)
                     if names and isinstance(body, dict) and (uuid := _uuid(body)) is not None:
-                        rows += [(file_ord, cls, n, uuid, canonical(body[n])) for n in names & body.keys() if body[n] is not None]
+                        _, rescued = rescue(body, dict.fromkeys(body.keys() - names, "json"))
+                        rows += [(file_ord, cls, n, uuid, canonical(v)) for n, v in rescued.items() if v is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.scalar import ratio
 from tracewright.operators.ordering import with_position, with_running_sum
+from tracewright.session import cut
 
 
 def event_type_counts(events: DataFrame, types: tuple[str, ...]) -> DataFrame:
@@ -70,7 +71,7 @@ def hit_positions(visits: DataFrame, members: DataFrame, attack: DataFrame) -> D
     rank inside the label, so no window covers all nodes of a point of interest.
     """
     seen = visits.join(members.select("label", "node", "pos"), "label")
-    first = seen.groupBy("poi", "node").agg(F.min(F.struct("hop", "label", "pos")).alias("at")).select("poi", "node", "at.*")
+    first = cut(seen.groupBy("poi", "node").agg(F.min(F.struct("hop", "label", "pos")).alias("at")).select("poi", "node", "at.*"), "first")
     inside = Window.partitionBy("poi", "label").orderBy("pos")
     ranked = first.withColumn("inner", F.row_number().over(inside))
     labels = first.groupBy("poi", "hop", "label").agg(F.count(F.lit(1)).alias("n"))

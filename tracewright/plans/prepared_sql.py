@@ -134,6 +134,46 @@ SELECT file_ord, line_off, CAST(0 AS INTEGER) AS node_id, CAST(-1 AS INTEGER) AS
 """
 
 
+P6_FOUND = r"""
+WITH body AS (
+  SELECT file_ord, unnest(json_keys(value, '$.datum')) AS name, value FROM raw_records
+  WHERE json_valid(value) AND json_type(value, '$.datum') = 'OBJECT'),
+own AS (
+  SELECT file_ord, regexp_extract(name, '([^.]*)$', 1) AS rec_class, json_extract(value, '$.datum."' || name || '"') AS b FROM body),
+cells AS (
+  SELECT file_ord, rec_class, json_extract_string(b, '$.uuid') AS uuid, k AS field, json_extract(b, '$."' || k || '"') AS v
+  FROM (SELECT *, unnest(json_keys(b)) AS k FROM own WHERE json_type(b) = 'OBJECT' AND rec_class IN ('Subject', 'FileObject', 'NetFlowObject', 'Event'))
+  WHERE k <> 'uuid'),
+kinded AS (
+  SELECT *, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array'
+    WHEN 'OBJECT' THEN CASE WHEN len(json_keys(v)) = 1 THEN 'object:' || regexp_extract(json_keys(v)[1], '([^.]*)$', 1) ELSE 'object' END
+    ELSE 'number' END AS kind,
+    regexp_replace(CAST(v AS VARCHAR), 'cdm[0-9]+', 'cdm', 'g') AS text
+  FROM cells),
+fields AS (SELECT file_ord, rec_class, field, list_sort(coalesce(list(DISTINCT kind) FILTER (WHERE kind IS NOT NULL), [])) AS kinds FROM kinded GROUP BY ALL),
+pairs AS (SELECT * FROM (SELECT file_ord, lag(file_ord) OVER (PARTITION BY stream_name ORDER BY file_no) AS prev FROM raw_files) WHERE prev IS NOT NULL),
+old AS (SELECT p.file_ord, p.prev, f.rec_class, f.field, f.kinds FROM pairs p JOIN fields f ON f.file_ord = p.prev),
+new AS (SELECT p.file_ord, p.prev, f.rec_class, f.field, f.kinds FROM pairs p JOIN fields f ON f.file_ord = p.file_ord),
+gone AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.file_ord = o.file_ord AND n.rec_class = o.rec_class AND n.field = o.field)),
+come AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE n.file_ord = o.file_ord AND n.rec_class = o.rec_class AND n.field = o.field)),
+held AS (
+  SELECT file_ord, rec_class, field, uuid, list_sort(list(DISTINCT text)) AS texts FROM kinded
+  WHERE kind IS NOT NULL AND uuid IS NOT NULL GROUP BY ALL),
+renamed AS (
+  SELECT g.file_ord, g.rec_class, g.field AS was, c.field AS now
+  FROM gone g JOIN come c ON c.file_ord = g.file_ord AND c.rec_class = g.rec_class
+  JOIN held a ON a.file_ord = g.prev AND a.rec_class = g.rec_class AND a.field = g.field
+  JOIN held b ON b.file_ord = g.file_ord AND b.rec_class = g.rec_class AND b.field = c.field AND b.uuid = a.uuid
+  GROUP BY ALL HAVING bool_and(a.texts = b.texts))
+SELECT o.file_ord, o.rec_class, o.field AS field_name, 'retyped' AS change_kind FROM old o JOIN new n USING (file_ord, rec_class, field)
+WHERE len(o.kinds) > 0 AND len(n.kinds) > 0 AND o.kinds <> n.kinds
+UNION ALL SELECT file_ord, rec_class, was || '>' || now, 'renamed' FROM renamed
+UNION ALL SELECT file_ord, rec_class, field, 'removed' FROM gone g
+  WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_ord = g.file_ord AND r.rec_class = g.rec_class AND r.was = g.field)
+UNION ALL SELECT file_ord, rec_class, field, 'added' FROM come c
+  WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_ord = c.file_ord AND r.rec_class = c.rec_class AND r.now = c.field)
+"""
+
 P5_FEATURES = """
 WITH entity AS (
   SELECT srcid AS entity_id, count(*) AS n_events, (SELECT max(ts) FROM prov_events) - max(ts) FILTER (WHERE ts > 0) AS age_ns,
@@ -166,4 +206,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_events": _flat("Event", EVENT_FIELDS),
         "p4_netflows": _flat("NetFlowObject", NETFLOW_FIELDS),
         "p5_features": P5_FEATURES,
+        "p6_found": P6_FOUND,
     }
