@@ -106,7 +106,7 @@ def membership_last(members: DataFrame) -> DataFrame:
 
 
 def membership_multi(members: DataFrame) -> DataFrame:
-    """(node, n_labels, labels): all labels in snapshot order, joined by a space."""
+    """(node, n_labels, labels): all labels in snapshot order, joined by a space. The long form, ``members``, is what operators use."""
     pairs = F.array_sort(F.collect_list(F.struct("snapshot_id", "label")))
     return members.groupBy("node").agg(
         F.count(F.lit(1)).alias("n_labels"), F.concat_ws(" ", F.transform(pairs, lambda p: p["label"])).alias("labels")

@@ -278,11 +278,14 @@ def schema_changes(records: DataFrame, files: DataFrame) -> DataFrame:
     wanted = maybe.select(F.col("prev_ord").alias("file_ord"), "rec_class", F.col("old_name").alias("field_name")).unionByName(
         maybe.select("file_ord", "rec_class", F.col("new_name").alias("field_name"))
     )
-    values = (
-        _rescued_values(records, wanted.distinct())
-        .groupBy("file_ord", "rec_class", "field_name", "uuid")
-        .agg(F.array_sort(F.collect_set("value")).alias("value"))
+    digest = F.struct(  # of the set of values of one uuid, however many these are
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("value")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "value")).alias("y"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
     )
+    values = _rescued_values(records, wanted.distinct()).distinct().groupBy("file_ord", "rec_class", "field_name", "uuid").agg(digest.alias("value"))
     values = cut(values, "values")
     old = maybe.join(
         values.select(F.col("file_ord").alias("prev_ord"), "rec_class", F.col("field_name").alias("old_name"), "uuid", F.col("value").alias("was")),
