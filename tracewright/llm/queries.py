@@ -45,3 +45,28 @@ def queries() -> dict[str, Query]:
         "p9_found": p9_found,
         "p9_normalized": p9_normalized,
     }
+
+
+def _look() -> str:
+    """The one form of column text, in SQL: composed, unseen characters out, the rest mapped one by one, composed again.
+
+    The lists come from the Unicode character database by the operator's rules, as far as a
+    character's form is at most one character; the operator's tests cover the others.
+    """
+    normalizer = lookalike.Normalizer(*lookalike.mappings())
+    points = lookalike.mappings()[0].tolist()
+    forms = normalizer.apply([chr(p) for p in points])
+    gone = "".join(f"\\x{{{p:X}}}" for p, f in zip(points, forms) if not f and p)
+    pairs = [(chr(p), f) for p, f in zip(points, forms) if len(f) == 1 and f != chr(p)]
+    old, new = ("".join(x).replace("'", "''") for x in zip(*pairs))
+    return f"nfc_normalize(translate(nfc_normalize(regexp_replace(text, '[{gone}]', '', 'g')), '{old}', '{new}'))"
+
+
+def oracle_sql() -> dict[str, str]:
+    look = _look()
+    return {
+        "p9_found": f"""
+WITH looks AS (SELECT doc_id, text, {look} AS look FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
+        "p9_normalized": f"SELECT doc_id, {look} AS look FROM documents",
+    }
