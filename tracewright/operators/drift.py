@@ -67,6 +67,10 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, ensure_ascii=False)
 
 
+def _compact(fields: dict) -> str:
+    return json.dumps(fields, ensure_ascii=False, separators=(",", ":"))
+
+
 def _cast(value, kind: str):
     """(fits, value) of an unwrapped value under a target type; 'json' takes anything as it came."""
     if kind == "json":
@@ -137,7 +141,7 @@ def ingest(records: DataFrame, rec_class: str, target: dict[str, str] | None = N
             for file_ord, line_off, cls, version, body in _records(batch):
                 if cls == rec_class:
                     typed, rescued = rescue(body, target)
-                    rest = json.dumps(rescued, ensure_ascii=False) if rescued else None
+                    rest = _compact(rescued) if rescued else None
                     rows.append((file_ord, line_off, version, _uuid(body), *(typed.get(n) for n in target), rest))
             cols = list(zip(*rows)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -172,7 +176,7 @@ def promote(table: DataFrame, approved: dict[str, tuple[str, ...]]) -> DataFrame
                                 wanted[column][row] = got
                                 del fields[name]
                 if len(fields) < before:
-                    rest[row] = json.dumps(fields, ensure_ascii=False) if fields else None
+                    rest[row] = _compact(fields) if fields else None
             for n, values in (*wanted.items(), ("_rescued", rest)):
                 cols[at[n]] = pa.array(values, cols[at[n]].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)

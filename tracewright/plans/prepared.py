@@ -12,10 +12,16 @@ from tracewright.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Output columns of the flat tables to the labels of their scalar fields.
-EVENT_FIELDS = {"uuid": "uuid", "etype": "type", "subject": "subject", "predicate_object": "predicateObject", "ts_nanos": "timestampNanos", "thread_id": "threadId", "object_path": "predicateObjectPath"}
-PARAMETER_FIELDS = {"param_type": "type", "size": "size", "name": "name", "value_bytes": "valueBytes"}
-NETFLOW_FIELDS = {"uuid": "uuid", "local_address": "localAddress", "local_port": "localPort", "remote_address": "remoteAddress", "remote_port": "remotePort", "ip_protocol": "ipProtocol"}
+#: Name, class, place and fields (output column to label) of the flat tables.
+FLAT_TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
+    "p4_events": ("Event", "", {"uuid": "uuid", "etype": "type", "subject": "subject", "predicate_object": "predicateObject", "ts_nanos": "timestampNanos", "thread_id": "threadId", "object_path": "predicateObjectPath"}),
+    "p4_parameters": ("Event", r"parameters\[[0-9]+\]", {"param_type": "type", "size": "size", "name": "name", "value_bytes": "valueBytes"}),
+    "p4_provenance": ("Event", r"parameters\[[0-9]+\]\.provenance\[[0-9]+\]", {"asset": "asset", "hop": "hop"}),
+    "p4_netflows": ("NetFlowObject", "", {"uuid": "uuid", "local_address": "localAddress", "local_port": "localPort", "remote_address": "remoteAddress", "remote_port": "remotePort", "ip_protocol": "ipProtocol"}),
+    "p4_interfaces": ("NetFlowObject", r"baseObject\.ifaces\[[0-9]+\]", {"ifname": "ifname", "mtu": "mtu"}),
+    "p4_files": ("FileObject", "", {"uuid": "uuid", "file_type": "type", "filename": "filename", "size": "size"}),
+    "p4_hashes": ("FileObject", r"(?:hashes|digests)\[[0-9]+\]", {"hash_type": "type", "hash": "hash"}),
+}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +87,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p3_collapsed": p3_collapsed,
         "p4_found": p4_found,
-        "p4_events": _flat("Event", "", EVENT_FIELDS),
-        "p4_parameters": _flat("Event", r"parameters\[[0-9]+\]", PARAMETER_FIELDS),
-        "p4_netflows": _flat("NetFlowObject", "", NETFLOW_FIELDS),
-        "p4_hashes": _flat("FileObject", r"(?:hashes|digests)\[[0-9]+\]", {"hash_type": "type", "hash": "hash"}),
+        **{name: _flat(*parts) for name, parts in FLAT_TABLES.items()},
         "p5_features": p5_features,
         "p6_found": p6_found,
         "p6_subjects": _table("Subject"),

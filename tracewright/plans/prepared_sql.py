@@ -117,20 +117,43 @@ SELECT file_ord, line_off, path AS node_path FROM down WHERE hit AND json_type(v
 """
 
 
-def _bare(field: str) -> str:
-    """A scalar field of body b, out of its wrapper."""
-    j = f"json_extract(b, '$.{field}')"
-    return f"CASE WHEN json_type({j}) = 'OBJECT' THEN json_extract_string({j}, '$.*')[1] ELSE json_extract_string(b, '$.{field}') END"
-
-
-def _flat(cls: str, fields: dict[str, str]) -> str:
-    cols = ", ".join(f"{_bare(label)} AS {name}" for name, label in fields.items())
+def _flat(cls: str, at: str, fields: dict[str, str]) -> str:
+    """The objects of a class at a path, numbered depth first, with their scalar children as columns."""
+    cols = ", ".join(f"max(c.scalar) FILTER (WHERE c.label = '{label}') AS {name}" for name, label in fields.items())
     return f"""
-WITH body AS (
+WITH RECURSIVE body AS (
   SELECT file_ord, line_off, unnest(json_keys(value, '$.datum')) AS cls, value FROM raw_records
   WHERE json_valid(value) AND json_type(value, '$.datum') = 'OBJECT'),
-own AS (SELECT file_ord, line_off, json_extract(value, '$.datum."' || cls || '"') AS b FROM body WHERE cls LIKE '%.{cls}')
-SELECT file_ord, line_off, CAST(0 AS INTEGER) AS node_id, CAST(-1 AS INTEGER) AS parent_id, {cols} FROM own WHERE json_type(b) = 'OBJECT'
+down(file_ord, line_off, place, owner, label, path, v, element) AS (
+  SELECT file_ord, line_off, [CAST(0 AS BIGINT)], CAST(NULL AS BIGINT[]), '', '', json_extract(value, '$.datum."' || cls || '"'), false
+  FROM body WHERE cls LIKE '%.{cls}'
+  UNION ALL
+  SELECT file_ord, line_off,
+    CASE WHEN wrapper THEN place ELSE list_append(place, i) END,
+    CASE WHEN wrapper OR json_type(v) = 'ARRAY' THEN owner ELSE place END,
+    CASE WHEN wrapper OR json_type(v) = 'ARRAY' THEN label ELSE k END,
+    CASE WHEN wrapper THEN path WHEN json_type(v) = 'ARRAY' THEN path || '[' || k || ']' WHEN path = '' THEN k ELSE path || '.' || k END,
+    CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[' || k || ']') ELSE json_extract(v, '$."' || k || '"') END,
+    CASE WHEN wrapper THEN element ELSE json_type(v) = 'ARRAY' END
+  FROM (
+    SELECT *, json_type(v) = 'OBJECT' AND len(keys) = 1 AND regexp_full_match(keys[1], '{_WRAPPED}') AS wrapper, unnest(keys) AS k,
+      unnest(range(CAST(len(keys) AS BIGINT))) AS i
+    FROM (
+      SELECT *, CASE json_type(v) WHEN 'OBJECT' THEN json_keys(v)
+        WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) END AS keys
+      FROM down WHERE json_type(v) IN ('OBJECT', 'ARRAY')))),
+nodes AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY file_ord, line_off ORDER BY place) - 1 AS INTEGER) AS node_id,
+    CASE json_type(v) WHEN 'VARCHAR' THEN json_extract_string(v, '$') WHEN 'NULL' THEN NULL ELSE CAST(v AS VARCHAR) END AS scalar
+  FROM down
+  WHERE NOT coalesce(json_type(v) = 'OBJECT' AND len(json_keys(v)) = 1 AND regexp_full_match(json_keys(v)[1], '{_WRAPPED}'), false)),
+leaves AS (SELECT * FROM nodes WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') AND NOT element)
+SELECT o.file_ord, o.line_off, o.node_id, coalesce(p.node_id, CAST(-1 AS INTEGER)) AS parent_id, {cols}
+FROM nodes o
+LEFT JOIN nodes p ON p.file_ord = o.file_ord AND p.line_off = o.line_off AND p.place = o.owner
+LEFT JOIN leaves c ON c.file_ord = o.file_ord AND c.line_off = o.line_off AND c.owner = o.place
+WHERE json_type(o.v) = 'OBJECT' AND regexp_full_match(o.path, '{at}')
+GROUP BY o.file_ord, o.line_off, o.node_id, p.node_id
 """
 
 
@@ -174,6 +197,55 @@ UNION ALL SELECT file_ord, rec_class, field, 'added' FROM come c
   WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_ord = c.file_ord AND r.rec_class = c.rec_class AND r.now = c.field)
 """
 
+def _typed(field: str, kind: str) -> str:
+    """A field of body b under its target type, null where it can't be cast."""
+    j = f"json_extract(b, '$.{field}')"
+    wrapped = f"json_type({j}) = 'OBJECT' AND len(json_keys({j})) = 1 AND regexp_full_match(json_keys({j})[1], '{_WRAPPED}')"
+    x = f"(CASE WHEN {wrapped} THEN json_extract({j}, '$.*')[1] ELSE {j} END)"
+    text = f"CASE WHEN json_type({x}) = 'VARCHAR' THEN json_extract_string({x}, '$') END"
+    if kind == "string":
+        return text
+    return f"CASE WHEN json_type({x}) IN ('BIGINT', 'UBIGINT') THEN CAST({x} AS BIGINT) WHEN regexp_full_match({text}, '[+-]?[0-9]{{1,18}}') THEN CAST({text} AS BIGINT) END"
+
+
+def _consistent(cls: str) -> str:
+    """All records of a class under its target schema, approved names promoted, the rest as JSON."""
+    from tracewright.operators.drift import PROMOTED, TARGETS
+
+    target, promoted = TARGETS[cls], PROMOTED[cls]
+    first = [f"{_typed(c, k)} AS t_{c}" for c, k in target.items()]
+    first += [f"{_typed(a, target[c])} AS a_{a}" for c, names in promoted.items() for a in names]
+    used, final = [], {}
+    for c in target:
+        chain = [f"t_{c}"]
+        for a in promoted.get(c, ()):
+            used.append(f"CASE WHEN coalesce({', '.join(chain)}) IS NULL AND a_{a} IS NOT NULL THEN '{a}' END")
+            chain.append(f"a_{a}")
+        final[c] = f"coalesce({', '.join(chain)})"
+    fits = " OR ".join(f"(k = '{c}' AND (t_{c} IS NOT NULL OR bare_null))" for c in target)
+    return f"""
+WITH body AS (
+  SELECT file_ord, line_off, unnest(json_keys(value, '$.datum')) AS name, value FROM raw_records
+  WHERE json_valid(value) AND json_type(value, '$.datum') = 'OBJECT'),
+own AS (
+  SELECT row_number() OVER () AS id, file_ord, line_off, regexp_extract(name, '(cdm[0-9]*)[.][^.]*$', 1) AS cdm_version,
+    json_extract(value, '$.datum."' || name || '"') AS b
+  FROM body WHERE regexp_extract(name, '([^.]*)$', 1) = '{cls}'),
+typed AS (SELECT *, {_typed("uuid", "string")} AS uuid, {", ".join(first)} FROM own WHERE json_type(b) = 'OBJECT'),
+named AS (SELECT *, [{", ".join(used) or "NULL"}] AS used FROM typed),
+keys AS (SELECT *, unnest(json_keys(b)) AS k, unnest(range(CAST(len(json_keys(b)) AS BIGINT))) AS i FROM named),
+cells AS (
+  SELECT *, json_extract(b, '$."' || k || '"') AS v,
+    coalesce(json_type(json_extract(b, '$."' || k || '"')) = 'NULL' OR (len(json_keys(json_extract(b, '$."' || k || '"'))) = 1
+      AND json_type(json_extract(json_extract(b, '$."' || k || '"'), '$.*')[1]) = 'NULL'), false) AS bare_null FROM keys),
+rest AS (
+  SELECT id, '{{' || string_agg('"' || k || '":' || CAST(v AS VARCHAR), ',' ORDER BY i) || '}}' AS _rescued FROM cells
+  WHERE k <> 'uuid' AND NOT ({fits}) AND NOT coalesce(list_contains(used, k), false) GROUP BY id)
+SELECT n.file_ord, n.line_off, n.cdm_version, n.uuid, {", ".join(f"{e} AS {c}" for c, e in final.items())}, r._rescued
+FROM named n LEFT JOIN rest r ON r.id = n.id
+"""
+
+
 P5_FEATURES = """
 WITH entity AS (
   SELECT srcid AS entity_id, count(*) AS n_events, (SELECT max(ts) FROM prov_events) - max(ts) FILTER (WHERE ts > 0) AS age_ns,
@@ -192,7 +264,7 @@ PIVOT dense ON etype USING first(n) AS n, first(type_age) AS age_ns, first(bytes
 
 
 def oracle_sql() -> dict[str, str]:
-    from tracewright.plans.prepared import EVENT_FIELDS, NETFLOW_FIELDS
+    from tracewright.plans.prepared import FLAT_TABLES
 
     return {
         "p1_found": P1_FOUND,
@@ -203,8 +275,11 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": P3_FOUND,
         "p3_collapsed": P3_COLLAPSED,
         "p4_found": P4_FOUND,
-        "p4_events": _flat("Event", EVENT_FIELDS),
-        "p4_netflows": _flat("NetFlowObject", NETFLOW_FIELDS),
+        **{name: _flat(*parts) for name, parts in FLAT_TABLES.items()},
         "p5_features": P5_FEATURES,
         "p6_found": P6_FOUND,
+        "p6_subjects": _consistent("Subject"),
+        "p6_files": _consistent("FileObject"),
+        "p6_netflows": _consistent("NetFlowObject"),
+        "p6_events": _consistent("Event"),
     }
