@@ -188,8 +188,8 @@ def mix(
     rows = sorted(rows, key=lambda r: r["source"])
     names = [r["source"] for r in rows]
     spark = documents.sparkSession
-    blocks = cut(source_blocks(documents, names, vocabulary, block_tokens, seed), "blocks")
-    have = {r[0]: (r[1], r[2]) for r in blocks.groupBy("source").agg(F.count(F.lit(1)), F.sum(F.size("tokens"))).collect()}
+    blocks = cut(source_blocks(documents, names, vocabulary, block_tokens, seed).withColumn("n_tokens", F.size("tokens")), "blocks")
+    have = {r[0]: (r[1], r[2]) for r in blocks.groupBy("source").agg(F.count(F.lit(1)), F.sum("n_tokens")).collect()}
     count = np.array([have.get(n, (0, 0))[0] for n in names], np.int64)
     shares, repeats = np.array([r["p"] for r in rows], float), np.array([r["m"] for r in rows], np.int64)
     quota = quotas(shares, count, repeats, None if total_tokens is None else max(1, total_tokens // block_tokens))
@@ -211,7 +211,7 @@ def mix(
         .mapInArrow(_slots(names, count.tolist(), seed), "out_shard int, slot long, source string, repeat_no int, block_index long")
     )
     mixture = slots.join(blocks, ["source", "block_index"]).select(
-        "out_shard", "slot", "source", "repeat_no", "block_index", F.size("tokens").alias("n_tokens"), "tokens"
+        "out_shard", "slot", "source", "repeat_no", "block_index", "n_tokens", "tokens"
     )
     return mixture, _shares(spark, mixture, rows, have)
 
