@@ -1,7 +1,9 @@
 import json
 
 from tests.helpers import order, rows
-from tracewright.operators.shred import array_objects, flat_table, shred, whole_json
+from tracewright.operators.shred import array_objects, element_table, flat_table, object_table, scalar_table, shred, whole_json
+from tracewright.plans.prepared import ELEMENT_TABLES, FLAT_TABLES
+from tracewright.session import load
 
 P = "com.bbn.tc.schema.avro.cdm18."
 SCHEMA = "file_ord int, line_off long, value string, node_id long, label string"
@@ -91,3 +93,52 @@ def test_long_and_deep_lines(spark):
 def test_empty_and_not_json(spark):
     assert array_objects(spark.createDataFrame([], SCHEMA)).count() == 0
     assert whole_json("[" * 200_000) is None and whole_json('{"a": Infinity}') is None
+
+
+def test_every_object_and_scalar_has_a_row(spark):
+    good, bad = made()
+    nodes = shred(spark.createDataFrame(good + bad, SCHEMA))
+    objects, scalars = object_table(nodes).collect(), scalar_table(nodes).collect()
+    in_arrays = order((r["file_ord"], r["line_off"], r["node_path"]) for r in objects if r["node_path"].endswith("]"))
+    assert in_arrays == rows(array_objects(spark.createDataFrame(good + bad, SCHEMA)))
+    assert len([r for r in objects if r["node_path"] == ""]) == len(good)
+    by_id = {(r["file_ord"], r["line_off"], r["node_id"]) for r in objects}
+    assert all(r["parent_id"] == -1 or (r["file_ord"], r["line_off"], r["parent_id"]) in by_id for r in objects)
+    assert all((r["file_ord"], r["line_off"], r["parent_id"]) in by_id for r in scalars)
+    listed = [(r["position"], r["kind"], r["value"]) for r in scalars if r["label"] == "l" and r["file_ord"] == 1]
+    assert sorted(listed) == [(0, "number", "1"), (1, "string", "a"), (2, "null", None), (3, "string", "w")]
+    assert sorted(tuple(r)[4:] for r in element_table(nodes, "Event", r"l\[[0-9]+\]").collect()) == [(0, "1"), (1, "a"), (2, None), (3, "w")]
+    assert flat_table(nodes, "Event", "two|m", {}).columns == ["file_ord", "line_off", "node_id", "parent_id"]
+
+
+def test_registered_tables_leave_out_no_place(spark):
+    tag = {"tagId": 1, "flow": "f", "children": [{"tagId": 2, "children": {"array": [{"tagId": 3, "children": [{"tagId": 4}]}]}}]}
+    prov = {"asset": "a", "tags": [tag], "detail": {"codes": [7, 8], "steps": {"array": [tag]}}}
+    r = [
+        line({"uuid": "e", "properties": {"map": {"arg": "x", "host": "h"}}, "parameters": {"array": [{"size": 1, "provenance": [prov]}]}}),
+        line({"uuid": "s", "properties": {"map": {"host": "h", "login": "l"}}, "importedLibraries": {"array": ["a", "b"]}}, "Subject"),
+        line({"uuid": "f", "baseObject": {"epoch": 1, "properties": {"map": {"dev": "d", "mnt": "m"}}}, "digests": [{"type": "t", "hash": "h"}]}, "FileObject"),
+        line({"uuid": "n", "baseObject": {"epoch": 1, "permission": None, "ifaces": [{"ifname": "i", "mtu": 1}]}}, "NetFlowObject"),
+    ]
+    nodes = shred(spark.createDataFrame([(1, i, t, 0, "") for i, t in enumerate(r)], SCHEMA)).cache()
+    found = [tuple(x)[:4] for parts in FLAT_TABLES.values() for x in flat_table(nodes, *parts[:2], {}).collect()]
+    assert order(found) == order(tuple(x)[:4] for x in object_table(nodes).collect()) and len(found) == 22
+    elements = [tuple(x)[5] for parts in ELEMENT_TABLES.values() for x in element_table(nodes, *parts).collect()]
+    assert sorted(elements) == ["7", "8", "a", "b"]
+    depth = {x["tag_id"]: x["parent_id"] for x in flat_table(nodes, *FLAT_TABLES["p4_tags"]).collect()}
+    ids = {x["tag_id"]: x["node_id"] for x in flat_table(nodes, *FLAT_TABLES["p4_tags"]).collect()}
+    assert depth["2"] == ids["1"] and depth["3"] == ids["2"] and depth["4"] == ids["3"]
+    nodes.unpersist()
+
+
+def test_registered_tables_cover_the_test_records(spark, data):
+    nodes = shred(load(spark, data, "raw_records")).cache()
+    covered = sum(flat_table(nodes, cls, at, {}).count() for cls, at, _ in FLAT_TABLES.values())
+    assert covered == object_table(nodes).count() > 0
+    for cls, at, fields in FLAT_TABLES.values():
+        of = flat_table(nodes, cls, at, {}).withColumnRenamed("node_id", "owner").drop("parent_id")
+        own = scalar_table(nodes).where("kind <> 'null' and position < 0").withColumnRenamed("parent_id", "owner").join(of, ["file_ord", "line_off", "owner"])
+        assert {x["label"] for x in own.select("label").distinct().collect()} <= set(fields.values())
+    elements = sum(element_table(nodes, *parts).count() for parts in ELEMENT_TABLES.values())
+    assert elements == scalar_table(nodes).where("position >= 0").count() > 0
+    nodes.unpersist()

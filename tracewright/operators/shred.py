@@ -156,18 +156,58 @@ def flat_table(nodes: DataFrame, rec_class: str, at: str, fields: dict[str, str]
     ``at`` is a pattern (a whole-string regular expression) for node_path, '' for the record body
     itself; ``fields`` maps output columns to labels of scalar children. Each row has file_ord,
     line_off (the record), node_id (the object) and parent_id (the object around it, -1 for the
-    body). A field that is absent or null is null.
+    body). A field that is absent or null is null; without ``fields`` only the ids come out.
     """
     keys = ["file_ord", "line_off", "node_id"]
     own = nodes.where(F.col("rec_class") == rec_class)
     objects = own.where((F.col("kind") == "object") & F.col("node_path").rlike(f"^(?:{at})$")).select(*keys, F.col("object_id").alias("parent_id"))
+    if not fields:
+        return objects.select(*keys, "parent_id")
     wanted = sorted(set(fields.values()))
+    at_label = {label: str(i + 1) for i, label in enumerate(wanted)}  # pivoted by number, as names may differ in case only
     scalars = (
         own.where(F.col("label").isin(*wanted) & F.col("scalar").isNotNull() & ~F.col("in_array"))
-        .select("file_ord", "line_off", F.col("parent_id").alias("node_id"), "label", "scalar")
+        .withColumn("field", F.array_position(F.lit(wanted), F.col("label")).cast("string"))
+        .select("file_ord", "line_off", F.col("parent_id").alias("node_id"), "field", "scalar")
         .groupBy(*keys)
-        .pivot("label", wanted)
+        .pivot("field", sorted(at_label.values()))
         .agg(F.first("scalar"))
     )
     joined = objects.join(scalars, keys, "left")
-    return joined.select(*keys, "parent_id", *(F.col(f"`{label}`").alias(name) for name, label in fields.items()))
+    return joined.select(*keys, "parent_id", *(F.col(f"`{at_label[label]}`").alias(name) for name, label in fields.items()))
+
+
+def element_table(nodes: DataFrame, rec_class: str, at: str) -> DataFrame:
+    """The scalar array elements of one class whose node_path matches ``at``: file_ord, line_off, node_id, parent_id, position, value.
+
+    parent_id is the object around the array. A null element has a row with a null value.
+    """
+    own = nodes.where((F.col("rec_class") == rec_class) & F.col("in_array") & F.col("node_path").rlike(f"^(?:{at})$"))
+    return own.where(~F.col("kind").isin(*_INNER)).select(
+        "file_ord", "line_off", "node_id", F.col("object_id").alias("parent_id"), F.col("ordinal").alias("position"), F.col("scalar").alias("value")
+    )
+
+
+_INNER = ("object", "array", "wrapped_array")
+
+
+def object_table(nodes: DataFrame) -> DataFrame:
+    """Every object of every class, at whatever place: file_ord, line_off, node_id, parent_id, rec_class, node_path.
+
+    parent_id is the object around it, -1 for the body. A wrapper that is an array's element has a
+    row even where it holds no object, as in ``array_objects``.
+    """
+    return nodes.where((F.col("kind") == "object") | F.col("kind").startswith("wrapped_")).select(
+        "file_ord", "line_off", "node_id", F.col("object_id").alias("parent_id"), "rec_class", "node_path"
+    )
+
+
+def scalar_table(nodes: DataFrame) -> DataFrame:
+    """Every scalar, array elements included, at whatever place: file_ord, line_off, node_id, parent_id, rec_class, label, position, kind, value, node_path.
+
+    parent_id is the object around it, position -1 outside arrays. Nulls have a row with a null value.
+    """
+    return nodes.where(~F.col("kind").isin(*_INNER)).select(
+        "file_ord", "line_off", "node_id", F.col("object_id").alias("parent_id"), "rec_class", "label",
+        F.col("ordinal").alias("position"), F.regexp_replace("kind", "^wrapped_", "").alias("kind"), F.col("scalar").alias("value"), "node_path",
+    )
