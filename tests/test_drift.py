@@ -142,3 +142,12 @@ def test_empty(spark):
     records = spark.createDataFrame([], SCHEMA)
     files = spark.createDataFrame([], "file_ord int, stream_name string, file_no int")
     assert schema_changes(records, files).count() == 0 and ingest(records, "Event").count() == 0
+
+
+def test_digit_strings_are_cast_over_all_of_int64(spark):
+    good = {"1772457465789334187": 1772457465789334187, "9223372036854775807": 2**63 - 1, "-9223372036854775808": -(2**63), "+5": 5, "0" * 5000 + "7": 7, "000": 0}
+    bad = ["9223372036854775808", "-9223372036854775809", "9" * 5000, "1" * 20, "", "-", "1.0", "1e3", " 1", "١"]
+    r = [(1, i, line("Event", {"uuid": str(i), "timestampNanos": x}), 1) for i, x in enumerate([*good, *bad])]
+    got = consistent_table(spark.createDataFrame(r, SCHEMA), "Event").orderBy("line_off").collect()
+    assert [x["timestampNanos"] for x in got] == [*good.values()] + [None] * len(bad)
+    assert [json.loads(x["_rescued"])["timestampNanos"] if x["_rescued"] else None for x in got] == [None] * len(good) + bad

@@ -22,6 +22,7 @@ from tracewright.session import cut
 
 CLASSES = ("Subject", "FileObject", "NetFlowObject", "Event")
 _VERSION = re.compile(r"cdm\d+", re.I)
+_DIGITS = re.compile(r"([+-]?)0*([0-9]{1,19})")  # without leading zeros, an int64 has 19 digits at most
 
 #: The approved schema of each class, field to type.
 TARGETS: dict[str, dict[str, str]] = {
@@ -82,8 +83,8 @@ def _cast(value, kind: str):
         return isinstance(value, str), value
     if isinstance(value, bool):
         return False, None
-    if isinstance(value, str) and re.fullmatch(r"[+-]?[0-9]{1,18}", value):
-        return True, int(value)
+    if isinstance(value, str) and (digits := _DIGITS.fullmatch(value)):
+        value = int(digits[1] + digits[2])
     if isinstance(value, int) and -(2**63) <= value < 2**63:
         return True, value
     return False, None
