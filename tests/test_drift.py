@@ -3,7 +3,19 @@ import re
 from collections import defaultdict
 
 from tests.helpers import order, rows
-from tracewright.operators.drift import CLASSES, PROMOTED, TARGETS, canonical, consistent_table, ingest, kind_of, promote, schema_changes
+from tracewright.operators.drift import (
+    CLASSES,
+    NESTED,
+    PROMOTED,
+    TARGETS,
+    canonical,
+    consistent_table,
+    ingest,
+    kind_of,
+    promote,
+    schema_changes,
+    with_found,
+)
 from tracewright.session import load
 
 P = "com.bbn.tc.schema.avro.cdm18."
@@ -151,3 +163,47 @@ def test_digit_strings_are_cast_over_all_of_int64(spark):
     got = consistent_table(spark.createDataFrame(r, SCHEMA), "Event").orderBy("line_off").collect()
     assert [x["timestampNanos"] for x in got] == [*good.values()] + [None] * len(bad)
     assert [json.loads(x["_rescued"])["timestampNanos"] if x["_rescued"] else None for x in got] == [None] * len(good) + bad
+
+
+def test_every_rename_between_wanted_fields_ends_in_one_column(spark, data):
+    records, files = load(spark, data, "raw_records"), load(spark, data, "raw_files")
+    home = {cls: {a: c for c, names in (PROMOTED[cls] | NESTED.get(cls, {})).items() for a in (c, *names)} for cls in CLASSES}
+    found = schema_changes(records, files).where("change_kind = 'renamed'").collect()
+    assert found
+    for r in found:
+        old, _, new = r["field_name"].partition(">")
+        at = home[r["rec_class"]]
+        assert at[old] == at[new]
+
+
+def test_renames_of_the_approved_lists(spark):
+    bodies = {
+        "Subject": [{"startTimestampNanos": 5, "cid": 1, "cmdLine": "a"}, {"startNanos": 5, "pid": 1, "cmd": {"string": "a"}}],
+        "FileObject": [{"hashes": {"array": [{"type": "t", "hash": "h"}]}, "inode": 3}, {"digests": [{"type": "t", "hash": "h"}], "inodeNo": 3}],
+        "NetFlowObject": [{"initTcpSeqNum": 4, "localAddress": "l"}, {"tcpSeq": 4, "local_address": "l"}],
+        "Event": [{"predicateObjectPath": "p", "name": "n", "exec": "e"}, {"objectPath": {"string": "p"}, "syscall": "n", "image": "e"}],
+    }
+    for cls, (old, new) in bodies.items():
+        df = spark.createDataFrame([(i, 0, line(cls, b), 1) for i, b in enumerate((old, new))], SCHEMA)
+        a, b = (x.asDict() for x in consistent_table(df, cls).drop("line_off", "cdm_version").orderBy("file_ord").collect())
+        assert a.pop("file_ord") == 0 and b.pop("file_ord") == 1
+        assert a == b and a["_rescued"] is None and all(a[k] is not None for k in old)
+        assert cls != "FileObject" or json.loads(a["hashes"]) == [{"type": "t", "hash": "h"}]
+
+
+def test_renames_found_in_the_files_are_replayed(spark):
+    r = [
+        (0, 0, line("Event", {"uuid": "a", "exec": "x", "sequence": 1, "k": 7}), 1),
+        (1, 0, line("Event", {"uuid": "a", "program": "x", "sequence": "1", "kk": 7}), 1),
+        (2, 0, line("Event", {"uuid": "a", "binary": "x", "no": "1"}), 1),
+        (2, 1, line("Event", {"uuid": "b", "binary": "z", "no": None}), 1),
+    ]
+    files = spark.createDataFrame([(0, "s", 0), (1, "s", 1), (2, "s", 2)], "file_ord int, stream_name string, file_no int")
+    got = consistent_table(spark.createDataFrame(r, SCHEMA), "Event", files).orderBy("file_ord", "line_off").collect()
+    assert [(x["exec"], x["sequence"]) for x in got] == [("x", 1), ("x", 1), ("x", 1), ("z", None)]
+    assert [json.loads(x["_rescued"] or "null") for x in got] == [{"k": 7}, {"kk": 7}, None, {"no": None}]
+
+
+def test_found_names():
+    found = [("a", "b"), ("b", "c"), ("x", "y"), ("a", "q"), ("e", "q"), ("a", "e"), ("p", "r")]
+    assert with_found({"a": ("p",)}, ["a", "e"], found) == {"a": ("p", "b", "r", "c")}

@@ -27,17 +27,19 @@ _DIGITS = re.compile(r"([+-]?)0*([0-9]{1,19})")  # without leading zeros, an int
 #: The approved schema of each class, field to type.
 TARGETS: dict[str, dict[str, str]] = {
     "Subject": {"type": "string", "cid": "long", "parentSubject": "string", "localPrincipal": "string", "startTimestampNanos": "long", "cmdLine": "string"},
-    "FileObject": {"type": "string", "filename": "string", "fileDescriptor": "long", "size": "long"},
-    "NetFlowObject": {"localAddress": "string", "localPort": "long", "remoteAddress": "string", "remotePort": "long", "ipProtocol": "long"},
-    "Event": {"type": "string", "sequence": "long", "threadId": "long", "subject": "string", "predicateObject": "string", "timestampNanos": "long", "size": "long", "exec": "string"},
+    "FileObject": {"type": "string", "filename": "string", "fileDescriptor": "long", "size": "long", "inode": "long"},
+    "NetFlowObject": {"localAddress": "string", "localPort": "long", "remoteAddress": "string", "remotePort": "long", "ipProtocol": "long", "initTcpSeqNum": "long"},
+    "Event": {"type": "string", "sequence": "long", "threadId": "long", "subject": "string", "predicateObject": "string", "timestampNanos": "long", "size": "long", "exec": "string", "name": "string", "predicateObjectPath": "string"},
 }
 #: Approved renames, typed column to the names its values also come under.
 PROMOTED: dict[str, dict[str, tuple[str, ...]]] = {
-    "Subject": {"cmdLine": ("cmdline", "commandLine"), "localPrincipal": ("principal",), "cid": ("processId", "tgid")},
-    "FileObject": {"filename": ("fileName", "path", "pathHint"), "fileDescriptor": ("fd",)},
-    "NetFlowObject": {"localAddress": ("srcAddress",), "localPort": ("srcPort",), "remoteAddress": ("dstAddress",), "remotePort": ("dstPort",)},
-    "Event": {"exec": ("execName",), "sequence": ("seqNo",)},
-}
+    "Subject": {"cmdLine": ("cmdline", "commandLine", "cmd"), "localPrincipal": ("principal",), "cid": ("processId", "tgid", "pid"), "startTimestampNanos": ("startNanos",)},
+    "FileObject": {"filename": ("fileName", "path", "pathHint", "objectPath"), "fileDescriptor": ("fd",), "inode": ("inodeNo",)},
+    "NetFlowObject": {"localAddress": ("srcAddress", "local_address"), "localPort": ("srcPort",), "remoteAddress": ("dstAddress", "remote_address"), "remotePort": ("dstPort",), "initTcpSeqNum": ("tcpSeq",)},
+    "Event": {"exec": ("execName", "exe", "image"), "sequence": ("seqNo",), "name": ("syscall",), "predicateObjectPath": ("objectPath",)},
+}
+#: Approved lists and objects, kept as JSON text; column to the names its values also come under.
+NESTED: dict[str, dict[str, tuple[str, ...]]] = {"FileObject": {"hashes": ("digests",)}}
 
 
 def kind_of(value) -> str | None:
@@ -68,10 +70,16 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, ensure_ascii=False)
 
 
-def _compact(fields: dict) -> str:
+def _compact(fields) -> str:
     return json.dumps(fields, ensure_ascii=False, separators=(",", ":"))
 
 
+def _text(value) -> str | None:
+    """JSON text of a value without its wrappers; None for null."""
+    value = unwrap(value)
+    return None if value is None else _compact(value)
+
+
 def _cast(value, kind: str):
     """(fits, value) of an unwrapped value under a target type; 'json' takes anything as it came."""
     if kind == "json":
@@ -126,10 +134,12 @@ def ingest(records: DataFrame, rec_class: str, target: dict[str, str] | None = N
 
     _rescued is a JSON object of the fields that the schema doesn't have or whose value can't be
     cast, as they came; null where there are none. Wrappers are taken off before the cast. Lines
-    that aren't whole JSON, or are null, give no row; a line sent twice gives two.
+    that aren't whole JSON, or are null, give no row; a line sent twice gives two. Columns of type
+    'json' hold the text of whatever value came.
     """
     target = TARGETS[rec_class] if target is None else target
-    arrow = {"string": pa.string(), "long": pa.int64()}
+    arrow = {"string": pa.string(), "long": pa.int64(), "json": pa.string()}
+    texts = [n for n, k in target.items() if k == "json"]
     schema = pa.schema(
         [("file_ord", pa.int32()), ("line_off", pa.int64()), ("cdm_version", pa.string()), ("uuid", pa.string())]
         + [(n, arrow[k]) for n, k in target.items()]
@@ -142,22 +152,23 @@ def ingest(records: DataFrame, rec_class: str, target: dict[str, str] | None = N
             for file_ord, line_off, cls, version, body in _records(batch):
                 if cls == rec_class:
                     typed, rescued = rescue(body, target)
+                    typed |= {n: _text(typed[n]) for n in texts if n in typed}
                     rest = _compact(rescued) if rescued else None
                     rows.append((file_ord, line_off, version, _uuid(body), *(typed.get(n) for n in target), rest))
             cols = list(zip(*rows)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    fields = ", ".join(f"`{n}` {k}" for n, k in target.items())
+    fields = ", ".join(f"`{n}` {'string' if k == 'json' else k}" for n, k in target.items())
     return _lines(records).mapInArrow(run, f"file_ord int, line_off long, cdm_version string, uuid string, {fields}, _rescued string")
 
 
-def promote(table: DataFrame, approved: dict[str, tuple[str, ...]]) -> DataFrame:
+def promote(table: DataFrame, approved: dict[str, tuple[str, ...]], texts: tuple[str, ...] = ()) -> DataFrame:
     """Replay rescued values of approved names into their typed columns, and take them out of _rescued.
 
     A typed value that is there stays; otherwise the first of the names, in the order given, whose
-    value can be cast. Values that aren't taken stay rescued.
+    value can be cast. Values that aren't taken stay rescued. ``texts`` are the columns of type 'json'.
     """
-    kinds = {n: {"bigint": "long"}.get(k, k) for n, k in table.dtypes}
+    kinds = {n: {"bigint": "long"}.get(k, k) for n, k in table.dtypes} | dict.fromkeys(texts, "json")
     names = table.columns
     at = {n: i for i, n in enumerate(names)}
 
@@ -173,6 +184,7 @@ def promote(table: DataFrame, approved: dict[str, tuple[str, ...]]) -> DataFrame
                     for name in others:
                         if wanted[column][row] is None and name in fields:
                             fits, got = _cast(fields[name], kinds[column])
+                            got = _text(got) if kinds[column] == "json" else got
                             if fits and got is not None:
                                 wanted[column][row] = got
                                 del fields[name]
@@ -185,9 +197,43 @@ def promote(table: DataFrame, approved: dict[str, tuple[str, ...]]) -> DataFrame
     return table.mapInArrow(run, table.schema)
 
 
-def consistent_table(records: DataFrame, rec_class: str) -> DataFrame:
-    """All records of a class in one table: ingestion under its approved schema, then the approved renames."""
-    return promote(ingest(records, rec_class), PROMOTED[rec_class])
+def with_found(approved: dict[str, tuple[str, ...]], columns: list[str], found: list[tuple[str, str]]) -> dict[str, tuple[str, ...]]:
+    """The approved names and those that found (old, new) renames lead to from a column, over any number of renames.
+
+    A name that already is a column's, or a column, stays where it is; one that leads to several columns is left out.
+    """
+    home = {c: c for c in columns} | {name: c for c, names in approved.items() for name in names}
+    unclear: set[str] = set()
+    out = {c: list(approved.get(c, ())) for c in columns}
+    while True:
+        near: dict[str, set[str]] = {}
+        for pair in found:
+            for known, name in (pair, pair[::-1]):
+                if known in home and name not in home and name not in unclear:
+                    near.setdefault(name, set()).add(home[known])
+        if not near:
+            return {c: tuple(names) for c, names in out.items() if names}
+        for name, homes in sorted(near.items()):
+            if len(homes) == 1:
+                (home[name],) = homes
+                out[home[name]].append(name)
+            else:
+                unclear.add(name)
+
+
+def consistent_table(records: DataFrame, rec_class: str, files: DataFrame | None = None) -> DataFrame:
+    """All records of a class in one table: ingestion under its approved schema, then the approved renames.
+
+    With ``files`` (raw_files) also the renames that ``schema_changes`` finds between these files,
+    as far as they lead to one of the columns; their pairs of names, not their records, pass the driver.
+    """
+    nested = NESTED.get(rec_class, {})
+    target = TARGETS[rec_class] | dict.fromkeys(nested, "json")
+    approved = PROMOTED[rec_class] | nested
+    if files is not None:
+        pairs = _compare(records, files)[3].where(F.col("rec_class") == rec_class).select("old_name", "new_name").distinct().collect()
+        approved = with_found(approved, list(target), [tuple(p) for p in pairs])
+    return promote(ingest(records, rec_class, target), approved, tuple(nested))
 
 
 def field_inventory(records: DataFrame) -> DataFrame:
@@ -259,26 +305,20 @@ def file_pairs(files: DataFrame) -> DataFrame:
     return rows.select(F.lag("file_ord").over(w).alias("prev_ord"), F.col("file_ord").cast("int")).where(F.col("prev_ord").isNotNull())
 
 
-def schema_changes(records: DataFrame, files: DataFrame) -> DataFrame:
-    """Every change of fields from a file to the next: (file_ord, rec_class, field_name, change_kind).
+_GROUP = ["prev_ord", "file_ord", "rec_class"]
 
-    change_kind 'renamed' (field_name 'old>new'), 'removed', 'added' or 'retyped'. A pair of a
-    field that went and one that came is a rename if in all uuids with non-null values of both, at
-    least one, the values are equal (as sets, where a uuid has several). A field whose values are
-    all null in either file isn't retyped. A class without any record in one of the two files
-    has no fields there. Lines that aren't whole JSON take no part.
-    """
+
+def _compare(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Fields of neighbouring files: all, those that went, those that came, and (old_name, new_name) of the renamed."""
     pairs = cut(file_pairs(files), "pairs")
     fields = cut(field_inventory(records), "fields")
     before = pairs.join(fields.withColumnRenamed("file_ord", "prev_ord"), "prev_ord").withColumnRenamed("kinds", "old_kinds")
     after = pairs.join(fields, "file_ord").withColumnRenamed("kinds", "new_kinds")
     key = ["prev_ord", "file_ord", "rec_class", "field_name"]
     both = cut(before.join(after, key, "full"), "changes")
-    retyped = both.where((F.size("old_kinds") > 0) & (F.size("new_kinds") > 0) & (F.col("old_kinds") != F.col("new_kinds")))
     gone, come = both.where(F.col("new_kinds").isNull()), both.where(F.col("old_kinds").isNull())
-    group = ["prev_ord", "file_ord", "rec_class"]
     maybe = cut(
-        gone.select(*group, F.col("field_name").alias("old_name")).join(come.select(*group, F.col("field_name").alias("new_name")), group), "maybe"
+        gone.select(*_GROUP, F.col("field_name").alias("old_name")).join(come.select(*_GROUP, F.col("field_name").alias("new_name")), _GROUP), "maybe"
     )
     wanted = maybe.select(F.col("prev_ord").alias("file_ord"), "rec_class", F.col("old_name").alias("field_name")).unionByName(
         maybe.select("file_ord", "rec_class", F.col("new_name").alias("field_name"))
@@ -299,15 +339,29 @@ def schema_changes(records: DataFrame, files: DataFrame) -> DataFrame:
     new = values.select("file_ord", "rec_class", F.col("field_name").alias("new_name"), "uuid", F.col("value").alias("now"))
     renamed = cut(
         old.join(new, ["file_ord", "rec_class", "new_name", "uuid"])
-        .groupBy(*group, "old_name", "new_name")
+        .groupBy(*_GROUP, "old_name", "new_name")
         .agg(F.bool_and(F.col("was") == F.col("now")).alias("same"))
         .where("same"),
         "renamed",
     )
+    return both, gone, come, renamed
+
+
+def schema_changes(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Every change of fields from a file to the next: (file_ord, rec_class, field_name, change_kind).
+
+    change_kind 'renamed' (field_name 'old>new'), 'removed', 'added' or 'retyped'. A pair of a
+    field that went and one that came is a rename if in all uuids with non-null values of both, at
+    least one, the values are equal (as sets, where a uuid has several). A field whose values are
+    all null in either file isn't retyped. A class without any record in one of the two files
+    has no fields there. Lines that aren't whole JSON take no part.
+    """
+    both, gone, come, renamed = _compare(records, files)
+    retyped = both.where((F.size("old_kinds") > 0) & (F.size("new_kinds") > 0) & (F.col("old_kinds") != F.col("new_kinds")))
 
     def left_over(side: DataFrame, name: str, kind: str) -> DataFrame:
-        taken = renamed.select(*group, F.col(name).alias("field_name")).distinct()
-        return side.join(taken, [*group, "field_name"], "left_anti").select("file_ord", "rec_class", "field_name", F.lit(kind).alias("change_kind"))
+        taken = renamed.select(*_GROUP, F.col(name).alias("field_name")).distinct()
+        return side.join(taken, [*_GROUP, "field_name"], "left_anti").select("file_ord", "rec_class", "field_name", F.lit(kind).alias("change_kind"))
 
     return (
         retyped.select("file_ord", "rec_class", "field_name", F.lit("retyped").alias("change_kind"))

@@ -103,7 +103,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table(rec_class: str) -> Query:
-    return lambda spark, sf_dir: drift.consistent_table(load(spark, sf_dir, "raw_records"), rec_class)
+    return lambda spark, sf_dir: drift.consistent_table(load(spark, sf_dir, "raw_records"), rec_class, load(spark, sf_dir, "raw_files"))
 
 
 def queries() -> dict[str, Query]:
