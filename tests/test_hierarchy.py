@@ -79,3 +79,23 @@ def test_descendants(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], EVENTS)
     assert hierarchy(df).count() == 0 and hierarchy(df, with_path=True).count() == 0
+
+
+def every_ancestor(parent):
+    out = []
+    for x in parent:
+        at, steps, seen = parent[x], 1, set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            out.append((at, x, steps))
+            at, steps = parent[at], steps + 1
+    return out
+
+
+@pytest.mark.parametrize("local", [10**6, 3])
+def test_descendants_of_loops(spark, local):
+    small = {1: 1, 2: 1, 3: 2, 10: 11, 11: 12, 12: 10, 13: 12, 14: 13, 20: None, 21: 20, 30: 31, 31: 30}
+    for parent in (small, forest("ring", 12, 3), forest("any", 120, 7)):
+        parents = table(spark, parent)
+        got = descendants(resolve_forest(parents, with_path=True, local_nodes=local), parents)
+        assert rows(got) == order(every_ancestor(parent))

@@ -222,14 +222,39 @@ def hierarchy(events: DataFrame, link_types: tuple[str, ...] = LINK_TYPES, with_
     return resolve_forest(parent_table(events, link_types), with_path)
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id, distance) for all ancestors on each node's path.
+def loop_places(paths: DataFrame, parents: DataFrame) -> DataFrame:
+    """(root_id, node, place, size) of each node on a loop: its steps from the loop's smallest id, and the loop's length.
 
-    Its rows are the sum of all depths, which is the size of the answer. The nodes of one loop
-    aren't listed as each other's descendants; what hangs below a loop is listed under the node
-    by which it hangs.
+    Each loop is opened at its smallest id, so that the places are depths of a tree.
+    """
+    on = paths.where(F.col("link_state") == CYCLE).select(F.col("entity_id").alias("node"), "root_id")
+    opened = parents.join(on, "node").select("node", F.when(F.col("node") != F.col("root_id"), F.col("parent")).alias("parent"))
+    places = cut(resolve_forest(opened).select("root_id", F.col("entity_id").alias("node"), F.col("depth").alias("place")), "places")
+    return places.join(places.groupBy("root_id").agg(F.count(F.lit(1)).alias("size")), "root_id")
+
+
+def descendants(paths: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """(ancestor_id, descendant_id, distance) for all ancestors of each node.
+
+    The ancestors on a node's path, and with ``parents``, the (node, parent) table of the paths,
+    the loop that the path begins on: every node of a loop is an ancestor of all nodes on the loop
+    (of itself at the loop's length) and of all below it, at the steps of the shortest way. The
+    rows are as many as the answer has pairs. Without ``parents`` only the paths are read.
     """
     at = paths.select(F.col("entity_id").alias("descendant_id"), F.size("path").alias("n"), F.posexplode("path").alias("i", "ancestor_id"))
-    return at.where(F.col("i") < F.col("n") - 1).select(
+    found = at.where(F.col("i") < F.col("n") - 1).select(
         "ancestor_id", "descendant_id", (F.col("n") - 1 - F.col("i")).cast("long").alias("distance")
     )
+    if parents is None:
+        return found
+    places = cut(loop_places(paths, parents), "loop_places")
+    entries = paths.where(F.col("link_state") != TREE).select(F.col("entity_id").alias("descendant_id"), "depth", F.col("path")[0].alias("node"))
+    below = entries.join(places, "node").withColumnRenamed("node", "entry").withColumnRenamed("place", "entry_place")
+    around = below.join(places.select("root_id", F.col("node").alias("ancestor_id"), "place"), "root_id")
+    steps = F.pmod(F.col("entry_place") - F.col("place"), F.col("size"))
+    own = F.col("ancestor_id") == F.col("entry")
+    return found.unionByName(
+        around.where(~own | (F.col("depth") == 0)).select(  # an entry is on the paths below it already
+            "ancestor_id", "descendant_id", (F.col("depth") + F.when(own, F.col("size")).otherwise(steps)).alias("distance")
+        )
+    )

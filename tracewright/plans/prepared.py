@@ -59,7 +59,8 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.hierarchy(load(spark, sf_dir, "prov_events"), with_path=True))
+    parents = cut(hierarchy.parent_table(load(spark, sf_dir, "prov_events")), "parents")
+    return hierarchy.descendants(hierarchy.resolve_forest(parents, with_path=True), parents)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
