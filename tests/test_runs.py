@@ -4,7 +4,7 @@ from random import Random
 import pytest
 
 from tests.helpers import order, rows
-from tracewright.operators.runs import GAP_NS, collapse_runs
+from tracewright.operators.runs import GAP_NS, collapse_runs, collapsed_log
 
 EVENTS = "seq long, srcid long, etype string, dstid long, ts long, by_uuid long, n_events long"
 ENTITIES = "entity_id long, uuid string, cls string, attr string"
@@ -95,3 +95,25 @@ def test_empty(spark):
     assert collapse_runs(nothing, things).count() == 0
     events = made(60, 3)
     assert rows(collapse_runs(spark.createDataFrame(events, EVENTS), things)) == brute(events, [], 1)
+
+
+def test_collapsed_log_keeps_what_is_in_no_run(spark):
+    t = 10**15
+    events = [
+        (1, 1, "R", 1, t, 0, 0), (2, 1, "R", 1, t + 5, 0, 0), (3, 1, "R", 1, t, 0, 0), (4, None, "R", 1, t, 0, 0), (5, None, "R", 1, t, 0, 0),
+        (6, 1, None, 1, t, 0, 0), (7, 1, "R", None, t, 0, 0), (8, 1, "R", 1, 0, 0, 0), (9, 1, "R", 1, 0, 0, 0), (10, 1, "R", 1, None, 0, 0),
+        (11, 2, "R", 1, -1, 0, 0),
+    ]
+    things = spark.createDataFrame(THINGS, ENTITIES)
+    got = collapsed_log(spark.createDataFrame(events, EVENTS), things)
+    assert rows(got) == order([
+        (1, "R", 1, 1, t, t + 5, 2, 5), (None, "R", 1, 4, t, t, 1, 0), (1, None, 1, 6, t, t, 1, 0), (1, "R", None, 7, t, t, 1, 0),
+        (1, "R", 1, 8, 0, 0, 1, None), (1, "R", 1, 9, 0, 0, 1, None), (1, "R", 1, 10, None, None, 1, None), (2, "R", 1, 11, -1, -1, 1, None),
+    ])
+    many = made(300, 5)
+    own = [(s, e, d, t) for _, s, e, d, t, *_ in many]
+    left = {x for x in own if None not in x and x[3] > 0}
+    timed = {x for x in own if x[3] and None in x}
+    untimed = [x for x in own if not x[3]]
+    whole = collapsed_log(spark.createDataFrame(many, EVENTS), things).collect()
+    assert sum(r["n_events"] for r in whole) == len(left) + len(timed) + len(untimed)

@@ -188,3 +188,24 @@ def collapse_runs(
         "srcid", "etype", "dstid", "first_seq", "first_ts", "last_ts", "n_events"
     )
     return inner.unionByName(_stitch(found.where(edge), gap_ns, min_run)).withColumn("duration_ns", F.col("last_ts") - F.col("first_ts"))
+
+
+def collapsed_log(events: DataFrame, entities: DataFrame, gap_ns: int = GAP_NS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The whole log with its runs collapsed: ``collapse_runs``, and a row for each event that can't take part in one.
+
+    Those are rows with a null in srcid, etype, dstid, ts or seq, or ts <= 0. They have n_events 1, ts
+    as it came, and duration 0, or null without a time. Of timed ones equal in srcid, etype, dstid
+    and ts (nulls equal) the smallest seq stays; without a time a second delivery can't be told
+    from another event, so all stay.
+    """
+    timed = F.coalesce(F.col("ts") > 0, F.lit(False))
+    unknown = F.col("srcid").isNull() | F.col("etype").isNull() | F.col("dstid").isNull() | F.col("seq").isNull()
+    columns = ["srcid", "etype", "dstid", "ts", "seq"]
+    once = events.where(timed & unknown).groupBy("srcid", "etype", "dstid", "ts").agg(F.min("seq").alias("seq")).select(*columns)
+    single = once.unionByName(events.where(~timed).select(*columns))
+    return collapse_runs(events, entities, gap_ns, 1, block_rows).unionByName(
+        single.select(
+            "srcid", "etype", "dstid", F.col("seq").alias("first_seq"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"),
+            F.lit(1).cast("long").alias("n_events"), F.when(F.col("ts") > 0, F.lit(0).cast("long")).alias("duration_ns"),
+        )
+    )

@@ -69,7 +69,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.collapse_runs(load(spark, sf_dir, "prov_events"), load(spark, sf_dir, "entities"))
+    return runs.collapsed_log(load(spark, sf_dir, "prov_events"), load(spark, sf_dir, "entities"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
