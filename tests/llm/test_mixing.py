@@ -106,3 +106,14 @@ def test_empty(spark):
     for d, t in ((docs.where("false"), targets), (docs, targets.where("false"))):
         mixture, shares = mix(d, t)
         assert mixture.count() == 0 and shares.count() == t.count()
+
+
+def test_scarce_source_does_not_shrink_a_mixture_of_corpus_size(spark):
+    docs, _ = made(spark)
+    targets = spark.createDataFrame([("big", 0.5, 4), ("small", 0.5, 1)], TARGETS)
+    least = {r["source"]: r for r in mix(docs, targets, block_tokens=16)[1].collect()}
+    whole = {r["source"]: r for r in mix(docs, targets, block_tokens=16, of_corpus=1.0)[1].collect()}
+    have = sum(r["source_tokens"] for r in whole.values())
+    assert least["big"]["drawn_tokens"] < least["big"]["source_tokens"]
+    assert abs(sum(r["drawn_tokens"] for r in whole.values()) - have) <= 32
+    assert whole["small"]["drawn_tokens"] == whole["small"]["source_tokens"] and whole["small"]["actual_share"] < 0.5

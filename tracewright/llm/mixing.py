@@ -170,6 +170,7 @@ def mix(
     block_tokens: int = BLOCK_TOKENS,
     shard_blocks: int = SHARD_BLOCKS,
     seed: int = 7,
+    of_corpus: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares) of the documents whose source is listed in ``targets``.
 
@@ -177,7 +178,9 @@ def mix(
     target_share, max_repeats, source_tokens, drawn_tokens, actual_share, repeats.
     A listed source without tokens supplies nothing and the others share its part in proportion;
     its actual share is reported as 0. Without ``total_tokens`` the mixture is as large as the
-    caps let it be with every share met. Documents of unlisted or null source, and null or empty
+    caps let it be with every share met, whatever that leaves out; with ``of_corpus`` it has that
+    many times the blocks of all listed sources, where a source at its cap falls short of its
+    share and the report shows it. Documents of unlisted or null source, and null or empty
     texts, take no part. A source listed twice counts with its first row by share and cap; null
     shares and caps count as 0.
     """
@@ -192,7 +195,10 @@ def mix(
     have = {r[0]: (r[1], r[2]) for r in blocks.groupBy("source").agg(F.count(F.lit(1)), F.sum("n_tokens")).collect()}
     count = np.array([have.get(n, (0, 0))[0] for n in names], np.int64)
     shares, repeats = np.array([r["p"] for r in rows], float), np.array([r["m"] for r in rows], np.int64)
-    quota = quotas(shares, count, repeats, None if total_tokens is None else max(1, total_tokens // block_tokens))
+    total = None if total_tokens is None else max(1, total_tokens // block_tokens)
+    if of_corpus is not None:
+        total = max(1, round(of_corpus * int(count.sum())))
+    quota = quotas(shares, count, repeats, total)
     per_shard = max(shard_blocks, -(-int(quota.sum()) // MAX_SHARDS))
     drawn = shard_counts(quota, per_shard, seed)
     start = np.cumsum(drawn, axis=0) - drawn

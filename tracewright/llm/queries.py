@@ -28,6 +28,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_corpus_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), of_corpus=1.0)[0]
+
+
+def p8_corpus_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), of_corpus=1.0)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alikes(load(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ def queries() -> dict[str, Query]:
         "p7_report": p7_report,
         "p8_mixture": p8_mixture,
         "p8_shares": p8_shares,
+        "p8_corpus_mixture": p8_corpus_mixture,
+        "p8_corpus_shares": p8_corpus_shares,
         "p9_found": p9_found,
         "p9_normalized": p9_normalized,
     }
