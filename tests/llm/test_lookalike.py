@@ -94,3 +94,15 @@ def test_normalize_text_keeps_rows(spark):
 
 def test_empty(spark):
     assert look_alikes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_letters_of_one_shape_in_either_case():
+    normalizer = Normalizer(*mappings())
+    groups = "ƐԐ ɛԑε YҮ yү ƷӠ ʒӡ ƟӨ ɵө ĸкκ ƆϽ ɔͻ ΣƩ ÞϷ þϸ ʙв ʜн ᴍм ᴛт ᴙя cᴄ oᴏ sꜱ vᴠ wᴡ zᴢ".split()
+    assert [len(set(normalizer.apply(list(g)))) for g in groups] == [1] * len(groups)
+    assert len(set(normalizer.apply([g[0] for g in groups]))) == len(groups)
+
+
+def test_no_letter_is_in_two_groups():
+    letters = "".join(SAME_SHAPE)
+    assert len(set(letters)) == len(letters)

@@ -26,8 +26,9 @@ from tracewright.session import cut
 #: Letters of the same shape, each group headed by the letter it is written as.
 SAME_SHAPE = (
     "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "MМΜϺ", "NΝ", "OОΟ", "PРΡ", "QԚ", "SЅ", "TТΤ", "VѴ", "WԜ", "XХΧ", "YҮΥ", "ZΖ",
-    "aа", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "lӏ", "oоο", "pрρ", "qԛ", "sѕ", "vѵν", "wԝ", "xх", "yу",
-    "ÆӔ", "æӕ", "ƏӘ", "əә", "ƐԐ", "ГΓ", "ПΠ", "ФΦ", "ıι",
+    "aа", "cсϲᴄ", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "lӏ", "oоοᴏ", "pрρ", "qԛ", "sѕꜱ", "vѵνᴠ", "wԝᴡ", "xх", "yуү", "zᴢ",
+    "ÆӔ", "æӕ", "ƏӘ", "əә", "ƐԐ", "ГΓ", "ПΠ", "ФΦ", "ıιɩ",
+    "ɛԑε", "ƷӠ", "ʒӡ", "ƟӨ", "ɵө", "ĸкκᴋ", "ƆϽ", "ɔͻ", "ΣƩ", "ÞϷ", "þϸ", "ʙв", "ʜн", "ᴍм", "ᴛт", "ᴙя",
 )
 #: The hyphens drawn like the ASCII one (its wide form decomposes to it).
 HYPHENS = "‐‑﹣"
