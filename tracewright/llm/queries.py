@@ -1,4 +1,4 @@
-"""The registered queries of problems 7 to 9, with production parameters, over whole tables."""
+"""The registered queries of problems 3, 7, 8 and 9, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import lookalike, mixing, packing
+from tracewright.llm import lookalike, mixing, packing, runs
 from tracewright.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(load(spark, sf_dir, "prov_events"), load(spark, sf_dir, "entities"), min_run=2)
+    return found.select("srcid", "first_seq", "n_events")
+
+
+def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapsed_log(load(spark, sf_dir, "prov_events"), load(spark, sf_dir, "entities"))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_sizes"))
 
@@ -46,6 +55,8 @@ def p9_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p3_found": p3_found,
+        "p3_collapsed": p3_collapsed,
         "p7_packed": p7_packed,
         "p7_report": p7_report,
         "p8_mixture": p8_mixture,
@@ -57,6 +68,45 @@ def queries() -> dict[str, Query]:
     }
 
 
+_RUNS = r"""
+WITH rows AS (
+  SELECT srcid, etype, dstid, ts, min(seq) AS seq FROM prov_events
+  WHERE srcid IS NOT NULL AND etype IS NOT NULL AND dstid IS NOT NULL AND seq IS NOT NULL AND ts > 0
+  GROUP BY srcid, etype, dstid, ts),
+looks AS (
+  SELECT entity_id, uuid, CASE
+    WHEN attr IN ('', 'null', 'none', '<unknown>') THEN NULL
+    WHEN cls = 'file' THEN 'f' || regexp_replace(attr, '[0-9]+', chr(1), 'g')
+    WHEN cls = 'socket' AND len(string_split(attr, ',')) = 4
+      THEN 's' || split_part(attr, ',', 1) || chr(1) || split_part(attr, ',', 3) || chr(1) || split_part(attr, ',', 4) END AS look
+  FROM entities),
+o AS (
+  SELECT r.*, uuid, look, lag(etype) OVER w AS e0, lag(ts) OVER w AS t0, lag(dstid) OVER w AS d0, lag(uuid) OVER w AS u0, lag(look) OVER w AS l0
+  FROM rows r LEFT JOIN looks ON entity_id = dstid WINDOW w AS (PARTITION BY srcid ORDER BY ts, seq)),
+n AS (
+  SELECT *, sum(CASE WHEN e0 = etype AND ts - t0 <= 60000000000
+      AND (d0 = dstid OR coalesce(u0 = uuid, false) OR coalesce(l0 = look, false)) THEN 0 ELSE 1 END)
+    OVER (PARTITION BY srcid ORDER BY ts, seq) AS run FROM o)
+"""
+
+P3_FOUND = (
+    _RUNS + "SELECT srcid, arg_min(seq, (ts, seq)) AS first_seq, count(*) AS n_events FROM n GROUP BY srcid, run HAVING count(*) >= 2"
+)
+P3_COLLAPSED = (
+    _RUNS
+    + """
+SELECT srcid, arg_min(etype, (ts, seq)) AS etype, arg_min(dstid, (ts, seq)) AS dstid, arg_min(seq, (ts, seq)) AS first_seq,
+  min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, max(ts) - min(ts) AS duration_ns
+FROM n GROUP BY srcid, run
+UNION ALL
+SELECT srcid, etype, dstid, min(seq), ts, ts, 1, 0 FROM prov_events
+WHERE ts > 0 AND (srcid IS NULL OR etype IS NULL OR dstid IS NULL OR seq IS NULL) GROUP BY srcid, etype, dstid, ts
+UNION ALL
+SELECT srcid, etype, dstid, seq, ts, ts, 1, NULL FROM prov_events WHERE ts IS NULL OR ts <= 0
+"""
+)
+
+
 def _look() -> str:
     """The one form of column text, in SQL: composed, unseen characters out, the rest mapped one by one, composed again.
 
@@ -75,6 +125,8 @@ def _look() -> str:
 def oracle_sql() -> dict[str, str]:
     look = _look()
     return {
+        "p3_found": P3_FOUND,
+        "p3_collapsed": P3_COLLAPSED,
         "p9_found": f"""
 WITH looks AS (SELECT doc_id, text, {look} AS look FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
