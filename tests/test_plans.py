@@ -1,6 +1,6 @@
 """What the plans of the large scans must look like."""
 
-from tracewright.operators import features, hierarchy, runs, skew
+from tracewright.operators import features, hierarchy, skew
 from tracewright.session import load
 
 
@@ -30,8 +30,6 @@ def test_features_shuffle_once_after_reducing(spark, data):
 def test_no_cross_join_anywhere(spark, data):
     for df in (
         skew.entity_profile(load(spark, data, "prov_events")),
-        runs.object_groups(load(spark, data, "entities")),
-        runs.collapse_runs(load(spark, data, "prov_events"), load(spark, data, "entities")),
     ):
         text = plan(spark, df)
         assert "CartesianProduct" not in text and "NestedLoop" not in text

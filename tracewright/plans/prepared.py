@@ -1,4 +1,4 @@
-"""The registered queries of problems 1 to 6, with production parameters, over whole tables."""
+"""The registered queries of problems 1, 2, 4, 5 and 6, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import drift, features, hierarchy, runs, shred, skew
+from tracewright.operators import drift, features, hierarchy, shred, skew
 from tracewright.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,15 +63,6 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.resolve_forest(parents, with_path=True), parents)
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = runs.collapse_runs(load(spark, sf_dir, "prov_events"), load(spark, sf_dir, "entities"), min_run=2)
-    return found.select("srcid", "first_seq", "n_events")
-
-
-def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.collapsed_log(load(spark, sf_dir, "prov_events"), load(spark, sf_dir, "entities"))
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.array_objects(load(spark, sf_dir, "raw_records"))
 
@@ -114,8 +105,6 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_paths": p2_paths,
         "p2_descendants": p2_descendants,
-        "p3_found": p3_found,
-        "p3_collapsed": p3_collapsed,
         "p4_found": p4_found,
         **{name: _flat(*parts) for name, parts in FLAT_TABLES.items()},
         **{name: _elements(*parts) for name, parts in ELEMENT_TABLES.items()},

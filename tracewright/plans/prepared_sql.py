@@ -1,4 +1,4 @@
-"""SQL counterparts of the queries of problems 1 to 6, as far as SQL can state them."""
+"""SQL counterparts of the queries of problems 1, 2, 4, 5 and 6, as far as SQL can state them."""
 
 from __future__ import annotations
 
@@ -60,39 +60,6 @@ SELECT unnest(way[2:p]) AS ancestor_id, id AS descendant_id, CAST(unnest(range(1
 """
 )
 
-_RUNS = r"""
-WITH rows AS (
-  SELECT srcid, etype, dstid, ts, min(seq) AS seq FROM prov_events
-  WHERE srcid IS NOT NULL AND etype IS NOT NULL AND dstid IS NOT NULL AND seq IS NOT NULL AND ts > 0
-  GROUP BY srcid, etype, dstid, ts),
-looks AS (
-  SELECT entity_id, uuid, CASE
-    WHEN attr IN ('', 'null', 'none', '<unknown>') THEN NULL
-    WHEN cls = 'file' THEN 'f' || regexp_replace(attr, '[0-9]+', chr(1), 'g')
-    WHEN cls = 'socket' AND len(string_split(attr, ',')) = 4
-      THEN 's' || split_part(attr, ',', 1) || chr(1) || split_part(attr, ',', 3) || chr(1) || split_part(attr, ',', 4) END AS look
-  FROM entities),
-o AS (
-  SELECT r.*, uuid, look, lag(etype) OVER w AS e0, lag(ts) OVER w AS t0, lag(dstid) OVER w AS d0, lag(uuid) OVER w AS u0, lag(look) OVER w AS l0
-  FROM rows r LEFT JOIN looks ON entity_id = dstid WINDOW w AS (PARTITION BY srcid ORDER BY ts, seq)),
-n AS (
-  SELECT *, sum(CASE WHEN e0 = etype AND ts - t0 <= 60000000000
-      AND (d0 = dstid OR coalesce(u0 = uuid, false) OR coalesce(l0 = look, false)) THEN 0 ELSE 1 END)
-    OVER (PARTITION BY srcid ORDER BY ts, seq) AS run FROM o)
-"""
-
-P3_FOUND = (
-    _RUNS + "SELECT srcid, arg_min(seq, (ts, seq)) AS first_seq, count(*) AS n_events FROM n GROUP BY srcid, run HAVING count(*) >= 2"
-)
-P3_COLLAPSED = (
-    _RUNS
-    + """
-SELECT srcid, arg_min(etype, (ts, seq)) AS etype, arg_min(dstid, (ts, seq)) AS dstid, arg_min(seq, (ts, seq)) AS first_seq,
-  min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, max(ts) - min(ts) AS duration_ns
-FROM n GROUP BY srcid, run
-"""
-)
-
 _WRAPPED = "(array|map|string|int|long|bytes|boolean|com\\.bbn\\.tc\\.schema\\.avro.*)"
 
 #: Objects are walked down one level a step: (path, value inside its wrappers, whether an array's element that is an object).
@@ -272,8 +239,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2_FOUND,
         "p2_paths": P2_PATHS,
         "p2_descendants": P2_DESCENDANTS,
-        "p3_found": P3_FOUND,
-        "p3_collapsed": P3_COLLAPSED,
         "p4_found": P4_FOUND,
         **{name: _flat(*parts) for name, parts in FLAT_TABLES.items()},
         "p5_features": P5_FEATURES,
