@@ -204,6 +204,40 @@ def test_renames_found_in_the_files_are_replayed(spark):
     assert [json.loads(x["_rescued"] or "null") for x in got] == [{"k": 7}, {"kk": 7}, None, {"no": None}]
 
 
+def test_report_and_tables_take_lines_of_any_depth(spark):
+    deep = "7"
+    for _ in range(30_000):
+        deep = '{"k":[' + deep + "]}"
+    r = [(i, 0, '{"datum": {"%sEvent": {"uuid": "a", "%s": %s, "exec": "x"}}}' % (P, n, deep), 1) for i, n in enumerate(("old", "new"))]
+    records, files = spark.createDataFrame(r, SCHEMA), spark.createDataFrame([(0, "s", 0), (1, "s", 1)], "file_ord int, stream_name string, file_no int")
+    assert rows(schema_changes(records, files)) == [(1, "Event", "old>new", "renamed")]
+    assert [(x["exec"], x["_rescued"]) for x in consistent_table(records, "Event", files).orderBy("file_ord").collect()] == [
+        ("x", '{"%s":%s}' % (n, deep)) for n in ("old", "new")
+    ]
+
+
+def test_typed_and_rescued_values_are_equal_as_they_came(spark):
+    """A value of a typed column meets one of the rescue column under the other name."""
+    same = [{"string": "a"}, "a", {P + "Name": "a"}, None]
+    r, want = [], []
+    for i, old in enumerate(same):
+        for j, new in enumerate(same):
+            f = 2 * (4 * i + j)
+            r += [(f, 0, line("Event", {"uuid": "u", "exec": old, "k": 1}), 1), (f + 1, 0, line("Event", {"uuid": "u", "other": new, "k": 1}), 1)]
+            want += [(f + 1, "exec>other", "renamed")] if i == j < 3 else [(f + 1, "exec", "removed"), (f + 1, "other", "added")]
+    files = [(f, f"s{f // 2}", f % 2) for f in range(32)]
+    got = schema_changes(spark.createDataFrame(r, SCHEMA), spark.createDataFrame(files, "file_ord int, stream_name string, file_no int"))
+    assert rows(got, "file_ord", "field_name", "change_kind") == order(want)
+
+
+def test_a_name_beside_another_is_no_rename(spark):
+    r = [(1, 0, line("FileObject", {"uuid": "f", "pathHint": "hint:/x"}), 1), (1, 1, line("Subject", {"uuid": "s", "tgid": 9}), 1)]
+    df = spark.createDataFrame(r, SCHEMA)
+    for cls, column, kept in (("FileObject", "filename", {"pathHint": "hint:/x"}), ("Subject", "cid", {"tgid": 9})):
+        (x,) = consistent_table(df, cls).collect()
+        assert x[column] is None and json.loads(x["_rescued"]) == kept
+
+
 def test_found_names():
     found = [("a", "b"), ("b", "c"), ("x", "y"), ("a", "q"), ("e", "q"), ("a", "e"), ("p", "r")]
     assert with_found({"a": ("p",)}, ["a", "e"], found) == {"a": ("p", "b", "r", "c")}

@@ -3,20 +3,22 @@
 Ingestion holds each record against a target schema. What fits goes into typed columns; a field
 the schema doesn't know, or whose value can't be cast, is kept as JSON in the rescue column.
 Fields approved later are promoted: their rescued values are replayed into typed columns. The
-report compares each file with the one before it in its stream: a field inventory reduced inside
-each scan block, then, only where fields came and went, their rescued values joined by uuid.
+report is read off an ingestion that casts nothing but what fits exactly: which fields each file
+has in typed columns and in the rescue column, and, only where fields came and went, their typed
+and rescued values joined by uuid.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import deepjson
 from tracewright.operators.shred import bodies, unwrap, whole_json
 from tracewright.session import cut
 
@@ -31,10 +33,11 @@ TARGETS: dict[str, dict[str, str]] = {
     "NetFlowObject": {"localAddress": "string", "localPort": "long", "remoteAddress": "string", "remotePort": "long", "ipProtocol": "long", "initTcpSeqNum": "long"},
     "Event": {"type": "string", "sequence": "long", "threadId": "long", "subject": "string", "predicateObject": "string", "timestampNanos": "long", "size": "long", "exec": "string", "name": "string", "predicateObjectPath": "string"},
 }
-#: Approved renames, typed column to the names its values also come under.
+#: Approved renames, typed column to the names its values also come under. Each is one that the report has shown: a name that
+#: stands beside another with other values (pathHint, tgid, execPath) is none.
 PROMOTED: dict[str, dict[str, tuple[str, ...]]] = {
-    "Subject": {"cmdLine": ("cmdline", "commandLine", "cmd"), "localPrincipal": ("principal",), "cid": ("processId", "tgid", "pid"), "startTimestampNanos": ("startNanos",)},
-    "FileObject": {"filename": ("fileName", "path", "pathHint", "objectPath"), "fileDescriptor": ("fd",), "inode": ("inodeNo",)},
+    "Subject": {"cmdLine": ("cmdline", "commandLine", "cmd"), "localPrincipal": ("principal",), "cid": ("processId", "pid"), "startTimestampNanos": ("startNanos",)},
+    "FileObject": {"filename": ("fileName", "path", "objectPath"), "fileDescriptor": ("fd",), "inode": ("inodeNo",)},
     "NetFlowObject": {"localAddress": ("srcAddress", "local_address"), "localPort": ("srcPort",), "remoteAddress": ("dstAddress", "remote_address"), "remotePort": ("dstPort",), "initTcpSeqNum": ("tcpSeq",)},
     "Event": {"exec": ("execName", "exe", "image"), "sequence": ("seqNo",), "name": ("syscall",), "predicateObjectPath": ("objectPath",)},
 }
@@ -59,25 +62,19 @@ def kind_of(value) -> str | None:
     return "number"
 
 
-def canonical(value) -> str:
-    """JSON text under which equal values are equal, the CDM version inside names left out."""
-
-    def plain(x):
-        if isinstance(x, dict):
-            return {_VERSION.sub("cdm", k): plain(v) for k, v in x.items()}
-        return [plain(v) for v in x] if isinstance(x, list) else x
+def _no_version(name: str) -> str:
+    return _VERSION.sub("cdm", name)
 
-    return json.dumps(plain(value), sort_keys=True, ensure_ascii=False)
 
-
-def _compact(fields) -> str:
-    return json.dumps(fields, ensure_ascii=False, separators=(",", ":"))
+def canonical(value) -> str:
+    """JSON text under which equal values are equal, the CDM version inside names left out."""
+    return deepjson.dumps(value, sort_keys=True, compact=False, name=_no_version)
 
 
 def _text(value) -> str | None:
     """JSON text of a value without its wrappers; None for null."""
     value = unwrap(value)
-    return None if value is None else _compact(value)
+    return None if value is None else deepjson.dumps(value)
 
 
 def _cast(value, kind: str):
@@ -98,14 +95,31 @@ def _cast(value, kind: str):
     return False, None
 
 
-def rescue(body: dict, target: dict[str, str]) -> tuple[dict, dict]:
+#: Wrappers that ``_exactly`` takes off: their name is the kind, so that kind and value give the field back as it came.
+_PLAIN = frozenset(("string", "int", "long"))
+
+
+def _exactly(value, kind: str):
+    """As ``_cast``, but only what the typed value and its kind tell in full; neither digits in a string nor anything wrapped twice."""
+    if isinstance(value, dict):
+        if len(value) != 1 or (inner := next(iter(value.items())))[0] not in _PLAIN or inner[1] is None:
+            return False, None
+        value = inner[1]
+    if value is None:
+        return True, None
+    if kind == "string":
+        return isinstance(value, str), value
+    return kind == "long" and isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63, value
+
+
+def rescue(body: dict, target: dict[str, str], exact: bool = False) -> tuple[dict, dict]:
     """(typed values, rescued fields) of one record body held against a target schema."""
     typed, rescued = {}, {}
     for name, value in body.items():
         if name == "uuid":
             continue
         if name in target:
-            fits, got = _cast(value, target[name])
+            fits, got = (_exactly if exact else _cast)(value, target[name])
             if fits:
                 typed[name] = got
                 continue
@@ -129,37 +143,64 @@ def _lines(records: DataFrame) -> DataFrame:
     return records.select(F.col("file_ord").cast("int"), F.col("line_off").cast("long"), "value")
 
 
-def ingest(records: DataFrame, rec_class: str, target: dict[str, str] | None = None) -> DataFrame:
-    """All records of one class under its target schema: file_ord, line_off, cdm_version, uuid, the typed columns, _rescued.
+@lru_cache(maxsize=10_000)
+def _kinds_text(kinds: tuple[tuple[str, str | None], ...]) -> str:
+    return deepjson.dumps(dict(kinds), sort_keys=True)
 
-    _rescued is a JSON object of the fields that the schema doesn't have or whose value can't be
-    cast, as they came; null where there are none. Wrappers are taken off before the cast. Lines
-    that aren't whole JSON, or are null, give no row; a line sent twice gives two. Columns of type
-    'json' hold the text of whatever value came.
+
+@lru_cache(maxsize=10_000)
+def _kinds_of(text: str) -> dict[str, str | None]:
+    return deepjson.loads(text)
+
+
+_TYPES = {"string": pa.string(), "long": pa.int64(), "json": pa.string()}
+
+
+def _ingest(records: DataFrame, targets: dict[str, dict[str, str]], exact: bool = False) -> DataFrame:
+    """Records of the classes of ``targets`` in one pass: file_ord, line_off, rec_class, cdm_version, uuid, the typed columns, _rescued, _kinds.
+
+    A typed column serves all classes whose schema has it. _kinds: the fields of the record and the
+    kinds they came in, a JSON object by name.
     """
-    target = TARGETS[rec_class] if target is None else target
-    arrow = {"string": pa.string(), "long": pa.int64(), "json": pa.string()}
-    texts = [n for n, k in target.items() if k == "json"]
+    columns = {n: k for target in targets.values() for n, k in target.items()}
+    texts = {n for n, k in columns.items() if k == "json"}
     schema = pa.schema(
-        [("file_ord", pa.int32()), ("line_off", pa.int64()), ("cdm_version", pa.string()), ("uuid", pa.string())]
-        + [(n, arrow[k]) for n, k in target.items()]
-        + [("_rescued", pa.string())]
+        [("file_ord", pa.int32()), ("line_off", pa.int64()), ("rec_class", pa.string()), ("cdm_version", pa.string()), ("uuid", pa.string())]
+        + [(n, _TYPES[k]) for n, k in columns.items()]
+        + [("_rescued", pa.string()), ("_kinds", pa.string())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for file_ord, line_off, cls, version, body in _records(batch):
-                if cls == rec_class:
-                    typed, rescued = rescue(body, target)
+                if cls in targets:
+                    typed, rescued = rescue(body, targets[cls], exact)
                     typed |= {n: _text(typed[n]) for n in texts if n in typed}
-                    rest = _compact(rescued) if rescued else None
-                    rows.append((file_ord, line_off, version, _uuid(body), *(typed.get(n) for n in target), rest))
+                    rest = deepjson.dumps(rescued) if rescued else None
+                    kinds = _kinds_text(tuple((n, kind_of(v)) for n, v in body.items() if n != "uuid")) if exact else None
+                    rows.append((file_ord, line_off, cls, version, _uuid(body), *(typed.get(n) for n in columns), rest, kinds))
             cols = list(zip(*rows)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    fields = ", ".join(f"`{n}` {'string' if k == 'json' else k}" for n, k in target.items())
-    return _lines(records).mapInArrow(run, f"file_ord int, line_off long, cdm_version string, uuid string, {fields}, _rescued string")
+    named = F.col("value").contains("\\u")  # a class name may be written in escapes
+    for cls in targets:
+        named |= F.col("value").contains(cls)
+    fields = ", ".join(f"`{n}` {'string' if k == 'json' else k}" for n, k in columns.items())
+    return _lines(records.where(named)).mapInArrow(
+        run, f"file_ord int, line_off long, rec_class string, cdm_version string, uuid string, {fields}, _rescued string, _kinds string"
+    )
+
+
+def ingest(records: DataFrame, rec_class: str, target: dict[str, str] | None = None) -> DataFrame:
+    """All records of one class under its target schema: file_ord, line_off, cdm_version, uuid, the typed columns, _rescued.
+
+    _rescued is a JSON object of the fields that the schema doesn't have or whose value can't be
+    cast, as they came; null where there are none. Wrappers are taken off before the cast. Lines
+    that aren't whole JSON, or are null, give no row; a line sent twice gives two. Columns of type
+    'json' hold the text of whatever value came.
+    """
+    return _ingest(records, {rec_class: TARGETS[rec_class] if target is None else target}).drop("rec_class", "_kinds")
 
 
 def promote(table: DataFrame, approved: dict[str, tuple[str, ...]], texts: tuple[str, ...] = ()) -> DataFrame:
@@ -178,7 +219,7 @@ def promote(table: DataFrame, approved: dict[str, tuple[str, ...]], texts: tuple
             wanted = {n: cols[at[n]].to_pylist() for n in approved}
             rest = cols[at["_rescued"]].to_pylist()
             for row, text in enumerate(rest):
-                fields = json.loads(text) if text else {}
+                fields = deepjson.loads(text) if text else {}
                 before = len(fields)
                 for column, others in approved.items():
                     for name in others:
@@ -189,7 +230,7 @@ def promote(table: DataFrame, approved: dict[str, tuple[str, ...]], texts: tuple
                                 wanted[column][row] = got
                                 del fields[name]
                 if len(fields) < before:
-                    rest[row] = _compact(fields) if fields else None
+                    rest[row] = deepjson.dumps(fields) if fields else None
             for n, values in (*wanted.items(), ("_rescued", rest)):
                 cols[at[n]] = pa.array(values, cols[at[n]].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -236,66 +277,45 @@ def consistent_table(records: DataFrame, rec_class: str, files: DataFrame | None
     return promote(ingest(records, rec_class, target), approved, tuple(nested))
 
 
-def field_inventory(records: DataFrame) -> DataFrame:
-    """(file_ord, rec_class, field_name, kinds): the fields of each file and class, and the kinds of their non-null values.
+def field_inventory(ingested: DataFrame) -> DataFrame:
+    """(file_ord, rec_class, field_name, kinds): the fields that an ingestion found in each file and class, typed or rescued, and the kinds of their non-null values.
 
-    uuid is no field. Counted inside each scan block, so what travels is a row per block, class,
-    field and kind, however many records a file has.
+    uuid is no field. Records of the same fields in the same kinds are counted once before
+    anything travels, and the kinds of a field are a handful.
     """
-    schema = pa.schema([("file_ord", pa.int32()), ("rec_class", pa.string()), ("field_name", pa.string()), ("kind", pa.string())])
+    shapes = ingested.select("file_ord", "rec_class", "_kinds").distinct()
+    found = shapes.select("file_ord", "rec_class", F.explode(F.from_json("_kinds", "map<string,string>")).alias("field_name", "kind"))
+    return found.groupBy("file_ord", "rec_class", "field_name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            for file_ord, _, cls, _, body in _records(batch):
-                for name, value in body.items():
-                    seen.add((file_ord, cls, name, kind_of(value)))
-            if len(seen) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*seen), schema)], schema=schema)
-                seen = set()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*seen), schema)], schema=schema)
-
-    found = _lines(records).mapInArrow(run, "file_ord int, rec_class string, field_name string, kind string")
-    return (
-        found.where(F.col("rec_class").isin(*CLASSES) & (F.col("field_name") != "uuid"))
-        .groupBy("file_ord", "rec_class", "field_name")
-        .agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # a handful of kinds at most
-    )
 
+def _as_it_came(kind: str, value):
+    """A field's value from its typed column and its kind."""
+    return {kind.partition(":")[2]: value} if kind.startswith("object:") else value
 
-def _rescued_values(records: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(file_ord, rec_class, field_name, uuid, value) of the non-null values of the wanted (file_ord, rec_class, field_name).
 
-    Each file's records are held against the schema it shares with its neighbours; what that doesn't know is rescued.
-    """
-    per_file = cut(wanted.groupBy("file_ord").agg(F.collect_set(F.concat_ws(".", "rec_class", "field_name")).alias("fields")), "wanted")
+def _values(ingested: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file_ord, rec_class, field_name, uuid, value) of the non-null values of the wanted (file_ord, rec_class, field_name), from typed columns and the rescue column."""
+    per_file = cut(wanted.groupBy("file_ord", "rec_class").agg(F.collect_set("field_name").alias("fields")), "wanted")
     schema = pa.schema([("file_ord", pa.int32()), ("rec_class", pa.string()), ("field_name", pa.string()), ("uuid", pa.string()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            texts, fields = batch.column(1).to_pylist(), batch.column(2)
-            known: dict[int, dict[str, set[str]]] = {}
-            for i, (file_ord, text) in enumerate(zip(batch.column(0).to_pylist(), texts)):
-                if file_ord not in known:
-                    by_class: dict[str, set[str]] = {}
-                    for x in fields[i].as_py():
-                        cls, _, name = x.partition(".")
-                        by_class.setdefault(cls, set()).add(name)
-                    known[file_ord] = by_class
-                for cls, _, body in bodies(whole_json(text)):
-                    names = known[file_ord].get(cls)
-                    if names and isinstance(body, dict) and (uuid := _uuid(body)) is not None:
-                        _, rescued = rescue(body, dict.fromkeys(body.keys() - names, "json"))
-                        rows += [(file_ord, cls, n, uuid, canonical(v)) for n, v in rescued.items() if v is not None]
+            rows, typed = [], {}
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            keys = [at[n].to_pylist() for n in ("file_ord", "rec_class", "uuid", "fields", "_rescued", "_kinds")]
+            for i, (file_ord, cls, uuid, names, rest, kinds) in enumerate(zip(*keys)):
+                rest, kinds = deepjson.loads(rest) if rest else {}, _kinds_of(kinds)
+                for n in names:
+                    if kinds.get(n) is None:
+                        continue
+                    if n not in rest and n not in typed:
+                        typed[n] = at[n].to_pylist()
+                    rows.append((file_ord, cls, n, uuid, canonical(rest[n] if n in rest else _as_it_came(kinds[n], typed[n][i]))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    asked = records.select(F.col("file_ord").cast("int"), "value").join(per_file, "file_ord")
-    return asked.select("file_ord", "value", "fields").mapInArrow(
-        run, "file_ord int, rec_class string, field_name string, uuid string, value string"
-    )
+    asked = ingested.where(F.col("uuid").isNotNull()).drop("line_off", "cdm_version").join(per_file, ["file_ord", "rec_class"])
+    return asked.mapInArrow(run, "file_ord int, rec_class string, field_name string, uuid string, value string")
 
 
 def file_pairs(files: DataFrame) -> DataFrame:
@@ -311,7 +331,8 @@ _GROUP = ["prev_ord", "file_ord", "rec_class"]
 def _compare(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Fields of neighbouring files: all, those that went, those that came, and (old_name, new_name) of the renamed."""
     pairs = cut(file_pairs(files), "pairs")
-    fields = cut(field_inventory(records), "fields")
+    ingested = cut(_ingest(records, TARGETS, exact=True), "ingested")
+    fields = cut(field_inventory(ingested), "fields")
     before = pairs.join(fields.withColumnRenamed("file_ord", "prev_ord"), "prev_ord").withColumnRenamed("kinds", "old_kinds")
     after = pairs.join(fields, "file_ord").withColumnRenamed("kinds", "new_kinds")
     key = ["prev_ord", "file_ord", "rec_class", "field_name"]
@@ -330,7 +351,7 @@ def _compare(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
     )
-    values = _rescued_values(records, wanted.distinct()).distinct().groupBy("file_ord", "rec_class", "field_name", "uuid").agg(digest.alias("value"))
+    values = _values(ingested, wanted.distinct()).distinct().groupBy("file_ord", "rec_class", "field_name", "uuid").agg(digest.alias("value"))
     values = cut(values, "values")
     old = maybe.join(
         values.select(F.col("file_ord").alias("prev_ord"), "rec_class", F.col("field_name").alias("old_name"), "uuid", F.col("value").alias("was")),

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators import deepjson
+
 #: Members that wrap a value without naming it.
 WRAPPERS = frozenset(("array", "map", "string", "int", "long", "bytes", "boolean"))
 WRAPPER_PREFIX = "com.bbn.tc.schema.avro"
@@ -31,20 +33,13 @@ _ARROW = pa.schema(
 )
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
-
-
-_decode = json.JSONDecoder(parse_constant=_no_constant).decode
-
-
 def whole_json(text: str | None):
-    """The parsed line, or None where it is null, empty, cut off or otherwise not one JSON value."""
+    """The parsed line, whatever its depth, or None where it is null, empty, cut off or otherwise not one JSON value."""
     if not text:
         return None
     try:
-        return _decode(text)
-    except (ValueError, RecursionError):
+        return deepjson.loads(text)
+    except ValueError:
         return None
 
 

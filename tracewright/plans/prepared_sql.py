@@ -164,32 +164,49 @@ UNION ALL SELECT file_ord, rec_class, field, 'added' FROM come c
   WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_ord = c.file_ord AND r.rec_class = c.rec_class AND r.now = c.field)
 """
 
-def _typed(field: str, kind: str) -> str:
-    """A field of body b under its target type, null where it can't be cast."""
-    j = f"json_extract(b, '$.{field}')"
+#: What the consistent tables must hold: a column, its type, and the names it has had in the files.
+_TABLES = {
+    "Subject": """
+        type string type; cid long cid processId pid; parentSubject string parentSubject; localPrincipal string localPrincipal principal
+        startTimestampNanos long startTimestampNanos startNanos; cmdLine string cmdLine cmdline commandLine cmd""",
+    "FileObject": """
+        type string type; filename string filename fileName path objectPath; fileDescriptor long fileDescriptor fd; size long size
+        inode long inode inodeNo; hashes json hashes digests""",
+    "NetFlowObject": """
+        localAddress string localAddress srcAddress local_address; localPort long localPort srcPort; remoteAddress string remoteAddress dstAddress remote_address
+        remotePort long remotePort dstPort; ipProtocol long ipProtocol; initTcpSeqNum long initTcpSeqNum tcpSeq""",
+    "Event": """
+        type string type; sequence long sequence seqNo; threadId long threadId; subject string subject; predicateObject string predicateObject
+        timestampNanos long timestampNanos; size long size; exec string exec execName exe image; name string name syscall
+        predicateObjectPath string predicateObjectPath objectPath""",
+}
+
+
+def _field(name: str, kind: str) -> str:
+    """A field of body b as a column's type, its wrapper off; null where it isn't of the type."""
+    j = f"json_extract(b, '$.{name}')"
     wrapped = f"json_type({j}) = 'OBJECT' AND len(json_keys({j})) = 1 AND regexp_full_match(json_keys({j})[1], '{_WRAPPED}')"
     x = f"(CASE WHEN {wrapped} THEN json_extract({j}, '$.*')[1] ELSE {j} END)"
+    if kind == "json":
+        return f"CASE WHEN json_type({x}) <> 'NULL' THEN CAST({x} AS VARCHAR) END"
     text = f"CASE WHEN json_type({x}) = 'VARCHAR' THEN json_extract_string({x}, '$') END"
     if kind == "string":
         return text
-    return f"CASE WHEN json_type({x}) IN ('BIGINT', 'UBIGINT') THEN CAST({x} AS BIGINT) WHEN regexp_full_match({text}, '[+-]?[0-9]{{1,18}}') THEN CAST({text} AS BIGINT) END"
+    digits = f"CASE WHEN json_type({x}) IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN CAST({x} AS VARCHAR) ELSE {text} END"
+    return f"CASE WHEN regexp_full_match({digits}, '[+-]?[0-9]+') THEN TRY_CAST({digits} AS BIGINT) END"
 
 
 def _consistent(cls: str) -> str:
-    """All records of a class under its target schema, approved names promoted, the rest as JSON."""
-    from tracewright.operators.drift import PROMOTED, TARGETS
-
-    target, promoted = TARGETS[cls], PROMOTED[cls]
-    first = [f"{_typed(c, k)} AS t_{c}" for c, k in target.items()]
-    first += [f"{_typed(a, target[c])} AS a_{a}" for c, names in promoted.items() for a in names]
-    used, final = [], {}
-    for c in target:
-        chain = [f"t_{c}"]
-        for a in promoted.get(c, ()):
-            used.append(f"CASE WHEN coalesce({', '.join(chain)}) IS NULL AND a_{a} IS NOT NULL THEN '{a}' END")
-            chain.append(f"a_{a}")
-        final[c] = f"coalesce({', '.join(chain)})"
-    fits = " OR ".join(f"(k = '{c}' AND (t_{c} IS NOT NULL OR bare_null))" for c in target)
+    """All records of a class: each column from its own name or, where that gives nothing, the first other name that does; the rest as JSON."""
+    columns = [c.split() for line in _TABLES[cls].split("\n") for c in line.split(";") if c.strip()]
+    cells = [f"{_field(n, kind)} AS \"{column}:{n}\"" for column, kind, *names in columns for n in names]
+    picks, taken = [], []
+    for column, _, *names in columns:
+        picks.append(f"coalesce({', '.join(f'"{column}:{n}"' for n in names)}) AS \"{column}\"")
+        for i, n in enumerate(names):
+            before = "".join(f" AND \"{column}:{m}\" IS NULL" for m in names[:i])
+            taken.append(f"(k = '{n}' AND \"{column}:{n}\" IS NOT NULL{before})")
+    own = ", ".join(f"'{column}'" for column, *_ in columns)
     return f"""
 WITH body AS (
   SELECT file_ord, line_off, unnest(json_keys(value, '$.datum')) AS name, value FROM raw_records
@@ -198,18 +215,17 @@ own AS (
   SELECT row_number() OVER () AS id, file_ord, line_off, regexp_extract(name, '(cdm[0-9]*)[.][^.]*$', 1) AS cdm_version,
     json_extract(value, '$.datum."' || name || '"') AS b
   FROM body WHERE regexp_extract(name, '([^.]*)$', 1) = '{cls}'),
-typed AS (SELECT *, {_typed("uuid", "string")} AS uuid, {", ".join(first)} FROM own WHERE json_type(b) = 'OBJECT'),
-named AS (SELECT *, [{", ".join(used) or "NULL"}] AS used FROM typed),
-keys AS (SELECT *, unnest(json_keys(b)) AS k, unnest(range(CAST(len(json_keys(b)) AS BIGINT))) AS i FROM named),
+typed AS (SELECT *, {_field("uuid", "string")} AS uuid, {", ".join(cells)} FROM own WHERE json_type(b) = 'OBJECT'),
+keys AS (SELECT *, unnest(json_keys(b)) AS k, unnest(range(CAST(len(json_keys(b)) AS BIGINT))) AS i FROM typed),
 cells AS (
-  SELECT *, json_extract(b, '$."' || k || '"') AS v,
-    coalesce(json_type(json_extract(b, '$."' || k || '"')) = 'NULL' OR (len(json_keys(json_extract(b, '$."' || k || '"'))) = 1
-      AND json_type(json_extract(json_extract(b, '$."' || k || '"'), '$.*')[1]) = 'NULL'), false) AS bare_null FROM keys),
+  SELECT *, json_extract(b, '$."' || k || '"') AS v, coalesce(json_type(json_extract(b, '$."' || k || '"')) = 'NULL'
+    OR (len(json_keys(json_extract(b, '$."' || k || '"'))) = 1 AND json_type(json_extract(json_extract(b, '$."' || k || '"'), '$.*')[1]) = 'NULL'), false) AS nothing
+  FROM keys),
 rest AS (
   SELECT id, '{{' || string_agg('"' || k || '":' || CAST(v AS VARCHAR), ',' ORDER BY i) || '}}' AS _rescued FROM cells
-  WHERE k <> 'uuid' AND NOT ({fits}) AND NOT coalesce(list_contains(used, k), false) GROUP BY id)
-SELECT n.file_ord, n.line_off, n.cdm_version, n.uuid, {", ".join(f"{e} AS {c}" for c, e in final.items())}, r._rescued
-FROM named n LEFT JOIN rest r ON r.id = n.id
+  WHERE k <> 'uuid' AND NOT (k IN ({own}) AND nothing) AND NOT ({" OR ".join(taken)}) GROUP BY id)
+SELECT t.file_ord, t.line_off, t.cdm_version, t.uuid, {", ".join(picks)}, r._rescued
+FROM typed t LEFT JOIN rest r ON r.id = t.id
 """
 
 
