@@ -1,7 +1,7 @@
 import json
 
 from tests.helpers import order, rows
-from tracewright.operators.shred import array_objects, element_table, flat_table, object_table, scalar_table, shred, whole_json
+from tracewright.operators.shred import array_objects, coverage, element_table, entity_rows, flat_table, scalar_table, shred, whole_json
 from tracewright.plans.prepared import ELEMENT_TABLES, FLAT_TABLES
 from tracewright.session import load
 
@@ -98,7 +98,7 @@ def test_empty_and_not_json(spark):
 def test_every_object_and_scalar_has_a_row(spark):
     good, bad = made()
     nodes = shred(spark.createDataFrame(good + bad, SCHEMA))
-    objects, scalars = object_table(nodes).collect(), scalar_table(nodes).collect()
+    objects, scalars = entity_rows(nodes).collect(), scalar_table(nodes).collect()
     in_arrays = order((r["file_ord"], r["line_off"], r["node_path"]) for r in objects if r["node_path"].endswith("]"))
     assert in_arrays == rows(array_objects(spark.createDataFrame(good + bad, SCHEMA)))
     assert len([r for r in objects if r["node_path"] == ""]) == len(good)
@@ -111,6 +111,33 @@ def test_every_object_and_scalar_has_a_row(spark):
     assert flat_table(nodes, "Event", "two|m", {}).columns == ["file_ord", "line_off", "node_id", "parent_id"]
 
 
+def test_entities_of_any_depth_and_size(spark):
+    deep, n = '{"z":1}', 3_000
+    for _ in range(n):
+        deep = '{"k":[' + deep + "]}"
+    wide = json.dumps({f"f{i}": i for i in range(60_000)})
+    text = '{"datum": {"%sEvent": {"d": %s, "w": %s}}}' % (P, deep, wide)
+    got = entity_rows(shred(spark.createDataFrame([(1, 1, text, 0, ""), (1, 1, text, 0, "")], SCHEMA), paths=False)).select("place", "n_fields", "is_element")
+    found = got.collect()
+    assert sum(r["is_element"] for r in found) == n and len(found) == n + 3
+    assert {r["n_fields"] for r in found} == {0, 1, 60_000}
+
+
+def test_entity_rows(spark):
+    good, bad = made()
+    got = {(r["file_ord"], r["line_off"], r["node_path"]): r for r in entity_rows(shred(spark.createDataFrame(good + bad, SCHEMA))).collect()}
+    assert got[1, 0, "parameters[0]"]["fields"] == "name=fd\nsize=1" and got[1, 0, "parameters[0]"]["place"] == "parameters[]"
+    assert got[1, 20, "l[3]"]["fields"] == "=w" and got[1, 20, "l[4]"]["fields"] == "" and got[1, 20, ""]["n_fields"] == 1
+    assert got[1, 30, "two"]["fields"] == "int=1\nstring=a" and got[1, 30, "m.array[0]"]["fields"] == "b=1"
+    assert got[1, 40, ""]["n_fields"] == 0 and got[1, 40, ""]["parent_id"] == -1
+
+
+def test_coverage_names_what_is_missing(spark):
+    r = [(1, 0, line({"uuid": "e", "new": {"x": 1, "y": [1, None, {"z": 2}]}, "type": "t"}), 0, "")]
+    got = coverage(shred(spark.createDataFrame(r, SCHEMA)), [("Event", "", {"u": "uuid"})], [])
+    assert rows(got) == order([("Event", "", 1, 0, 2, 1), ("Event", "new", 1, 1, 1, 1), ("Event", "new.y[]", 1, 1, 2, 2)])
+
+
 def test_registered_tables_leave_out_no_place(spark):
     tag = {"tagId": 1, "flow": "f", "children": [{"tagId": 2, "children": {"array": [{"tagId": 3, "children": [{"tagId": 4}]}]}}]}
     prov = {"asset": "a", "tags": [tag], "detail": {"codes": [7, 8], "steps": {"array": [tag]}}}
@@ -122,7 +149,7 @@ def test_registered_tables_leave_out_no_place(spark):
     ]
     nodes = shred(spark.createDataFrame([(1, i, t, 0, "") for i, t in enumerate(r)], SCHEMA)).cache()
     found = [tuple(x)[:4] for parts in FLAT_TABLES.values() for x in flat_table(nodes, *parts[:2], {}).collect()]
-    assert order(found) == order(tuple(x)[:4] for x in object_table(nodes).collect()) and len(found) == 22
+    assert order(found) == order(tuple(x)[:4] for x in entity_rows(nodes).collect()) and len(found) == 22
     elements = [tuple(x)[5] for parts in ELEMENT_TABLES.values() for x in element_table(nodes, *parts).collect()]
     assert sorted(elements) == ["7", "8", "a", "b"]
     depth = {x["tag_id"]: x["parent_id"] for x in flat_table(nodes, *FLAT_TABLES["p4_tags"]).collect()}
@@ -134,7 +161,8 @@ def test_registered_tables_leave_out_no_place(spark):
 def test_registered_tables_cover_the_test_records(spark, data):
     nodes = shred(load(spark, data, "raw_records")).cache()
     covered = sum(flat_table(nodes, cls, at, {}).count() for cls, at, _ in FLAT_TABLES.values())
-    assert covered == object_table(nodes).count() > 0
+    assert covered == entity_rows(nodes).count() > 0
+    assert coverage(nodes, list(FLAT_TABLES.values()), list(ELEMENT_TABLES.values())).where("n_objects_missing + n_values_missing > 0").count() == 0
     for cls, at, fields in FLAT_TABLES.values():
         of = flat_table(nodes, cls, at, {}).withColumnRenamed("node_id", "owner").drop("parent_id")
         own = scalar_table(nodes).where("kind <> 'null' and position < 0").withColumnRenamed("parent_id", "owner").join(of, ["file_ord", "line_off", "owner"])

@@ -69,23 +69,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(rec_class: str, at: str, fields: dict[str, str]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shred.flat_table(cut(shred.shred(load(spark, sf_dir, "raw_records")), "nodes"), rec_class, at, fields)
+        return shred.flat_table(shred.shred(load(spark, sf_dir, "raw_records"), (rec_class,), paths=False), rec_class, at, fields)
 
     return query
 
 
 def _elements(rec_class: str, at: str) -> Query:
-    return lambda spark, sf_dir: shred.element_table(shred.shred(load(spark, sf_dir, "raw_records")), rec_class, at)
+    return lambda spark, sf_dir: shred.element_table(shred.shred(load(spark, sf_dir, "raw_records"), (rec_class,), paths=False), rec_class, at)
 
 
 def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.object_table(shred.shred(load(spark, sf_dir, "raw_records")))
+    return shred.entity_rows(shred.shred(load(spark, sf_dir, "raw_records"), paths=False))
 
 
 def p4_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.scalar_table(shred.shred(load(spark, sf_dir, "raw_records")))
 
 
+def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the flat tables leave out, by class and place."""
+    nodes = shred.shred(load(spark, sf_dir, "raw_records"))
+    return shred.coverage(nodes, list(FLAT_TABLES.values()), list(ELEMENT_TABLES.values()))
+
+
 def p5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_table(load(spark, sf_dir, "prov_events"), load(spark, sf_dir, "etype_catalog"))
 
@@ -110,6 +116,7 @@ def queries() -> dict[str, Query]:
         **{name: _elements(*parts) for name, parts in ELEMENT_TABLES.items()},
         "p4_objects": p4_objects,
         "p4_scalars": p4_scalars,
+        "p4_coverage": p4_coverage,
         "p5_features": p5_features,
         "p6_found": p6_found,
         "p6_subjects": _table("Subject"),

@@ -84,24 +84,23 @@ SELECT file_ord, line_off, path AS node_path FROM down WHERE hit AND json_type(v
 """
 
 
-def _flat(cls: str, at: str, fields: dict[str, str]) -> str:
-    """The objects of a class at a path, numbered depth first, with their scalar children as columns."""
-    cols = ", ".join(f"max(c.scalar) FILTER (WHERE c.label = '{label}') AS {name}" for name, label in fields.items())
-    return f"""
+#: All nodes of all records, numbered depth first, wrappers taken off (w: there was one).
+_NODES = rf"""
 WITH RECURSIVE body AS (
   SELECT file_ord, line_off, unnest(json_keys(value, '$.datum')) AS cls, value FROM raw_records
   WHERE json_valid(value) AND json_type(value, '$.datum') = 'OBJECT'),
-down(file_ord, line_off, place, owner, label, path, v, element) AS (
-  SELECT file_ord, line_off, [CAST(0 AS BIGINT)], CAST(NULL AS BIGINT[]), '', '', json_extract(value, '$.datum."' || cls || '"'), false
-  FROM body WHERE cls LIKE '%.{cls}'
+down(file_ord, line_off, cls, place, owner, label, ordinal, path, v, element, w) AS (
+  SELECT file_ord, line_off, cls, [CAST(0 AS BIGINT)], CAST(NULL AS BIGINT[]), '', -1, '', json_extract(value, '$.datum."' || cls || '"'), false, false
+  FROM body
   UNION ALL
-  SELECT file_ord, line_off,
+  SELECT file_ord, line_off, cls,
     CASE WHEN wrapper THEN place ELSE list_append(place, i) END,
     CASE WHEN wrapper OR json_type(v) = 'ARRAY' THEN owner ELSE place END,
     CASE WHEN wrapper OR json_type(v) = 'ARRAY' THEN label ELSE k END,
+    CASE WHEN wrapper THEN ordinal WHEN json_type(v) = 'ARRAY' THEN CAST(k AS INTEGER) ELSE -1 END,
     CASE WHEN wrapper THEN path WHEN json_type(v) = 'ARRAY' THEN path || '[' || k || ']' WHEN path = '' THEN k ELSE path || '.' || k END,
     CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[' || k || ']') ELSE json_extract(v, '$."' || k || '"') END,
-    CASE WHEN wrapper THEN element ELSE json_type(v) = 'ARRAY' END
+    CASE WHEN wrapper THEN element ELSE json_type(v) = 'ARRAY' END, wrapper
   FROM (
     SELECT *, json_type(v) = 'OBJECT' AND len(keys) = 1 AND regexp_full_match(keys[1], '{_WRAPPED}') AS wrapper, unnest(keys) AS k,
       unnest(range(CAST(len(keys) AS BIGINT))) AS i
@@ -110,20 +109,78 @@ down(file_ord, line_off, place, owner, label, path, v, element) AS (
         WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) END AS keys
       FROM down WHERE json_type(v) IN ('OBJECT', 'ARRAY')))),
 nodes AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY file_ord, line_off ORDER BY place) - 1 AS INTEGER) AS node_id,
-    CASE json_type(v) WHEN 'VARCHAR' THEN json_extract_string(v, '$') WHEN 'NULL' THEN NULL ELSE CAST(v AS VARCHAR) END AS scalar
+  SELECT *, regexp_extract(cls, '([^.]*)$', 1) AS rec_class, CAST(row_number() OVER (PARTITION BY file_ord, line_off, cls ORDER BY place) - 1 AS INTEGER) AS node_id,
+    CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
+      ELSE 'number' END AS kind,
+    CASE json_type(v) WHEN 'VARCHAR' THEN json_extract_string(v, '$') WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN NULL WHEN 'ARRAY' THEN NULL
+      ELSE CAST(v AS VARCHAR) END AS scalar
   FROM down
   WHERE NOT coalesce(json_type(v) = 'OBJECT' AND len(json_keys(v)) = 1 AND regexp_full_match(json_keys(v)[1], '{_WRAPPED}'), false)),
-leaves AS (SELECT * FROM nodes WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') AND NOT element)
-SELECT o.file_ord, o.line_off, o.node_id, coalesce(p.node_id, CAST(-1 AS INTEGER)) AS parent_id, {cols}
-FROM nodes o
-LEFT JOIN nodes p ON p.file_ord = o.file_ord AND p.line_off = o.line_off AND p.place = o.owner
-LEFT JOIN leaves c ON c.file_ord = o.file_ord AND c.line_off = o.line_off AND c.owner = o.place
-WHERE json_type(o.v) = 'OBJECT' AND regexp_full_match(o.path, '{at}')
-GROUP BY o.file_ord, o.line_off, o.node_id, p.node_id
+leaves AS (SELECT * FROM nodes WHERE kind NOT IN ('object', 'array')),
+owned AS (
+  SELECT o.*, coalesce(p.node_id, CAST(-1 AS INTEGER)) AS parent_id
+  FROM nodes o LEFT JOIN nodes p ON p.file_ord = o.file_ord AND p.line_off = o.line_off AND p.cls = o.cls AND p.place = o.owner)
 """
 
 
+def _flat(cls: str, at: str, fields: dict[str, str]) -> str:
+    """The objects of a class at a path with their scalar children as columns."""
+    cols = "".join(f", max(c.scalar) FILTER (WHERE c.label = '{label}') AS {name}" for name, label in fields.items())
+    return (
+        _NODES
+        + f"""
+SELECT o.file_ord, o.line_off, o.node_id, o.parent_id{cols}
+FROM owned o LEFT JOIN leaves c ON c.file_ord = o.file_ord AND c.line_off = o.line_off AND c.cls = o.cls AND c.owner = o.place AND NOT c.element
+WHERE o.rec_class = '{cls}' AND o.kind = 'object' AND regexp_full_match(o.path, '{at}')
+GROUP BY o.file_ord, o.line_off, o.node_id, o.parent_id
+"""
+    )
+
+
+def _elements(cls: str, at: str) -> str:
+    """The scalar elements of the arrays of a class at a path."""
+    return (
+        _NODES
+        + f"""
+SELECT file_ord, line_off, node_id, parent_id, ordinal AS position, scalar AS value FROM owned
+WHERE rec_class = '{cls}' AND element AND kind NOT IN ('object', 'array') AND regexp_full_match(path, '{at}')
+"""
+    )
+
+
+P4_OBJECTS = (
+    _NODES
+    + r"""
+SELECT o.file_ord, o.line_off, o.node_id, o.parent_id, o.rec_class, regexp_replace(o.path, '\[[0-9]+\]', '[]', 'g') AS place, o.path AS node_path,
+  o.element AS is_element, count(c.scalar) + CAST(o.scalar IS NOT NULL AS BIGINT) AS n_fields,
+  coalesce('=' || o.scalar, string_agg(c.label || '=' || c.scalar, chr(10) ORDER BY c.label), '') AS fields
+FROM owned o LEFT JOIN leaves c ON c.file_ord = o.file_ord AND c.line_off = o.line_off AND c.cls = o.cls AND c.owner = o.place AND NOT c.element AND o.kind = 'object'
+WHERE o.kind = 'object' OR (o.element AND o.w)
+GROUP BY o.file_ord, o.line_off, o.node_id, o.parent_id, o.rec_class, o.path, o.element, o.scalar
+"""
+)
+
+P4_SCALARS = (
+    _NODES
+    + """
+SELECT file_ord, line_off, node_id, parent_id, rec_class, label, ordinal AS position, kind, scalar AS value, path AS node_path
+FROM owned WHERE kind NOT IN ('object', 'array')
+"""
+)
+
+#: Every object and value of the records has its place in a flat table: none is missing.
+P4_COVERAGE = (
+    _NODES
+    + r"""
+SELECT rec_class, regexp_replace(CASE WHEN kind IN ('object', 'array') OR element THEN path ELSE left(path, greatest(0, len(path) - len(label) - 1)) END,
+    '\[[0-9]+\]', '[]', 'g') AS place,
+  count(*) FILTER (WHERE kind IN ('object', 'array')) AS n_objects, CAST(0 AS BIGINT) AS n_objects_missing,
+  count(scalar) AS n_values, CAST(0 AS BIGINT) AS n_values_missing
+FROM nodes WHERE kind = 'object' OR (kind = 'array' AND element AND w) OR scalar IS NOT NULL GROUP BY ALL
+"""
+)
+
+
 P6_FOUND = r"""
 WITH body AS (
   SELECT file_ord, unnest(json_keys(value, '$.datum')) AS name, value FROM raw_records
@@ -247,7 +304,7 @@ PIVOT dense ON etype USING first(n) AS n, first(type_age) AS age_ns, first(bytes
 
 
 def oracle_sql() -> dict[str, str]:
-    from tracewright.plans.prepared import FLAT_TABLES
+    from tracewright.plans.prepared import ELEMENT_TABLES, FLAT_TABLES
 
     return {
         "p1_found": P1_FOUND,
@@ -257,6 +314,10 @@ def oracle_sql() -> dict[str, str]:
         "p2_descendants": P2_DESCENDANTS,
         "p4_found": P4_FOUND,
         **{name: _flat(*parts) for name, parts in FLAT_TABLES.items()},
+        **{name: _elements(*parts) for name, parts in ELEMENT_TABLES.items()},
+        "p4_objects": P4_OBJECTS,
+        "p4_scalars": P4_SCALARS,
+        "p4_coverage": P4_COVERAGE,
         "p5_features": P5_FEATURES,
         "p6_found": P6_FOUND,
         "p6_subjects": _consistent("Subject"),
