@@ -87,10 +87,48 @@ def test_slashburn_is_a_permutation(greedy_hubs):
     r = Random(3)
     edges = [(r.randrange(60), int(r.random() ** 3 * 60)) for _ in range(120)]
     for k in (1, 3, None):
-        got, wing = codec.slashburn(60, edges, k, greedy_hubs)
-        assert sorted(got) == list(range(60)) and wing % (k or 1) == 0
+        found = codec.slashburn(60, edges, k, greedy_hubs)
+        assert sorted(found.order) == list(range(60)) and found.order == plain_slashburn(60, edges, k or 1, greedy_hubs)
     star = [(0, i) for i in range(1, 8)]
-    assert codec.slashburn(8, star)[0] == [1, 2, 3, 4, 5, 6, 7, 0]
+    assert codec.slashburn(8, star) == ([1, 2, 3, 4, 5, 6, 7, 0], 1, 1)
+    assert codec.slashburn(0, []).order == [] and codec.slashburn(3, [(1, 1)], 5).order == [2, 1, 0]
+
+
+def plain_slashburn(n, edges, k, greedy_hubs):
+    """By sets, looking at everything in every round."""
+    links = {frozenset(e) for e in edges if e[0] != e[1]}
+    left, low, high = set(range(n)), [], []
+
+    def degree(v, among):
+        return sum(v in e and e <= among for e in links)
+
+    while left:
+        among = frozenset(left)
+        for _ in range(min(k, len(left))):
+            v = max(left, key=lambda x: (degree(x, left if greedy_hubs else among), -x))
+            left.discard(v)
+            high.insert(0, v)
+        parts = []
+        while rest := left - {x for p in parts for x in p}:
+            part = {min(rest)}
+            while more := {x for e in links if e <= left and e & part for x in e} - part:
+                part |= more
+            parts.append(sorted(part))
+        for p in sorted(parts, key=lambda p: (len(p), p)):
+            if len(p) < max(2, k):
+                low += p
+                left -= set(p)
+    return low + high
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slashburn_is_the_plain_one(seed):
+    r = Random(seed)
+    n = 40
+    edges = [(r.randrange(n), int(r.random() ** (1 + seed % 3) * n)) for _ in range(20 + 15 * seed)]
+    for k in (1, 2, 3, 5, 8):
+        for greedy_hubs in (True, False):
+            assert codec.slashburn(n, edges, k, greedy_hubs).order == plain_slashburn(n, edges, k, greedy_hubs)
 
 
 def test_groups_over_batch_bounds(spark):
@@ -223,6 +261,25 @@ def test_ordered_scan(spark, tmp_path):
         raw_log.read_log(spark, raw_log.LogSource(str(tmp_path), ("none.json",)))
 
 
+def test_ordered_scan_of_two_folders(spark, tmp_path):
+    for folder, line in (("x y", "1"), ("z", "2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.json").write_text(line + "\n")
+    got = raw_log.read_log(spark, raw_log.LogSource(str(tmp_path), ("z/a.json", "x y/a.json")))
+    assert rows(got) == [(0, 0, "2"), (1, 1, "1")]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    from tracewright.session import shared_dir
+
+    of = Some(sc=lambda: Some(getCheckpointDir=lambda: Some(isDefined=lambda: False)))
+    session = Some(conf=Some(get=lambda *_: None), sparkContext=Some(master="spark://one:7077", _jsc=of))
+    with pytest.raises(ValueError):
+        shared_dir(session)
+
+
 def test_text_tables(spark, tmp_path):
     from tracewright.operators.storage import write_entities_text, write_events_text, write_report, write_table
 

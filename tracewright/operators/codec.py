@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -90,56 +91,105 @@ def block_counts(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.count(F.lit(1)).alias("n_blocks"), F.coalesce(F.sum(size), F.lit(0)).alias("n_chars"))
 
 
-def slashburn(n: int, edges: list[tuple[int, int]], k: int | None = None, greedy: bool = True) -> tuple[list[int], int]:
-    """(order, wing): nodes 0..n-1 from the small components to the hubs; ties go to the smaller node.
-
-    In each round the k nodes of highest degree leave as hubs; what then falls off in components of
-    one node, or of fewer than k, leaves next, the smallest first; the rest goes on.
+class SlashBurn(NamedTuple):
+    """Node order from the spokes to the hubs, the rounds it took, and the hubs of a round."""
+
+    order: list[int]
+    rounds: int
+    k: int
+
+
+class _Burning:
+    """What is left of a graph while hubs and the spokes that fall off them are taken out."""
+
+    def __init__(self, n: int, edges: list[tuple[int, int]]):
+        pairs = {(min(e), max(e)) for e in edges if e[0] != e[1]}
+        self.near: list[list[int]] = [[] for _ in range(n)]
+        for u, v in pairs:
+            self.near[u].append(v)
+            self.near[v].append(u)
+        self.alive = bytearray(b"\1") * n
+        self.left = n
+        self.degree = [len(x) for x in self.near]
+        self.known = list(self.degree)  # the degree under which a node stands in the queue
+        self.queue = [(-d, v) for v, d in enumerate(self.degree)]
+        heapify(self.queue)
+        self.stale: list[int] = []
+
+    def remove(self, v: int) -> None:
+        self.alive[v] = 0
+        self.left -= 1
+        for w in self.near[v]:
+            self.degree[w] -= 1
+        self.stale += self.near[v]
+
+    def requeue(self) -> None:
+        for w in self.stale:
+            if self.alive[w] and self.known[w] != self.degree[w]:
+                self.known[w] = self.degree[w]
+                heappush(self.queue, (-self.known[w], w))
+        self.stale = []
+
+    def hub(self) -> int:
+        while True:
+            d, v = heappop(self.queue)
+            if self.alive[v] and -d == self.known[v]:
+                return v
+
+    def flood(self, v: int, room: int, met: set[int]) -> list[int] | None:
+        """The nodes connected with ``v`` if they are at most ``room`` and none was met in a flood that found no end; else None."""
+        inside, front = {v}, [v]
+        while front:
+            for w in self.near[front.pop()]:
+                if self.alive[w] and w not in inside:
+                    if w in met or len(inside) == room:
+                        met |= inside
+                        return None
+                    inside.add(w)
+                    front.append(w)
+        return sorted(inside)
+
+
+def slashburn(n: int, edges: list[tuple[int, int]], k: int | None = None, greedy: bool = True) -> SlashBurn:
+    """Order of nodes 0..n-1 after Kang and Faloutsos (2011): hubs slashed, spokes burned.
+
+    A round takes the ``k`` nodes of highest degree (a thousandth of all by default, one at least; ties to the
+    smaller node) to the far end of the order. What then hangs together in less than ``k`` nodes, or
+    alone, is put to the near end, small components first, then those of smaller nodes. Rounds go
+    on with the rest until nothing is left. ``greedy`` counts degrees anew after each hub, otherwise after each round.
+
+    After a round only components beside its hubs can have become small, so the search starts at the hubs'
+    neighbours and gives up at ``k`` nodes, whatever the size of what goes on.
     """
     k = k or max(1, n // 1000)
-    near: dict[int, set[int]] = defaultdict(set)
-    for u, v in edges:
-        if u != v:
-            near[u].add(v)
-            near[v].add(u)
-    alive, hubs, rim, rounds = {i: len(near[i]) for i in range(n)}, [], [], 0
-
-    def leave(x: int) -> None:
-        del alive[x]
-        for y in near[x]:
-            if y in alive:
-                alive[y] -= 1
-
-    while alive:
+    g = _Burning(n, edges)
+    near_end: list[int] = []
+    far_end: list[int] = []
+    rounds, starts = 0, range(n)
+    while g.left:
         rounds += 1
-        if greedy:
-            for _ in range(min(k, len(alive))):
-                top = min(alive, key=lambda x: (-alive[x], x))
-                hubs.append(top)
-                leave(top)
-        else:
-            for top in sorted(alive, key=lambda x: (-alive[x], x))[:k]:
-                hubs.append(top)
-                leave(top)
-        unseen, parts = set(alive), []
-        for s in sorted(alive):
-            if s in unseen:
-                unseen.discard(s)
-                part, stack = [], [s]
-                while stack:
-                    x = stack.pop()
-                    part.append(x)
-                    for y in near[x]:
-                        if y in unseen:
-                            unseen.discard(y)
-                            stack.append(y)
-                parts.append(sorted(part))
-        for part in sorted(parts, key=lambda p: (len(p), p[0])):
-            if len(part) == 1 or len(part) < k:
-                for x in part:
-                    rim.append(x)
-                    leave(x)
-    return rim + hubs[::-1], rounds * k
+        hubs = []
+        while g.left and len(hubs) < k:
+            hubs.append(g.hub())
+            g.remove(hubs[-1])
+            if greedy:
+                g.requeue()
+        far_end += hubs
+        if rounds > 1:
+            starts = sorted({w for h in hubs for w in g.near[h]})
+        spokes, seen, met = [], set(), set()
+        for v in starts:
+            if g.alive[v] and v not in seen and v not in met:
+                part = g.flood(v, max(1, k - 1), met)
+                if part is not None:
+                    spokes.append(part)
+                    seen.update(part)
+        for part in sorted(spokes, key=lambda p: (len(p), p)):
+            near_end += part
+            for v in part:
+                g.remove(v)
+        g.requeue()
+    return SlashBurn(near_end + far_end[::-1], rounds, k)
 
 
 def slashburn_order(members: DataFrame, intra: DataFrame, k: int | None = None) -> DataFrame:
@@ -150,8 +200,8 @@ def slashburn_order(members: DataFrame, intra: DataFrame, k: int | None = None)
         us, vs, edge = group["u"], group["v"], group["edge"]
         ids = sorted(u for u, e in zip(us, edge) if not e)
         at = {x: i for i, x in enumerate(ids)}
-        order, _ = slashburn(len(ids), [(at[u], at[v]) for u, v, e in zip(us, vs, edge) if e], k)
-        return [(label, ids[x], i) for i, x in enumerate(order)]
+        found = slashburn(len(ids), [(at[u], at[v]) for u, v, e in zip(us, vs, edge) if e], k)
+        return [(label, ids[x], i) for i, x in enumerate(found.order)]
 
     arrow = pa.schema([("label", pa.string()), ("node", pa.int64()), ("new_idx", pa.int32())])
     both = nodes.unionByName(intra.select("label", "u", "v", F.lit(True).alias("edge")))

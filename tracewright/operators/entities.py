@@ -18,30 +18,28 @@ def used_uuids(events: DataFrame) -> DataFrame:
     return events.select(F.explode(F.array("src_uuid", "dst_uuid")).alias("uuid")).where("uuid is not null").distinct()
 
 
-def known_entities(records: DataFrame, p: Profile) -> DataFrame:
+def known_entities(records: DataFrame, p: Profile, precedence: tuple[str, ...] = CLASSES[:3]) -> DataFrame:
     """(uuid, cls_rank, attr, first_at): one row per uuid, the class of highest precedence."""
-    parts = [
-        found.select("uuid", F.lit(rank).alias("cls_rank"), "attr", "first_at")
-        for rank, found in enumerate((extract.subjects(records, p), extract.files(records, p), extract.sockets(records, p)))
-    ]
+    of = {"subject": extract.subjects, "file": extract.files, "socket": extract.sockets}
+    parts = [of[cls](records, p).select("uuid", F.lit(rank).alias("cls_rank"), "attr", "first_at") for rank, cls in enumerate(precedence)]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     best = F.min_by(F.struct("attr", "first_at"), "cls_rank")
     return every.groupBy("uuid").agg(F.min("cls_rank").alias("cls_rank"), best.alias("b")).select("uuid", "cls_rank", "b.attr", "b.first_at")
 
 
-def entity_table(records: DataFrame, p: Profile) -> DataFrame:
+def entity_table(records: DataFrame, p: Profile, precedence: tuple[str, ...] = CLASSES[:3]) -> DataFrame:
     """(entity_id, uuid, cls, attr) of every uuid that takes part in a considered event.
 
-    Ids are dense from 0 by class precedence, then first appearance, then uuid; an end without
+    A uuid that records of several classes name is of the first of them in ``precedence``. Ids are dense from 0 by class precedence, then first appearance, then uuid; an end without
     any record of its own is of class other.
     """
     used = used_uuids(extract.event_tuples(records, p))
-    known = known_entities(records, p).join(used, "uuid", "left_semi")
+    known = known_entities(records, p, precedence).join(used, "uuid", "left_semi")
     rest = used.join(known, "uuid", "left_anti").select(
         "uuid", F.lit(3).alias("cls_rank"), F.lit("other").alias("attr"), F.lit(None).cast("struct<file_ord:int,line_off:bigint>").alias("first_at")
     )
     placed = with_position(known.unionByName(rest), "cls_rank", "first_at", "uuid", name="entity_id")
-    names = F.array(*map(F.lit, CLASSES))
+    names = F.array(*map(F.lit, (*precedence, CLASSES[3])))
     return placed.select("entity_id", "uuid", F.element_at(names, F.col("cls_rank") + 1).alias("cls"), "attr")
 
 

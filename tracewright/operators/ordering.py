@@ -49,3 +49,17 @@ def with_running_sum(df: DataFrame, value: str, *order: str, name: str) -> DataF
     placed = _with_starts(_ranged(df, order), F.sum(value))
     w = Window.partitionBy("__tw_part").orderBy("__tw_row").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn(name, F.col("__tw_start") + F.coalesce(F.sum(value).over(w), F.lit(0))).select(*kept, name)
+
+
+def first_seen_index(edges: DataFrame, *order: str) -> DataFrame:
+    """(node, idx): nodes numbered from 0 as they first appear along the order of the edges (src, dst), source before destination."""
+    placed = with_position(edges.select("src", "dst", *(c for c in order if c not in ("src", "dst"))), *order, name="__at")
+    ends = placed.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("src").alias("node"), (2 * F.col("__at")).alias("at")), F.struct(F.col("dst").alias("node"), (2 * F.col("__at") + 1).alias("at"))
+            )
+        )
+    )
+    first = ends.where("node is not null").groupBy("node").agg(F.min("at").alias("at"))
+    return with_position(first, "at", name="idx").select("node", "idx")

@@ -13,16 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.session import cut
 
-def entity_profile(events: DataFrame, src: str = "srcid", dst: str = "dstid", ts: str = "ts") -> DataFrame:
-    """Event count, distinct partners and time span of every source and every destination.
 
-    Output: side ('src' or 'dst'), entity_id, n_events, n_partners, first_ts, last_ts, span_ns.
-    A null id is no entity and no partner, though an event with one null end counts for the other
-    end. A null ``ts`` or one that isn't positive counts as an event without time; an entity
-    without any time has null first_ts, last_ts and span_ns. Repeated rows count each time. An
-    empty table gives an empty result. Other columns of ``events`` are ignored.
-    """
+def _profile(events: DataFrame, src: str, dst: str, ts: str) -> DataFrame:
+    """``entity_profile`` with a row of null entity_id for what has no id on a side."""
     timed = F.when(F.col(ts) > 0, F.col(ts))
     pairs = (
         events.select(F.col(src).alias("a"), F.col(dst).alias("b"), timed.alias("t"))
@@ -40,7 +35,7 @@ def entity_profile(events: DataFrame, src: str = "srcid", dst: str = "dstid", ts
                 )
             )
         )
-    ).where(F.col("entity_id").isNotNull())
+    )
     spread = seen.repartitionByRange("side", "entity_id", "partner")
     return (
         spread.groupBy("side", "entity_id")  # partial states inside each range, then the stitch
@@ -54,10 +49,23 @@ def entity_profile(events: DataFrame, src: str = "srcid", dst: str = "dstid", ts
     )
 
 
+def entity_profile(events: DataFrame, src: str = "srcid", dst: str = "dstid", ts: str = "ts") -> DataFrame:
+    """Event count, distinct partners and time span of every source and every destination.
+
+    Output: side ('src' or 'dst'), entity_id, n_events, n_partners, first_ts, last_ts, span_ns.
+    A null id is no entity and no partner, though an event with one null end counts for the other
+    end. A null ``ts`` or one that isn't positive counts as an event without time; an entity
+    without any time has null first_ts, last_ts and span_ns. Repeated rows count each time. An
+    empty table gives an empty result. Other columns of ``events`` are ignored.
+    """
+    return _profile(events, src, dst, ts).where(F.col("entity_id").isNotNull())
+
+
 def heavy_entities(events: DataFrame, share: float = 0.02, src: str = "srcid", dst: str = "dstid", ts: str = "ts") -> DataFrame:
     """Ids in more than ``share`` of all rows, by side: (side, entity_id).
 
     The share is of all rows, those with null ids included. An empty table gives no row.
     """
-    total = events.count()
-    return entity_profile(events, src, dst, ts).where(F.col("n_events") > share * total).select("side", "entity_id")
+    counts = cut(_profile(events, src, dst, ts).select("side", "entity_id", "n_events"), "profile")
+    total = counts.where("side = 'src'").agg(F.sum("n_events")).first()[0] or 0
+    return counts.where(F.col("entity_id").isNotNull() & (F.col("n_events") > share * total)).select("side", "entity_id")

