@@ -53,11 +53,11 @@ def read_log(spark: SparkSession, source: LogSource) -> DataFrame:
     paths = existing(spark, source)
     if not paths:
         return spark.createDataFrame([], "file_ord int, line_off long, value string")
-    places: dict[str, int] = {}
+    places: dict[str, tuple[int, str]] = {}
     for i, p in enumerate(paths):
-        places.setdefault(_full_path(spark, p), i)
-    order = spark.createDataFrame(list(places.items()), "_name string, file_ord int")
-    lines = spark.read.text(list(places)).select(
+        places.setdefault(_full_path(spark, p), (i, p))
+    order = spark.createDataFrame([(name, i) for name, (i, _) in places.items()], "_name string, file_ord int")
+    lines = spark.read.text([p for _, p in places.values()]).select(
         "value",
         F.regexp_replace("_metadata.file_path", _LOCAL, "file:/").alias("_name"),
         F.col("_metadata.file_block_start").alias("_block"),
