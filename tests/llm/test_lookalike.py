@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.helpers import order, rows
-from tracewright.llm.lookalike import HYPHENS, MARKED_FORMAT, SAME_SHAPE, SEEN_CONTROLS, UNMARKED, Normalizer, look_alikes, mappings, normalize_text
+from tracewright.llm.lookalike import HYPHENS, MARKED_FORMAT, SAME_SHAPE, SEEN_CONTROLS, UNMARKED, Normalizer, look_alikes, look_classes, mappings, normalize_text
 
 N = Normalizer(*mappings())
 SHAPE = {c: g[0] for g in SAME_SHAPE for c in g[1:]}
@@ -98,7 +98,7 @@ def test_empty(spark):
 
 def test_letters_of_one_shape_in_either_case():
     normalizer = Normalizer(*mappings())
-    groups = "ƐԐ ɛԑε YҮ yү ƷӠ ʒӡ ƟӨ ɵө ĸкκ ƆϽ ɔͻ ΣƩ ÞϷ þϸ ʙв ʜн ᴍм ᴛт ᴙя cᴄ oᴏ sꜱ vᴠ wᴡ zᴢ".split()
+    groups = "ƐԐ ɛԑε YҮ yү ƷӠ ʒӡ ƟӨΘѲ ɵөѳ ΨѰ ψѱ ĸкκ ƆϽ ɔͻ ΣƩ ÞϷ þϸ ʙв ʜн ᴍм ᴛт ᴙя cᴄ oᴏ sꜱ vᴠ wᴡ zᴢ".split()
     assert [len(set(normalizer.apply(list(g)))) for g in groups] == [1] * len(groups)
     assert len(set(normalizer.apply([g[0] for g in groups]))) == len(groups)
 
@@ -106,3 +106,25 @@ def test_letters_of_one_shape_in_either_case():
 def test_no_letter_is_in_two_groups():
     letters = "".join(SAME_SHAPE)
     assert len(set(letters)) == len(letters)
+
+
+def test_sql_of_every_code_point():
+    """The SQL is written apart from the operator; they agree on every character whose form is one character at most."""
+    import duckdb
+
+    from tracewright.llm.queries import _look
+
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    forms = Normalizer(*mappings()).apply([chr(c) for c in points])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT i AS doc_id, chr(CAST(i AS INTEGER)) AS text FROM range(1, 1114112) t(i) WHERE i NOT BETWEEN 55296 AND 57343")
+    theirs = dict(con.execute(f"SELECT doc_id, {_look()} FROM documents").fetchall())
+    assert [(hex(c), f, theirs[c]) for c, f in zip(points, forms) if theirs[c] != f and len(f) < 2] == []
+
+
+def test_classes(spark):
+    texts = ["pay", "р\u0430y", "pay", "PAY", None, "", "\u200b", "same", "same", "x y", "x\u00a0y"]
+    docs = spark.createDataFrame([(i + 5, t, "?", "?") for i, t in enumerate(texts)], SCHEMA)
+    got = rows(look_classes(docs.repartition(3)), "doc_id", "class_id", "n_members", "n_texts")
+    assert got == order([(5, 5, 3, 2), (6, 5, 3, 2), (7, 5, 3, 2), (10, 10, 2, 2), (11, 10, 2, 2), (14, 14, 2, 2), (15, 14, 2, 2)])
+    assert look_classes(docs.where("false")).count() == 0

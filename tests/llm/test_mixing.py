@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tracewright.llm.mixing import mix, permuted, quotas, shard_counts, source_blocks
+from tracewright.llm.mixing import mix, permuted, quotas, shard_draw, source_blocks
 from tracewright.llm.tokens import VOCABULARY, encoder
 from tracewright.session import load
 
@@ -29,12 +29,14 @@ def test_quotas():
     assert quotas(shares * 0, blocks, np.array([1, 1, 1])).tolist() == [0, 0, 0]
 
 
-def test_shard_counts_meet_the_quotas():
-    quota = np.array([1000, 37, 0, 4])
-    got = shard_counts(quota, 64, 3)
-    assert (got.sum(axis=0) == quota).all() and (got.sum(axis=1)[:-1] == 64).all() and (got >= 0).all()
-    assert len({tuple(r) for r in got.tolist()}) > 5
-    assert shard_counts(quota * 0, 64, 3).shape == (0, 4)
+@pytest.mark.parametrize("quota", [[1000, 37, 0, 4], [64], [65, 0], [1, 1], [10**12, 5, 10**11]])
+def test_shard_draws_meet_the_quotas(quota):
+    quota, size = np.array(quota), 64 if sum(quota) < 10**6 else 10**10
+    n = -(-int(quota.sum()) // size)
+    got, starts = map(np.array, zip(*(shard_draw(quota, size, s, 3) for s in range(n))))
+    assert (got.sum(axis=0) == quota).all() and (got.sum(axis=1)[:-1] == size).all() and (got >= 0).all()
+    assert (starts == np.cumsum(got, axis=0) - got).all()
+    assert n < 10 or len({tuple(r) for r in got.tolist()}) > 5
 
 
 DOCS = "doc_id long, text string, source string, tokens string, chunk int"
@@ -61,12 +63,23 @@ def test_blocks_hold_every_token_in_order(spark):
         assert all("|".join(map(str, w)) in text for w in want)
 
 
+def test_blocks_of_documents_of_any_size_and_split(spark):
+    rows = [(i, "a b" * n, "big" if i % 3 else "small", "", 1) for i, n in enumerate([1, 400, 3, 0, 2, 9, 9, 150, 1, 1, 1, 60] * 4)]
+    encode = encoder(VOCABULARY).encode_ordinary
+    for parts in (1, 7):
+        got = source_blocks(spark.createDataFrame(rows, DOCS).repartition(parts, "doc_id"), ["big", "small"], block_tokens=8).collect()
+        for s in ("big", "small"):
+            own = sorted((r["block_index"], r["n_tokens"], r["tokens"]) for r in got if r["source"] == s)
+            assert [i for i, *_ in own] == list(range(len(own))) and all(n == len(t) == 8 for _, n, t in own[:-1]) and own[-1][1] == len(own[-1][2])
+            assert Counter(x for *_, t in own for x in t) == Counter(x for _, t, src, *_ in rows if src == s for x in encode(t))
+
+
 def test_mix(spark):
     docs, _ = made(spark)
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 3), ("none", 0.1, 5), ("other", None, 2), (None, 0.2, 1)], TARGETS)
     mixture, shares = mix(docs, targets, block_tokens=16, shard_blocks=8)
     got = mixture.collect()
-    blocks = {(r["source"], r["block_index"]): r["tokens"] for r in source_blocks(docs, ["big", "none", "other", "small"], block_tokens=16, seed=7).collect()}
+    blocks = {(r["source"], r["block_index"]): r["tokens"] for r in source_blocks(docs, ["big", "none", "other", "small"], block_tokens=16).collect()}
     use = Counter((r["source"], r["block_index"]) for r in got)
     assert all(blocks[r["source"], r["block_index"]] == r["tokens"] for r in got)
     assert max(n for (s, _), n in use.items() if s == "small") <= 3 and max(n for (s, _), n in use.items() if s == "big") == 1

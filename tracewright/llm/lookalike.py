@@ -28,7 +28,7 @@ SAME_SHAPE = (
     "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "MМΜϺ", "NΝ", "OОΟ", "PРΡ", "QԚ", "SЅ", "TТΤ", "VѴ", "WԜ", "XХΧ", "YҮΥ", "ZΖ",
     "aа", "cсϲᴄ", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "lӏ", "oоοᴏ", "pрρ", "qԛ", "sѕꜱ", "vѵνᴠ", "wԝᴡ", "xх", "yуү", "zᴢ",
     "ÆӔ", "æӕ", "ƏӘ", "əә", "ƐԐ", "ГΓ", "ПΠ", "ФΦ", "ıιɩ",
-    "ɛԑε", "ƷӠ", "ʒӡ", "ƟӨ", "ɵө", "ĸкκᴋ", "ƆϽ", "ɔͻ", "ΣƩ", "ÞϷ", "þϸ", "ʙв", "ʜн", "ᴍм", "ᴛт", "ᴙя",
+    "ɛԑε", "ƷӠ", "ʒӡ", "ƟӨΘѲϴ", "ɵөѳ", "ΨѰ", "ψѱ", "ĸкκᴋ", "ƆϽ", "ɔͻ", "ΣƩ", "ÞϷ", "þϸ", "ʙв", "ʜн", "ᴍм", "ᴛт", "ᴙя",
 )
 #: The hyphens drawn like the ASCII one (its wide form decomposes to it).
 HYPHENS = "‐‑﹣"
@@ -181,6 +181,26 @@ def normalize_text(rows: DataFrame, text: str = "text", to: str = "look") -> Dat
     return rows.mapInArrow(run, f"{schema}, `{to}` string")
 
 
+def _keys(documents: DataFrame) -> DataFrame:
+    """(doc_id, look, own): digests of a text's one form and of the text, of documents whose form several different texts share."""
+    looks = normalize_text(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"))
+    keys = cut(looks.select("doc_id", F.sha2("look", 256).alias("look"), F.sha2("text", 256).alias("own")), "looks")
+    mixed = keys.groupBy("look").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("look")
+    return cut(keys.join(mixed, "look", "left_semi"), "members")
+
+
+def look_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_members, n_texts): the class of each document that looks like one of another text.
+
+    class_id is the smallest doc_id of the class, n_members its documents and n_texts its different texts: all pairs in as
+    many rows as there are documents. A class of most documents is counted map side.
+    """
+    members = _keys(documents)
+    texts = members.groupBy("look", "own").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
+    classes = texts.groupBy("look").agg(F.min("low").alias("class_id"), F.sum("n").alias("n_members"), F.count(F.lit(1)).alias("n_texts"))
+    return members.join(classes, "look").select("doc_id", "class_id", "n_members", "n_texts")
+
+
 def look_alikes(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents whose texts are not equal but look the same.
 
@@ -188,10 +208,7 @@ def look_alikes(documents: DataFrame) -> DataFrame:
     Classes of one single text, however many its copies, are dropped before any join, so exact
     copies alone never meet.
     """
-    looks = normalize_text(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"))
-    keys = cut(looks.select("doc_id", F.sha2("look", 256).alias("look"), F.sha2("text", 256).alias("own")), "looks")
-    mixed = keys.groupBy("look").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("look")
-    members = cut(keys.join(mixed, "look", "left_semi"), "members")
+    members = _keys(documents)
     a, b = members.alias("a"), members.alias("b")
     on = (F.col("a.look") == F.col("b.look")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.own") != F.col("b.own"))
     return a.join(b, on).select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"))

@@ -1,11 +1,14 @@
 """Sources combined to target shares of all tokens, small ones repeated up to a cap.
 
-Each source's tokens, end to end in a pseudorandom document order, are cut into fixed-length blocks
-with an index. Every output shard draws its source counts from a multinomial over the quotas still open, so the
-quotas are met exactly in the end. The draws of a source are numbered through all shards; number j
-is block perm(j mod blocks) of the source's pass j div blocks, under a pseudorandom permutation of
-the source's block indices, so each block comes once before any comes again. Slots and blocks then
-meet in a join on (source, block index).
+Each source's tokens, end to end in the order of the scan, are cut into fixed-length blocks with an
+index: where a document begins in its source follows from a running sum inside each scan task and
+the sums of the tasks before, so blocks are cut where the tokens lie, and only those that two tasks
+share are put together. Every output shard draws its source counts from a multinomial over the
+quotas still open, by halving the shards: each task draws the halves on the way to its shard under the same keys, so
+the quotas are met exactly without a plan on the driver. The draws of a source are numbered through
+all shards; number j is block perm(j mod blocks) of the source's pass j div blocks, under a
+pseudorandom permutation of the source's block indices, so each block comes once before any comes
+again. Slots and blocks then meet in a join on (source, block index), the one time that tokens travel.
 """
 
 from __future__ import annotations
@@ -14,17 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.tokens import VOCABULARY, with_tokens
+from tracewright.llm.tokens import VOCABULARY, encoder
 from tracewright.session import cut
 
 BLOCK_TOKENS = 512
 MAX_SOURCES = 1000
-MAX_SHARDS = 4096
 SHARD_BLOCKS = 1024
-CHUNK_DOCS = 100_000
 
 
 def permuted(i: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -82,56 +84,122 @@ def quotas(shares: np.ndarray, blocks: np.ndarray, repeats: np.ndarray, total: i
     return out
 
 
-def shard_counts(quota: np.ndarray, shard_blocks: int, seed: int) -> np.ndarray:
-    """Source counts of each shard: multinomial over the open quotas; their sums are the quotas."""
-    rng, left, rows = np.random.default_rng(seed), quota.astype(np.int64).copy(), []
-    while (n := min(shard_blocks, int(left.sum()))) > 0:
-        got = np.zeros_like(left)
-        while (need := n - int(got.sum())) > 0:
-            open_ = left - got
-            got += np.minimum(rng.multinomial(need, open_ / open_.sum()), open_)
-        rows.append(got)
-        left -= got
-    return np.array(rows, np.int64).reshape(len(rows), len(quota))
+def _half(left: np.ndarray, n: int, key: int) -> np.ndarray:
+    """``n`` draws out of what is left of each source, multinomial over what is still open."""
+    rng, got = np.random.default_rng(key), np.zeros_like(left)
+    while (need := n - int(got.sum())) > 0:
+        open_ = left - got
+        got += np.minimum(rng.multinomial(need, open_ / open_.sum()), open_)
+    return got
 
 
-def source_blocks(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
-    """(source, block_index, tokens): each source's tokens in fixed-length blocks; only a source's last one may be shorter.
+def shard_draw(quota: np.ndarray, shard_blocks: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, start): the source counts of one shard of ``shard_blocks`` slots, and those of all shards before it.
 
-    Positions come from a prefix sum in two steps, over hash chunks of documents and within them,
-    so a source with most documents isn't ordered in one task.
+    The shards are halved until one is left; both halves of a range of shards share out its counts
+    the same way wherever they are drawn, so over all shards the counts add up to the quotas.
     """
-    rows = documents.where(F.col("source").isin(*sources) & (F.length("text") > 0)).select("source", "doc_id", "text")
-    spread = max(1, rows.count() // CHUNK_DOCS)
-    hashed = F.xxhash64("doc_id", "n_tokens", F.lit(seed))
-    coded = cut(
-        with_tokens(rows, "text", vocabulary, ids=True).where("n_tokens > 0").withColumn("chunk", F.pmod(hashed, F.lit(spread))), "coded"
-    )
-    w = Window.partitionBy("source").orderBy("chunk")
-    starts = (
-        coded.groupBy("source", "chunk")
-        .agg(F.sum("n_tokens").alias("n"))
-        .select("source", "chunk", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("chunk_start"))
-    )
-    inside = Window.partitionBy("source", "chunk").orderBy(hashed, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        coded.withColumn("inner", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-        .join(starts, ["source", "chunk"])
-        .select("source", "n_tokens", "tokens", (F.col("chunk_start") + F.col("inner")).alias("at"))
-    )
-    size = F.lit(block_tokens).cast("long")
-    first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n_tokens") - 1) / size)
+    left, start = quota.astype(np.int64).copy(), np.zeros(len(quota), np.int64)
+    lo, hi = 0, -(-int(left.sum()) // shard_blocks)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first = _half(left, (mid - lo) * shard_blocks, _key(seed, lo, hi))
+        if shard < mid:
+            left, hi = first, mid
+        else:
+            left, start, lo = left - first, start + first, mid
+    return left, start
+
+
+_CODED = pa.schema([("source", pa.string()), ("part", pa.int32()), ("inner", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+
+
+def _coded(path: str):
+    """(source, text) to tokens, each with its place among those of its source in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part, upto = encoder(path).encode_ordinary, TaskContext.get().partitionId(), {}
+        for batch in batches:
+            rows = []
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = encode(text)
+                if tokens:
+                    at = upto.get(source, 0)
+                    rows.append((source, part, at, tokens))
+                    upto[source] = at + len(tokens)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CODED)], schema=_CODED)
+
+    return run
+
+
+_PIECES = pa.schema([("source", pa.string()), ("block_index", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.list_(pa.int32()))])
+
 
-    def piece(b):
-        lo = F.greatest(b * size, F.col("at"))
-        hi = F.least((b + 1) * size, F.col("at") + F.col("n_tokens"))
-        return F.struct(
-            b.alias("block_index"), lo.alias("at"), F.slice("tokens", (lo - F.col("at") + 1).cast("int"), (hi - lo).cast("int")).alias("part")
-        )
+def _gridded(size: int):
+    """(source, at, tokens) to pieces of blocks: whole ones wherever the tokens of one follow one another here, else what there is of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[int, list[np.ndarray], int]] = {}  # source: where its held tokens begin, those tokens, how many
+        out: list[tuple[str, int, np.ndarray]] = []
+
+        def put(source: str, at: int, tokens: np.ndarray) -> None:
+            for a in range(0, len(tokens), size):
+                out.append((source, at + a, tokens[a : a + size]))
+
+        def batch_of() -> pa.RecordBatch:
+            sources, at, parts = zip(*out)
+            ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+            cols = [pa.array(sources), pa.array([x // size for x in at], pa.int64()), pa.array(at, pa.int64()), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))]
+            out.clear()
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, _PIECES)], schema=_PIECES)
+
+        for batch in batches:
+            lists = batch.column(2)
+            ends, values = np.asarray(lists.offsets), np.asarray(lists.values)
+            for i, (source, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                tokens = values[ends[i] : ends[i + 1]]
+                begin, parts, n = held.pop(source, (at, [], 0))
+                if begin + n != at:  # what is held goes on elsewhere
+                    put(source, begin, np.concatenate(parts))
+                    begin, parts, n = at, [], 0
+                parts, n = [*parts, tokens], n + len(tokens)
+                rest = begin + n - max(begin, (begin + n) // size * size)  # what lies beyond the last bound
+                if rest < n:
+                    joined = np.concatenate(parts)
+                    head = min(n - rest, -begin % size)
+                    if head:
+                        put(source, begin, joined[:head])
+                    put(source, begin + head, joined[head : n - rest])
+                    begin, parts, n = begin + n - rest, [joined[n - rest :]], rest
+                if n:
+                    held[source] = (begin, parts, n)
+            if out:
+                yield batch_of()
+        for source, (begin, parts, _) in held.items():
+            put(source, begin, np.concatenate(parts))
+        if out:
+            yield batch_of()
+
+    return run
 
-    parts = placed.select("source", F.inline(F.transform(F.sequence(first, last), piece)))
-    whole = F.array_sort(F.collect_list(F.struct("at", "part")))  # at most block_tokens parts
-    return parts.groupBy("source", "block_index").agg(F.flatten(F.transform(whole, lambda x: x["part"])).alias("tokens"))
+
+def source_blocks(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(source, block_index, n_tokens, tokens): each source's tokens in fixed-length blocks; only a source's last one may be shorter.
+
+    Documents follow one another as they are scanned; a source with most documents isn't ordered in one task.
+    """
+    rows = documents.where(F.col("source").isin(*sources) & (F.length("text") > 0)).select("source", "text")
+    coded = cut(rows.mapInArrow(_coded(vocabulary), "source string, part int, inner long, tokens array<int>"), "coded")
+    w = Window.partitionBy("source").orderBy("part")  # a row per scan task
+    sums = coded.groupBy("source", "part").agg(F.sum(F.size("tokens")).alias("n"))
+    starts = cut(sums.select("source", "part", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start")), "starts")
+    placed = coded.join(starts, ["source", "part"]).select("source", (F.col("start") + F.col("inner")).alias("at"), "tokens")
+    pieces = cut(placed.mapInArrow(_gridded(block_tokens), "source string, block_index long, at long, n_tokens int, tokens array<int>"), "pieces")
+    whole = F.col("n_tokens") == block_tokens
+    parts = F.array_sort(F.collect_list(F.struct("at", "tokens")))  # at most block_tokens parts
+    shared = pieces.where(~whole).groupBy("source", "block_index").agg(F.sum("n_tokens").cast("int").alias("n_tokens"), F.flatten(F.transform(parts, lambda x: x["tokens"])).alias("tokens"))
+    return pieces.where(whole).select("source", "block_index", "n_tokens", "tokens").unionByName(shared)
 
 
 def _key(*parts: int) -> int:
@@ -145,19 +213,22 @@ def _key(*parts: int) -> int:
 _SLOTS = pa.schema([("out_shard", pa.int32()), ("slot", pa.int64()), ("source", pa.string()), ("repeat_no", pa.int32()), ("block_index", pa.int64())])
 
 
-def _slots(names: list[str], blocks: list[int], seed: int, step: int = 50_000):
+def _slots(names: list[str], blocks: list[int], quota: list[int], shard_blocks: int, seed: int, step: int = 50_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, k, start, base, n, size in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                for a in range(0, n, step):
-                    i = np.arange(a, min(n, a + step), dtype=np.int64)
-                    turn, inner = np.divmod(start + i, blocks[k])
-                    index = np.empty_like(inner)
-                    for t in np.unique(turn):
-                        index[turn == t] = permuted(inner[turn == t], blocks[k], _key(seed, k, int(t)))
-                    place = permuted(base + i, size, _key(seed, len(blocks), shard))
-                    cols = (np.full(len(i), shard), place, [names[k]] * len(i), turn, index)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SLOTS)], schema=_SLOTS)
+            for shard in batch.column(0).to_pylist():
+                counts, start = shard_draw(np.array(quota, np.int64), shard_blocks, shard, seed)
+                base, size = np.cumsum(counts) - counts, int(counts.sum())
+                for k in np.flatnonzero(counts).tolist():
+                    for a in range(0, int(counts[k]), step):
+                        i = np.arange(a, min(int(counts[k]), a + step), dtype=np.int64)
+                        turn, inner = np.divmod(int(start[k]) + i, blocks[k])
+                        index = np.empty_like(inner)
+                        for t in np.unique(turn):
+                            index[turn == t] = permuted(inner[turn == t], blocks[k], _key(seed, k, int(t)))
+                        place = permuted(int(base[k]) + i, size, _key(seed, len(blocks), shard))
+                        cols = (np.full(len(i), shard), place, [names[k]] * len(i), turn, index)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SLOTS)], schema=_SLOTS)
 
     return run
 
@@ -191,7 +262,7 @@ def mix(
     rows = sorted(rows, key=lambda r: r["source"])
     names = [r["source"] for r in rows]
     spark = documents.sparkSession
-    blocks = cut(source_blocks(documents, names, vocabulary, block_tokens, seed).withColumn("n_tokens", F.size("tokens")), "blocks")
+    blocks = source_blocks(documents, names, vocabulary, block_tokens)
     have = {r[0]: (r[1], r[2]) for r in blocks.groupBy("source").agg(F.count(F.lit(1)), F.sum("n_tokens")).collect()}
     count = np.array([have.get(n, (0, 0))[0] for n in names], np.int64)
     shares, repeats = np.array([r["p"] for r in rows], float), np.array([r["m"] for r in rows], np.int64)
@@ -199,22 +270,10 @@ def mix(
     if of_corpus is not None:
         total = max(1, round(of_corpus * int(count.sum())))
     quota = quotas(shares, count, repeats, total)
-    per_shard = max(shard_blocks, -(-int(quota.sum()) // MAX_SHARDS))
-    drawn = shard_counts(quota, per_shard, seed)
-    start = np.cumsum(drawn, axis=0) - drawn
-    base = np.cumsum(drawn, axis=1) - drawn
-    plan = [
-        (s, k, int(start[s, k]), int(base[s, k]), int(drawn[s, k]), int(drawn[s].sum()))
-        for s in range(len(drawn))
-        for k in range(len(names))
-        if drawn[s, k]
-    ]
-    plan_schema = "shard int, k int, start long, base long, n long, size long"
-    spread = max(1, min(len(plan), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shards = -(-int(quota.sum()) // shard_blocks)
     slots = (
-        spark.createDataFrame(plan, plan_schema)
-        .repartition(spread, "shard", "k")
-        .mapInArrow(_slots(names, count.tolist(), seed), "out_shard int, slot long, source string, repeat_no int, block_index long")
+        spark.range(shards, numPartitions=max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        .mapInArrow(_slots(names, count.tolist(), quota.tolist(), shard_blocks, seed), "out_shard int, slot long, source string, repeat_no int, block_index long")
     )
     mixture = slots.join(blocks, ["source", "block_index"]).select(
         "out_shard", "slot", "source", "repeat_no", "block_index", "n_tokens", "tokens"
@@ -233,3 +292,25 @@ def _shares(spark, mixture: DataFrame, rows: list, have: dict) -> DataFrame:
     )  # one row per listed source, so the window below is over a bounded table
     everything = F.sum("drawn_tokens").over(Window.partitionBy())
     return joined.withColumn("actual_share", F.when(everything > 0, F.col("drawn_tokens") / everything).otherwise(F.lit(0.0)))
+
+
+def mixture_audit(mixture: DataFrame, shares: DataFrame, within: float = 0.02) -> DataFrame:
+    """Per listed source what must hold of a mixture: source, target_share, max_repeats, three counts that must be 0, and as_targeted.
+
+    n_beyond_cap: blocks drawn more often than max_repeats; n_twice_a_pass: draws of a block beyond
+    the first in one pass; n_slots_twice: draws that share their shard and slot with another.
+    as_targeted: the actual share is within ``within`` of the target among the sources with tokens, and 0 for one without.
+    """
+    drawn = cut(mixture.select("out_shard", "slot", "source", "repeat_no", "block_index"), "drawn")
+    n = F.count(F.lit(1)).alias("n")
+    uses = drawn.groupBy("source", "block_index").agg(n).join(shares.select("source", "max_repeats"), "source")
+    beyond = uses.groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("n_beyond_cap"))
+    passes = drawn.groupBy("source", "repeat_no", "block_index").agg(n).groupBy("source").agg(F.sum(F.col("n") - 1).alias("n_twice_a_pass"))
+    slots = drawn.groupBy("out_shard", "slot").agg(n, F.min("source").alias("source")).groupBy("source").agg(F.sum(F.col("n") - 1).alias("n_slots_twice"))
+    has = F.col("source_tokens") > 0
+    whole = F.sum(F.when(has, F.col("target_share"))).over(Window.partitionBy())  # over the listed sources
+    met = F.when(has, F.abs(F.col("actual_share") - F.col("target_share") / whole) < within).otherwise(F.col("actual_share") == 0)
+    out = shares.select("source", "target_share", "max_repeats", met.alias("as_targeted"))
+    for part in (beyond, passes, slots):
+        out = out.join(part, "source", "left")
+    return out.fillna(0, ["n_beyond_cap", "n_twice_a_pass", "n_slots_twice"])
