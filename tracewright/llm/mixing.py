@@ -271,9 +271,10 @@ def mix(
         total = max(1, round(of_corpus * int(count.sum())))
     quota = quotas(shares, count, repeats, total)
     shards = -(-int(quota.sum()) // shard_blocks)
-    slots = (
+    slots = cut(  # written, so that the join knows its size; the optimizer can't tell how many slots a shard has
         spark.range(shards, numPartitions=max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-        .mapInArrow(_slots(names, count.tolist(), quota.tolist(), shard_blocks, seed), "out_shard int, slot long, source string, repeat_no int, block_index long")
+        .mapInArrow(_slots(names, count.tolist(), quota.tolist(), shard_blocks, seed), "out_shard int, slot long, source string, repeat_no int, block_index long"),
+        "slots",
     )
     mixture = slots.join(blocks, ["source", "block_index"]).select(
         "out_shard", "slot", "source", "repeat_no", "block_index", "n_tokens", "tokens"
