@@ -29,7 +29,7 @@ def test_snapshot_cut_is_greedy(spark, n, chunk):
     r = Random(n * chunk)
     events = [(i * 3, r.randrange(40), r.choice([0, 0, r.randrange(40)])) for i in range(400)]
     df = spark.createDataFrame(events, "seq long, src long, dst long").repartition(5)
-    assert rows(cut_snapshots(df, ["seq"], n, chunk), "seq", "snapshot_id") == order(greedy(events, n))
+    assert rows(cut_snapshots(df, ["seq"], n, chunk, fan=3), "seq", "snapshot_id") == order(greedy(events, n))
 
 
 def test_snapshot_cut_ends_on_a_bound_and_empty(spark):

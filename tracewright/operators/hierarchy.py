@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.lookup import buckets, follow
 from tracewright.session import cut
 
 TREE, CYCLE, UNDER = "tree", "cycle", "under_cycle"
@@ -126,24 +127,6 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _found(forest, nodes)
 
 
-def _buckets(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _follow(rows: DataFrame, at: str, index: DataFrame) -> DataFrame:
-    """``rows`` (node, ...) with, as ``found``, the columns of the row of ``index`` whose node is their ``at``; rows without one are left out.
-
-    What is looked up are the distinct ids of each bucket of nodes, at most one row a bucket and
-    id; what comes back is joined within the bucket, so no id is hotter than its share of a bucket.
-    """
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("node"), F.lit(_buckets(rows))))
-    asked = rows.select("_bucket", F.col(at).alias("_at")).distinct()
-    answers = index.select(F.col("node").alias("_at"), F.struct(*(c for c in index.columns if c != "node")).alias("found"))
-    got = asked.join(answers, "_at")
-    on = (F.col("a._bucket") == F.col("b._bucket")) & (F.col(f"a.{at}") == F.col("b._at"))
-    return rows.alias("a").join(got.alias("b"), on).select(*(F.col(f"a.{c}") for c in rows.columns if c != "_bucket"), "b.found")
-
-
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -158,7 +141,7 @@ def _states(df: DataFrame) -> dict[str, int]:
 def _onward(level: DataFrame, index: DataFrame) -> DataFrame:
     """The open rows of a level, led on by what ``index`` knows of their anchors; a state of cycle is exact for its own node only."""
     state = F.when(F.col("found.state") == CYCLE, F.lit(UNDER)).otherwise(F.col("found.state"))
-    met = _follow(level.where(F.col("state") == OPEN), "anchor", index)
+    met = follow(level.where(F.col("state") == OPEN), "anchor", index)
     return met.select("node", F.col("found.anchor").alias("anchor"), (F.col("off") + F.col("found.off")).alias("off"), state.alias("state"))
 
 
@@ -190,7 +173,7 @@ def _loops(links: DataFrame) -> DataFrame:
 
     def twice(step: DataFrame) -> DataFrame:
         low = F.least("low", "found.low")
-        met = _follow(step.select("node", "to", "low"), "to", step.select("node", "to", "low"))
+        met = follow(step.select("node", "to", "low"), "to", step.select("node", "to", "low"))
         return cut(met.select("node", F.col("found.to").alias("to"), low.alias("low"), (low != F.col("low")).alias("moved")), "loop")
 
     step = cut(links.select("node", F.col("parent").alias("to"), F.col("node").alias("low")), "loop")
@@ -243,7 +226,7 @@ def _doubled(level: DataFrame) -> DataFrame:
         still = level.where("up is not null")
         if still.isEmpty():
             return _union(done).select(F.col("node").alias("entity_id"), "path")
-        met = _follow(still, "up", _union([still, *done]))
+        met = follow(still, "up", _union([still, *done]))
         level = cut(met.select("node", F.col("found.up").alias("up"), F.concat("found.path", "path").alias("path")), "paths")
 
 
@@ -256,7 +239,7 @@ def _with_paths(found: DataFrame, parents: DataFrame, local_nodes: int) -> DataF
     found = cut(found, "found")
     large = cut(found.groupBy("root_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_nodes).select("root_id"), "large")
     links = found.join(parents.withColumnRenamed("node", "entity_id"), "entity_id").select("entity_id", "parent", "depth", "root_id")
-    spread = max(_buckets(found), -(-found.count() // local_nodes))
+    spread = max(buckets(found), -(-found.count() // local_nodes))
     whole = links.join(large, "root_id", "left_anti").repartition(spread, "root_id").select("entity_id", "parent", "depth")
     paths = whole.mapInArrow(_walks, "entity_id long, path array<long>")
     if not large.isEmpty():
@@ -287,7 +270,7 @@ def resolve_forest(parents: DataFrame, with_path: bool = False, local_nodes: int
     about how many nodes one holds in memory at most. An empty table gives an empty result.
     """
     parents = cut(parents, "parents")
-    spread = parents.repartition(max(_buckets(parents), -(-parents.count() // local_nodes)), "node")
+    spread = parents.repartition(max(buckets(parents), -(-parents.count() // local_nodes)), "node")
     found = _merge(cut(spread.mapInArrow(_local, _LEVEL), "forest"), local_nodes)
     looped = found.where(F.col("state") == LOOPED)
     if not looped.isEmpty():

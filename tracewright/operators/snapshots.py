@@ -1,17 +1,18 @@
 """The ordered log cut into snapshots by node count, and the snapshot graphs.
 
 A snapshot closes with the event that brings its distinct nodes to n, and the next begins; where
-it closes depends on where it began. To do this in parallel, the log is cut into chunks. Each chunk
+it closes depends on where it began. To do this in parallel, the log is cut into chunks of a fixed size. Each chunk
 finds, for every start in reach of the chunk before, where the run of snapshots from there leaves
-the chunk; soon all starts fall into step, so this map is a handful of ranges. The maps of
-all chunks (a bounded number) are chained from the start of the log, which gives each chunk its first start, and
-a second pass numbers the events.
+the chunk; soon all starts fall into step, so this map is a handful of ranges. Maps of neighbouring chunks compose
+to one of the same form, so they go up a tree, a thousand to one, until one is left; back down, each
+inner map tells its parts where their first snapshots start, and a second pass numbers the events.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from tracewright.session import cut
 
 SNAPSHOT_NODES = 5000
 CHUNK_EVENTS = 200_000
-MAX_CHUNKS = 2000
+FAN = 1000
 
 
 def _next_starts(src: np.ndarray, dst: np.ndarray, own: int, n: int) -> tuple[list[int], bool]:
@@ -64,63 +65,122 @@ def _ways(n: int, chunk: int, total: int):
         reach = own if found[0] < 0 else min(own, found[0] + 1)
         lo = np.flatnonzero(np.r_[True, (np.diff(leave[:reach]) != 0) | (np.diff(cuts[:reach]) != 0)])
         return pd.DataFrame(
-            {"chunk": c, "lo": lo + base, "leave": [leave[i] + base if leave[i] >= 0 else -1 for i in lo], "cuts": [cuts[i] for i in lo]}
+            {"unit": c, "lo": lo + base, "leave": [leave[i] + base if leave[i] >= 0 else -1 for i in lo], "cuts": [cuts[i] for i in lo]}
         )
 
     return run
 
 
-def _number(n: int, starts: dict[int, tuple[int, int]]):
-    """Numbers a chunk's events; starts has the first start within a chunk and its snapshot, and an end mark beyond the last chunk."""
+_WAYS = "unit long, lo long, leave long, cuts long"
+
+
+def _by_unit(pdf: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each unit its range starts in order, and where each leads and by how many snapshots."""
+    pdf = pdf.sort_values(["unit", "lo"])
+    return {int(u): (g["lo"].to_numpy(), g["leave"].to_numpy(), g["cuts"].to_numpy()) for u, g in pdf.groupby("unit", sort=False)}
+
+
+def _follow(units: dict, unit: int, at: int, span: int, total: int) -> tuple[int, int]:
+    """(leave, cuts) of the run that starts at ``at`` in a unit of ``span`` events, or beyond it; -1 where a snapshot is longer than a chunk."""
+    if at >= min((unit + 1) * span, total):
+        return at, 0
+    lo, leave, cuts = units[unit]
+    i = int(np.searchsorted(lo, at, side="right")) - 1
+    return int(leave[i]), int(cuts[i])
+
+
+def _compose(span: int, total: int):
+    """The maps of the units of a group as one: every range of the first unit followed through all."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(key[0])
-        pdf = pdf.sort_values("pos")
-        first, begun = starts.get(c) or (2**62, min(number for k, (_, number) in starts.items() if k > c))
-        out, seen, now = [], set(), begun - 1
-        for pos, a, b in zip(pdf["pos"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist()):
+        group, units = int(key[0]), _by_unit(pdf)
+        order, rows = sorted(units), []
+        for lo in units[order[0]][0].tolist():
+            at, number = lo, 0
+            for u in order:
+                at, more = _follow(units, u, at, span, total)
+                number += more
+                if at < 0:
+                    break
+            if not rows or rows[-1][2:] != (at, number):
+                rows.append((group, lo, at, number))
+        return pd.DataFrame(rows, columns=["unit", "lo", "leave", "cuts"])
+
+    return run
+
+
+def _hand_down(span: int, total: int):
+    """(unit, first, begun) of the units of a group whose own first start and snapshot number are known."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, number, units = int(pdf["first"].iloc[0]), int(pdf["begun"].iloc[0]), _by_unit(pdf)
+        rows = []
+        for u in sorted(units):
+            rows.append((u, at, number))
+            at, more = _follow(units, u, at, span, total)
+            number += more
+        return pd.DataFrame(rows, columns=["unit", "first", "begun"])
+
+    return run
+
+
+def _first_starts(ways: DataFrame, chunk: int, total: int, fan: int) -> DataFrame | None:
+    """(unit, first, begun) of every unit: where its first snapshot starts and that one's number; None where some snapshot is longer than a chunk."""
+    levels = [ways]
+    group = F.floor(F.col("unit") / fan)
+    while levels[-1].agg(F.max("unit")).first()[0]:
+        up = levels[-1].withColumn("parent", group).groupBy("parent").applyInPandas(_compose(chunk * fan ** (len(levels) - 1), total), _WAYS)
+        levels.append(cut(up, "ways"))
+    if levels[-1].where("lo = 0 and leave < 0").count():
+        return None
+    spark = ways.sparkSession
+    starts = spark.createDataFrame([(0, 0, 0)], "unit long, first long, begun long")
+    for height, level in reversed(list(enumerate(levels[:-1]))):
+        known = level.withColumn("parent", group).join(starts.withColumnRenamed("unit", "parent"), "parent")
+        starts = cut(known.groupBy("parent").applyInPandas(_hand_down(chunk * fan**height, total), "unit long, first long, begun long"), "starts")
+    return starts
+
+
+def _number(n: int):
+    """A chunk's events with their snapshot; its first start and that one's number stand in each row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        first, now = table["first"][0].as_py(), table["begun"][0].as_py() - 1
+        out, seen = [], set()
+        for pos, a, b in zip(*(table[c].to_pylist() for c in ("pos", "__src", "__dst"))):
             if pos == first or (pos > first and len(seen) >= n):
                 now, seen = now + 1, set()
             if pos >= first:
                 seen.add(a)
                 seen.add(b)
             out.append(now)
-        return pd.DataFrame({"pos": pdf["pos"].to_numpy(), "snapshot_id": out})
+        return table.drop_columns(["unit", "first", "begun", "__src", "__dst"]).append_column("snapshot_id", pa.array(out, pa.int32()))
 
     return run
 
 
-def cut_snapshots(events: DataFrame, order: list[str], n: int = SNAPSHOT_NODES, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
+def cut_snapshots(events: DataFrame, order: list[str], n: int = SNAPSHOT_NODES, chunk_events: int = CHUNK_EVENTS, fan: int = FAN) -> DataFrame:
     """``events`` with pos (0-based log position) and snapshot_id (from 0).
 
     ``order`` totally orders the log; src and dst are the ends of an event and must not be null. The
-    last snapshot may hold fewer than n nodes. Empty events give an empty result.
+    last snapshot may hold fewer than n nodes. A chunk must be as long as the longest snapshot; where one is
+    longer, chunks are doubled and the maps made again. Empty events give an empty result.
     """
     placed = cut(with_position(events, *order), "log")
-    total = placed.count()
-    chunk = max(chunk_events, -(-total // MAX_CHUNKS))
+    total, chunk = placed.count(), chunk_events
     while True:
+        unit = F.floor(F.col("pos") / chunk)
         slim = placed.select("pos", F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
-        own = F.floor(F.col("pos") / chunk)
-        both = slim.select("*", F.explode(F.array(own, own - 1)).alias("chunk")).where("chunk >= 0")
-        ways: dict[int, list] = {}
-        for r in both.groupBy("chunk").applyInPandas(_ways(n, chunk, total), "chunk long, lo long, leave long, cuts long").collect():
-            ways.setdefault(r["chunk"], []).append((r["lo"], r["leave"], r["cuts"]))
-        starts, at, number, short = {}, 0, 0, False
-        while at < total:
-            c = at // chunk
-            starts[c] = (at, number)
-            _, leave, cuts = max(w for w in ways[c] if w[0] <= at)
-            if leave < 0:
-                short = True
-                break
-            at, number = leave, number + cuts
-        if not short:
+        both = slim.select("*", F.explode(F.array(unit, unit - 1)).alias("unit")).where("unit >= 0")
+        ways = cut(both.groupBy("unit").applyInPandas(_ways(n, chunk, total), _WAYS), "ways")
+        starts = _first_starts(ways, chunk, total, fan)
+        if starts is not None:
             break
-        chunk *= 2  # some snapshot is longer than a chunk
-    starts[total // chunk + 1] = (total, number)
-    numbered = slim.withColumn("chunk", own).groupBy("chunk").applyInPandas(_number(n, starts), "pos long, snapshot_id int")
-    return placed.join(numbered, "pos")
+        chunk *= 2
+    own = placed.withColumns({"unit": unit, "__src": F.xxhash64("src"), "__dst": F.xxhash64("dst")}).join(starts, "unit")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
+    return own.groupBy("unit").applyInArrow(_number(n), f"{schema}, snapshot_id int")
 
 
 def snapshot_edges(snapped: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """From a point of interest outwards: community expansion, breadth-first search, components.
 
-All points of interest advance together, one join a hop. What is kept between hops is cut in the
-shared folder, and each hop starts from what the last one added.
+All points of interest advance together. What a hop adds is cut in the shared folder, one table a
+hop, and the next starts from it; nodes and hits are counted once, after the last.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.lookup import follow
 from tracewright.operators.ordering import with_position
 from tracewright.session import cut
 
@@ -43,28 +44,22 @@ def expand(pois: DataFrame, members: DataFrame, attack: DataFrame, hub: int | No
     many = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1" + (f" and n <= {int(hub)}" if hub is not None else ""))
     members = cut(members.select("node", "label"), "members")
     doors = cut(members.join(many.select("node"), "node", "left_semi"), "doors")
-    attack = cut(attack.join(members.select("node").distinct(), "node", "left_semi"), "attack")
-    goal = attack.count()
+    marks = cut(members.join(attack.select("node").distinct(), "node", "left_semi"), "attack")  # labels of attack nodes
+    goal = marks.select("node").distinct().count()
     fresh = cut(pois.join(members.withColumnRenamed("node", "poi"), "poi").select("poi", "label", F.lit(0).alias("hop")), "open")
-    opened, cand, hop = fresh, None, 0
-    while not fresh.isEmpty():
-        found = fresh.join(members, "label").select("poi", "node").distinct()
-        if cand is not None:
-            found = found.join(cand, ["poi", "node"], "left_anti")
-        found = cut(found.withColumn("hop", F.lit(hop)), "found")
-        cand = found if cand is None else cand.unionByName(found)
-        if hop == max_hop:
-            break
+    opened, hop = fresh, 0
+    while hop < max_hop and not fresh.isEmpty():
         hop += 1
-        covered = cand.join(attack, "node", "left_semi").groupBy("poi").agg(F.count(F.lit(1)).alias("c"))
+        covered = opened.join(marks, "label").groupBy("poi").agg(F.count_distinct("node").alias("c"))
         done = covered.where(F.col("c") >= goal if goal else F.lit(False)).select("poi")
-        onward = found.join(done, "poi", "left_anti").join(doors, "node").select("poi", "label").distinct()
-        fresh = cut(onward.join(opened, ["poi", "label"], "left_anti").withColumn("hop", F.lit(hop)), "open")
+        through = fresh.join(done, "poi", "left_anti").join(doors, "label").select("poi", "node").distinct()
+        onward = through.join(doors, "node").select("poi", "label").distinct().join(opened, ["poi", "label"], "left_anti")
+        fresh = cut(onward.withColumn("hop", F.lit(hop)), "open")
         opened = opened.unionByName(fresh)
+    cand = opened.join(members, "label").groupBy("poi", "node").agg(F.min("hop").alias("hop"))
+    attack = marks.select("node").distinct()
     count = F.count(F.lit(1))
     labels = opened.groupBy("poi", "hop").agg(count.alias("labels"))
-    if cand is None:
-        cand = opened.select("poi", F.col("poi").alias("node"), "hop")
     nodes = cand.join(attack.withColumn("hit", F.lit(1)), "node", "left").groupBy("poi", "hop").agg(count.alias("nodes"), F.count("hit").alias("hits"))
     rows = labels.join(nodes, ["poi", "hop"], "left").fillna(0, ["nodes", "hits"])
     w = Window.partitionBy("poi").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)  # at most max_hop + 1 rows
@@ -109,23 +104,23 @@ def bfs(pois: DataFrame, edges: DataFrame, attack: DataFrame, max_hop: int = MAX
     goal = attack.count()
     fresh = cut(pois.join(nodes.withColumnRenamed("node", "poi"), "poi", "left_semi").select("poi", F.col("poi").alias("node")), "frontier")
     fresh = fresh.withColumn("hop", F.lit(0))
-    seen, going, last, hop = fresh, fresh.select("poi"), fresh.select("poi", "hop"), 0
-    while hop < max_hop:
+    seen, hop = fresh, 0
+    while hop < max_hop and not fresh.isEmpty():
+        hop += 1
         covered = seen.join(attack, "node", "left_semi").groupBy("poi").agg(F.count(F.lit(1)).alias("c"))
         done = covered.where(F.col("c") >= goal if goal else F.lit(False)).select("poi")
-        going = cut(going.join(fresh.select("poi").distinct(), "poi", "left_semi").join(done, "poi", "left_anti"), "going")
-        if going.isEmpty():
-            break
-        hop += 1
-        last = last.unionByName(going.withColumn("hop", F.lit(hop)))  # an empty frontier is a hop of its own
-        step = fresh.drop("hop").join(going, "poi", "left_semi").join(both.withColumnRenamed("u", "node"), "node")
+        step = fresh.drop("hop").join(done, "poi", "left_anti").join(both.withColumnRenamed("u", "node"), "node")
         step = step.select("poi", F.col("v").alias("node")).distinct()
         fresh = cut(step.join(seen, ["poi", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         seen = seen.unionByName(fresh)
-    nodes = seen.join(attack.withColumn("hit", F.lit(1)), "node", "left").groupBy("poi", "hop")
-    rows = last.join(nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count("hit").alias("hits")), ["poi", "hop"], "left").fillna(0, ["nodes", "hits"])
-    w = Window.partitionBy("poi").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("poi", "hop", F.sum("nodes").over(w).alias("visited"), F.sum("hits").over(w).alias("gt_covered"))
+    found = seen.join(attack.withColumn("hit", F.lit(1)), "node", "left").groupBy("poi", "hop")
+    found = found.agg(F.count(F.lit(1)).alias("nodes"), F.count("hit").alias("hits"))
+    w = Window.partitionBy("poi").orderBy("hop")  # at most max_hop + 1 rows
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = found.select("poi", "hop", F.sum("nodes").over(upto).alias("visited"), F.sum("hits").over(upto).alias("gt_covered"), F.lead("hop").over(w).alias("next"))
+    open_ = (F.col("gt_covered") < goal) if goal else F.lit(True)
+    empty = rows.where(F.col("next").isNull() & open_ & (F.col("hop") < max_hop)).withColumn("hop", F.col("hop") + 1)  # an empty frontier is a hop of its own
+    return rows.unionByName(empty).select("poi", "hop", "visited", "gt_covered")
 
 
 def components(members: DataFrame) -> DataFrame:
@@ -139,12 +134,14 @@ def components(members: DataFrame) -> DataFrame:
     star = members.join(least, "node").select("label", "to").where("label <> to").distinct()
     both = cut(star.unionByName(star.select(F.col("to").alias("label"), F.col("label").alias("to"))), "star")
     names = cut(members.select("label").distinct().select("label", F.col("label").alias("name")), "names")
+    both = both.withColumnRenamed("label", "node")
     while True:
-        near = both.join(names.select(F.col("label").alias("to"), "name"), "to").groupBy("label").agg(F.min("name").alias("near"))
+        index = names.select(F.col("label").alias("node"), "name")
+        near = follow(both, "to", index).groupBy(F.col("node").alias("label")).agg(F.min("found.name").alias("near"))
         low = names.join(near, "label", "left").select("label", F.col("name").alias("old"), F.least("name", F.coalesce("near", "name")).alias("low"))
-        low = cut(low, "low")
-        jump = low.select(F.col("label").alias("low"), F.col("low").alias("next"))
-        names = cut(low.join(jump, "low").select("label", "old", F.least("low", "next").alias("name")), "names")
+        low = cut(low.withColumnRenamed("label", "node"), "low")
+        jump = follow(low, "low", low.select("node", F.col("low").alias("next")))
+        names = cut(jump.select(F.col("node").alias("label"), "old", F.least("low", "found.next").alias("name")), "names")
         changed = names.where("name <> old").limit(1).count()
         names = names.select("label", "name")
         if not changed:
