@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.sources import profiles as fields
 from tracewright.sources.profiles import Profile
 
 
@@ -26,11 +27,11 @@ def classified(records: DataFrame, p: Profile) -> DataFrame:
 
 
 def _own(cls: str, p: Profile) -> str:
-    return rf'{p.version}\.{cls}":\{{"uuid":"(.*?)"'
+    return fields.OWN_UUID.format(v=p.version, c=cls)
 
 
 def _ref(name: str, p: Profile) -> str:
-    return rf'"{name}":\{{"com.bbn.tc.schema.avro.{p.version}.UUID":"(.*?)"\}}'
+    return fields.REFERENCE.format(v=p.version, f=name)
 
 
 def event_tuples(records: DataFrame, p: Profile) -> DataFrame:
@@ -46,11 +47,11 @@ def event_tuples(records: DataFrame, p: Profile) -> DataFrame:
         "file_ord",
         "line_off",
         first_match(_ref("subject", p)).alias("src_uuid"),
-        first_match('"type":"(.*?)"').alias("etype"),
+        first_match(fields.EVENT_TYPE).alias("etype"),
         first_match(_ref("predicateObject", p)).alias("dst_uuid"),
-        F.coalesce(first_match('"timestampNanos":(.*?),').try_cast("long"), F.lit(0)).alias("ts_ns"),
-        first_match(r'"predicateObjectPath":\{"string":"(.*?)"').alias("path"),
-        first_match(_ref("subject", p) + '.*?"exec":"(.*?)"', 2).alias("exec"),
+        F.coalesce(first_match(fields.EVENT_TIME).try_cast("long"), F.lit(0)).alias("ts_ns"),
+        first_match(fields.EVENT_PATH).alias("path"),
+        first_match(_ref("subject", p) + fields.EVENT_EXEC, 2).alias("exec"),
     )
     return found.where(F.col("etype").isin(*p.types) & F.col("src_uuid").isNotNull() & F.col("dst_uuid").isNotNull())
 
@@ -79,10 +80,10 @@ def subjects(records: DataFrame, p: Profile) -> DataFrame:
     """(uuid, attr, first_at) of the subjects; a repeated subject keeps the attribute of its last record."""
     if p.subject_rule == "exec_any":
         lines = records.where(F.col("value").contains("Event"))
-        pair = _ref("subject", p) + '.*?"exec":"(.*?)"'
+        pair = _ref("subject", p) + fields.EVENT_EXEC
         rows = _named(lines.select(first_match(pair).alias("uuid"), _at(), first_match(pair, 2).alias("name")), p)
     else:
-        rule = {"cmdLine": r'"cmdLine":\{"string":"(.*?)"\}', "path": '"path":"(.*?)"'}.get(p.subject_rule)
+        rule = {"cmdLine": fields.COMMAND_LINE, "path": fields.PLAIN_FIELD.format(f="path")}.get(p.subject_rule)
         rows = _members(records, p, "Subject", first_match(rule) if rule else F.lit(None).cast("string"))
         if p.subject_rule == "exec":  # names come from events of known subjects
             acted = event_tuples(records, p).where("exec is not null")
@@ -99,7 +100,7 @@ def subjects(records: DataFrame, p: Profile) -> DataFrame:
 def files(records: DataFrame, p: Profile) -> DataFrame:
     """(uuid, attr, first_at) of the files, under the profile's rule for which name wins."""
     if p.file_rule in ("filename", "path"):
-        rows = _members(records, p, "FileObject", first_match(f'"{p.file_rule}":"(.*?)"'))
+        rows = _members(records, p, "FileObject", first_match(fields.PLAIN_FIELD.format(f=p.file_rule)))
         rows = rows.where("name is not null") if p.strict else rows
         found = rows.groupBy("uuid").agg(_last("name", p.missing[1]), F.min("at").alias("first_at"))
         return found.where(~F.col("attr").isin(*p.unnamed)) if p.unnamed else found
@@ -107,7 +108,7 @@ def files(records: DataFrame, p: Profile) -> DataFrame:
     if p.file_rule == "event_any":
         lines = classified(records, p).where(F.col("rec_kind") == "Event")
         lines = lines.where(~F.col("value").contains('"predicateObjectPath":null,') & ~F.col("value").contains("<unknown>"))
-        path = F.coalesce(first_match(r'"predicateObjectPath":\{"string":"(.*?)"'), F.lit(p.missing[1]))
+        path = F.coalesce(first_match(fields.EVENT_PATH), F.lit(p.missing[1]))
         seen = lines.select(first_match(_ref("predicateObject", p)).alias("uuid"), _at(), path.alias("name"))
         found = seen.join(own.select("uuid").distinct(), "uuid", "left_semi").groupBy("uuid")
         return found.agg(F.max_by("name", "at").alias("attr"), F.min("at").alias("first_at")).where(~F.col("attr").isin(*p.unnamed))
@@ -121,11 +122,7 @@ def files(records: DataFrame, p: Profile) -> DataFrame:
 
 def sockets(records: DataFrame, p: Profile) -> DataFrame:
     """(uuid, attr, first_at): 'local address,port,remote address,port'; the last well-formed record wins, one id per uuid."""
-    if p.version == "cdm20":
-        flat = r'"localAddress":\{"string":"(.*?)"\},"localPort":\{"int":(.*?)\},"remoteAddress":\{"string":"(.*?)"\},"remotePort":\{"int":(.*?)\}'
-    else:
-        flat = '"localAddress":"(.*?)","localPort":(.*?),"remoteAddress":"(.*?)","remotePort":(.*?),'
-    whole = rf'NetFlowObject":\{{"uuid":"(?:.*?)"(?:.*?){flat}'
+    whole = fields.SOCKET + fields.ADDRESSES[p.version]
     name = F.when(F.col("value").rlike(whole), F.concat_ws(",", *(F.regexp_extract("value", whole, i) for i in range(1, 5))))
     rows = _members(records, p, "NetFlowObject", name)
     return rows.groupBy("uuid").agg(_last("name", p.missing[2]), F.min("at").alias("first_at"))

@@ -24,6 +24,28 @@ def write_entities_text(entities: DataFrame, path: str) -> None:
     entities.select("cls", line.alias("value")).write.mode("overwrite").partitionBy("cls").text(path)
 
 
+def write_blocks_text(texts: DataFrame, path: str) -> None:
+    """'<label> <blocks>' per line, of (label, text)."""
+    texts.select(F.concat_ws(" ", "label", "text").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_order_text(order: DataFrame, path: str) -> None:
+    """'<label> <node> <new_idx>' per line."""
+    order.select(F.concat_ws(" ", "label", F.col("node").cast("string"), F.col("new_idx").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_intra_text(intra: DataFrame, path: str) -> None:
+    """'<snapshot> <u> <v>' per line, of intra-community edges (label, u, v)."""
+    snapshot = F.split("label", r"\.")[0]
+    intra.select(F.concat_ws(" ", snapshot, F.col("u").cast("string"), F.col("v").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_memberships(members: DataFrame, path: str) -> None:
+    """A JSON line per node, {"node": ..., "labels": [...]}, labels in snapshot order."""
+    pairs = F.array_sort(F.collect_list(F.struct("snapshot_id", "label")))
+    members.groupBy("node").agg(F.transform(pairs, lambda p: p["label"]).alias("labels")).write.mode("overwrite").json(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report as JSON lines."""
     report.write.mode("overwrite").json(path)

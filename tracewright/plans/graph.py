@@ -361,6 +361,41 @@ def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(at).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("events"))
 
 
+def one_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of snapshots 0 and 1, read from the folders of a table."""
+    at = _folder(spark, "snapshots")
+    storage.write_table(snapshots.snapshot_edges(snapped(spark, sf_dir)), at, by="snapshot_id")
+    return raw_log.read_snapshots(spark, at, 0, 1).select("snapshot_id", "u", "v", "weight")
+
+
+def membership_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memberships written as JSON and read again."""
+    at = _folder(spark, "memberships")
+    storage.write_memberships(members_of(snapped(spark, sf_dir)), at)
+    return raw_log.read_memberships(spark, at)
+
+
+def block_table_text(members: DataFrame, intra: DataFrame, order: DataFrame) -> DataFrame:
+    """Block texts written and read again, parsed."""
+    at = _folder(members.sparkSession, "blocks")
+    storage.write_blocks_text(codec.block_text(codec.encode_blocks(codec.cells(intra, order))), at)
+    return codec.parse_block_text(raw_log.read_block_text(members.sparkSession, at))
+
+
+def order_table_text(members: DataFrame, intra: DataFrame, order: DataFrame) -> DataFrame:
+    """The node order written and read again."""
+    at = _folder(members.sparkSession, "order")
+    storage.write_order_text(order, at)
+    return raw_log.read_order_text(members.sparkSession, at)
+
+
+def intra_text(members: DataFrame, intra: DataFrame, order: DataFrame) -> DataFrame:
+    """Intra-community edges written as text and read again."""
+    at = _folder(members.sparkSession, "intra")
+    storage.write_intra_text(intra, at)
+    return raw_log.read_edge_list(members.sparkSession, at, src=1, dst=2)
+
+
 def poi_report(pick: Callable[[DataFrame], DataFrame]) -> Query:
     return _expand(None, lambda curve, visits, members, attack: pick(traverse.curve_summary(curve, attack.count())))
 
@@ -473,4 +508,9 @@ def queries() -> dict[str, Query]:
         "source_ids": source_ids,
         "entity_text": entity_text,
         "snapshot_table": snapshot_table,
+        "one_snapshot": one_snapshot,
+        "membership_json": membership_json,
+        "block_table_text": _coded(block_table_text),
+        "order_table_text": _coded(order_table_text),
+        "intra_text": _coded(intra_text),
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewright.operators.codec import DICTIONARY
 from tracewright.operators.traverse import MAX_HOP, MAX_POI
 from tracewright.plans.graph import BUDGETS, CHUNK, FULL, HUB, NODES, THRESHOLDS
+from tracewright.sources import profiles as fields
 from tracewright.sources.profiles import CONSIDERED, CONSIDERED_WIDE
 
 _TYPES = ", ".join(f"'{t}'" for t in CONSIDERED)
@@ -193,18 +194,18 @@ def _m(pattern: str, group: int = 1) -> str:
 
 
 def _own(version: str, cls: str) -> str:
-    return rf'{version}\.{cls}":\{{"uuid":"(.*?)"'
+    return fields.OWN_UUID.format(v=version, c=cls)
 
 
 def _events(version: str, types: str, flows: bool) -> str:
-    ref = rf'":\{{"com.bbn.tc.schema.avro.{version}.UUID":"(.*?)"\}}'
+    subject, target = (fields.REFERENCE.format(v=version, f=f) for f in ("subject", "predicateObject"))
     flat = "" if flows else " AND NOT contains(value, 'EVENT_FLOWS_TO')"
     return f"""
 tuples AS (
   SELECT * FROM (
-    SELECT file_ord, line_off, {_m('"subject' + ref)} AS src_uuid, {_m('"type":"(.*?)"')} AS etype, {_m('"predicateObject' + ref)} AS dst_uuid,
-      coalesce(try_cast({_m('"timestampNanos":(.*?),')} AS BIGINT), 0) AS ts_ns, {_m(r'"predicateObjectPath":\{"string":"(.*?)"')} AS path,
-      {_m('"subject' + ref + '.*?"exec":"(.*?)"', 2)} AS exec
+    SELECT file_ord, line_off, {_m(subject)} AS src_uuid, {_m(fields.EVENT_TYPE)} AS etype, {_m(target)} AS dst_uuid,
+      coalesce(try_cast({_m(fields.EVENT_TIME)} AS BIGINT), 0) AS ts_ns, {_m(fields.EVENT_PATH)} AS path,
+      {_m(subject + fields.EVENT_EXEC, 2)} AS exec
     FROM kinds WHERE k = 'Event'{flat})
   WHERE etype IN ({types}) AND src_uuid IS NOT NULL AND dst_uuid IS NOT NULL)"""
 
@@ -214,12 +215,8 @@ def _members(version: str, cls: str, name: str) -> str:
 
 
 _AT = "min(file_ord) AS file_ord, arg_min(line_off, (file_ord, line_off)) AS line_off"
-_NET18 = '"localAddress":"(.*?)","localPort":(.*?),"remoteAddress":"(.*?)","remotePort":(.*?),'
-_NET20 = r'"localAddress":\{"string":"(.*?)"\},"localPort":\{"int":(.*?)\},"remoteAddress":\{"string":"(.*?)"\},"remotePort":\{"int":(.*?)\}'
-
-
-def _socket_name(flat: str) -> str:
-    whole = rf'NetFlowObject":\{{"uuid":"(?:.*?)"(?:.*?){flat}'
+def _socket_name(version: str) -> str:
+    whole = fields.SOCKET + fields.ADDRESSES[version]
     parts = " || ',' || ".join(f"regexp_extract(value, '{whole}', {i})" for i in range(1, 5))
     return f"CASE WHEN regexp_matches(value, '{whole}') THEN {parts} END"
 
@@ -229,21 +226,20 @@ def _last_named(version: str, cls: str, name: str, missing: str, keep: str = "tr
     return f"SELECT uuid, coalesce({latest}, '{missing}') AS attr, {_AT} FROM {_members(version, cls, name)} WHERE uuid IS NOT NULL AND {keep} GROUP BY uuid"
 
 
-_CMD = r'"cmdLine":\{"string":"(.*?)"\}'
-_PATH = r'"predicateObjectPath":\{"string":"(.*?)"'
-_OBJECT18 = r'"predicateObject":\{"com.bbn.tc.schema.avro.cdm18.UUID":"(.*?)"\}'
-_EXEC18 = r'"subject":\{"com.bbn.tc.schema.avro.cdm18.UUID":"(.*?)"\}.*?"exec":"(.*?)"'
+_CMD, _PATH = fields.COMMAND_LINE, fields.EVENT_PATH
+_OBJECT18 = fields.REFERENCE.format(v="cdm18", f="predicateObject")
+_EXEC18 = fields.REFERENCE.format(v="cdm18", f="subject") + fields.EVENT_EXEC
 _SUBJECTS18 = (
     "SELECT uuid, arg_max(coalesce(name, 'null'), (file_ord, line_off)) AS attr, "
     + _AT
     + " FROM "
-    + _members("cdm18", "Subject", _m(r'"cmdLine":\{"string":"(.*?)"\}'))
+    + _members("cdm18", "Subject", _m(_CMD))
     + " WHERE uuid IS NOT NULL GROUP BY uuid"
 )
 _FILES18 = f"""SELECT uuid, arg_min(name, (file_ord, line_off)) AS attr, {_AT} FROM (
   SELECT * FROM {_members("cdm18", "FileObject", "''")} WHERE uuid IS NOT NULL
   UNION ALL SELECT dst_uuid, file_ord, line_off, path FROM tuples WHERE path IS NOT NULL) GROUP BY uuid"""
-_SOCKETS18 = _last_named("cdm18", "NetFlowObject", _socket_name(_NET18), "null")
+_SOCKETS18 = _last_named("cdm18", "NetFlowObject", _socket_name("cdm18"), "null")
 
 _FAST = "WITH " + _kinds("cdm18") + "," + _events("cdm18", _TYPES, False)
 
@@ -393,7 +389,7 @@ SELECT * FROM (SELECT uuid, arg_max(name, (file_ord, line_off)) AS attr, {_AT} F
         + _kinds("cdm18")
         + _last_named("cdm18", "Subject", _m(_CMD), "null", "name <> '' AND len(uuid) <> 64"),
         "cdm18_files_by_path": "WITH" + _kinds("cdm18") + _last_named("cdm18", "FileObject", _m('"path":"(.*?)"'), "", "name IS NOT NULL"),
-        "cdm20_sockets": "WITH" + _kinds("cdm20") + _last_named("cdm20", "NetFlowObject", _socket_name(_NET20), "null"),
+        "cdm20_sockets": "WITH" + _kinds("cdm20") + _last_named("cdm20", "NetFlowObject", _socket_name("cdm20"), "null"),
         "parsed_entities": _PARSED + "SELECT * FROM ids",
         "entity_ids": """
 WITH one AS (
@@ -494,6 +490,11 @@ SELECT count(x) AS n, avg(x) AS mean, stddev_pop(x) AS deviation, median(x) AS m
         "edge_list": f"SELECT srcid AS src, dstid AS dst {_TIMED}",
         "source_ids": f"SELECT DISTINCT srcid AS entity_id {_TIMED}",
         "entity_text": "SELECT entity_id, cls, attr FROM entities WHERE cls = 'file' AND attr = trim(attr) AND NOT contains(attr, chr(10)) AND NOT contains(attr, chr(13))",
+        "one_snapshot": _tail("SELECT * FROM edges WHERE snapshot_id < 2"),
+        "membership_json": _tail("SELECT node, label FROM members"),
+        "block_table_text": _SNAP + _CODE + "SELECT * FROM blocks",
+        "order_table_text": _SNAP + _CODE + "SELECT label, node, new_idx FROM perm",
+        "intra_text": _tail("SELECT u AS src, v AS dst FROM intra"),
         "snapshot_table": _tail("SELECT snapshot_id, count(*) AS edges, sum(weight)::BIGINT AS events FROM edges GROUP BY snapshot_id"),
         "stream_hourly_counts": "SELECT date_trunc('hour', ingested_at) AS window_start, etype, count(*) AS n FROM prov_events WHERE ingested_at IS NOT NULL GROUP BY ALL",
     }

@@ -12,6 +12,22 @@ CONSIDERED = (
 CONSIDERED_WIDE = (*CONSIDERED, "EVENT_CLOSE", "EVENT_RECVFROM", "EVENT_SENDTO")
 
 
+#: The fields of a log line, dictated by its format. {v} stands for the version, {c} for a class, {f} for a field.
+OWN_UUID = r'{v}\.{c}":\{{"uuid":"(.*?)"'
+REFERENCE = r'"{f}":\{{"com.bbn.tc.schema.avro.{v}.UUID":"(.*?)"\}}'
+EVENT_TYPE = '"type":"(.*?)"'
+EVENT_TIME = '"timestampNanos":(.*?),'
+EVENT_PATH = r'"predicateObjectPath":\{"string":"(.*?)"'
+EVENT_EXEC = '.*?"exec":"(.*?)"'
+COMMAND_LINE = r'"cmdLine":\{"string":"(.*?)"\}'
+PLAIN_FIELD = '"{f}":"(.*?)"'
+ADDRESSES = {
+    "cdm18": '"localAddress":"(.*?)","localPort":(.*?),"remoteAddress":"(.*?)","remotePort":(.*?),',
+    "cdm20": r'"localAddress":\{"string":"(.*?)"\},"localPort":\{"int":(.*?)\},"remoteAddress":\{"string":"(.*?)"\},"remotePort":\{"int":(.*?)\}',
+}
+SOCKET = r'NetFlowObject":\{"uuid":"(?:.*?)"(?:.*?)'
+
+
 @dataclass(frozen=True)
 class Profile:
     """How to read one family of logs.

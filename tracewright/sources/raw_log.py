@@ -114,6 +114,23 @@ def read_block_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").contains(" ")).select(parts[0].alias("label"), parts[1].alias("text"))
 
 
+def read_order_text(spark: SparkSession, path: str) -> DataFrame:
+    """(label, node, new_idx): the node mapping of lines '<label> <node> <new_idx>'."""
+    return spark.read.csv(path, sep=" ", schema="label string, node long, new_idx int")
+
+
+def read_memberships(spark: SparkSession, path: str) -> DataFrame:
+    """(node, label): JSON lines {"node": ..., "labels": [...]}, a row per label; broken lines are skipped."""
+    lines = spark.read.schema("node long, labels array<string>").option("mode", "DROPMALFORMED").json(path)
+    return lines.where("node is not null").select("node", F.explode("labels").alias("label"))
+
+
+def read_snapshots(spark: SparkSession, path: str, *snapshots: int) -> DataFrame:
+    """(snapshot_id, u, v, weight): a table partitioned by snapshot, or only the folders of the snapshots named."""
+    edges = spark.read.parquet(path)
+    return edges.where(F.col("snapshot_id").isin(*snapshots)) if snapshots else edges
+
+
 def blocks_of(labels: DataFrame, blocks: DataFrame) -> DataFrame:
     """(label, br, bc, mask) of the wanted labels; one that has no blocks is a row of nulls."""
     return labels.select("label").distinct().join(blocks, "label", "left")
