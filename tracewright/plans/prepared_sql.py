@@ -261,13 +261,14 @@ def _field(name: str, kind: str) -> str:
 def _consistent(cls: str) -> str:
     """All records of a class: each column from its own name or, where that gives nothing, the first other name that does; the rest as JSON."""
     columns = [c.split() for line in _TABLES[cls].split("\n") for c in line.split(";") if c.strip()]
-    cells = [f"{_field(n, kind)} AS \"{column}:{n}\"" for column, kind, *names in columns for n in names]
+    # numbered, as names that differ in case only are one to SQL
+    cells = [f"{_field(n, kind)} AS \"{column}:{i}\"" for column, kind, *names in columns for i, n in enumerate(names)]
     picks, taken = [], []
     for column, _, *names in columns:
-        picks.append(f"coalesce({', '.join(f'"{column}:{n}"' for n in names)}) AS \"{column}\"")
+        picks.append(f"coalesce({', '.join(f'"{column}:{i}"' for i in range(len(names)))}) AS \"{column}\"")
         for i, n in enumerate(names):
-            before = "".join(f" AND \"{column}:{m}\" IS NULL" for m in names[:i])
-            taken.append(f"(k = '{n}' AND \"{column}:{n}\" IS NOT NULL{before})")
+            before = "".join(f" AND \"{column}:{j}\" IS NULL" for j in range(i))
+            taken.append(f"(k = '{n}' AND \"{column}:{i}\" IS NOT NULL{before})")
     own = ", ".join(f"'{column}'" for column, *_ in columns)
     return f"""
 WITH body AS (
