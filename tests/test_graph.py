@@ -345,3 +345,21 @@ def test_plain_restore_loses_what_coding_confused(spark):
 
     df = spark.createDataFrame([("/etc1/lib",), ("/usr/x",)], "t string").select("t", codec.restore(codec.compress(F.col("t"))).alias("back"))
     assert rows(df) == [("/etc1/lib", "$2/lib1$"), ("/usr/x", "/usr/x")]
+
+
+def _many_snapshots(spark, monkeypatch, tmp_path, n):
+    """Queries get n snapshots of two edges, one of them of two events, and write under tmp_path."""
+    from tracewright.plans import graph
+
+    snaps = spark.range(n * 3).selectExpr("id AS pos", "id AS seq", "CAST(id DIV 3 AS INT) AS snapshot_id", "id DIV 3 AS src", "id DIV 3 + least(id % 3, 1) AS dst")
+    monkeypatch.setattr(graph, "snapped", lambda spark, sf_dir: snaps.repartition(4))
+    monkeypatch.setattr(graph, "_folder", lambda spark, name: str(tmp_path / name))
+    return graph, tmp_path / "snapshots"
+
+
+def test_snapshot_table_has_few_files(spark, monkeypatch, tmp_path):
+    graph, at = _many_snapshots(spark, monkeypatch, tmp_path, 2100)
+    assert rows(graph.snapshot_table(spark, ""), "snapshot_id", "edges", "events") == order((i, 2, 3) for i in range(2100))
+    assert len(list(at.glob("*=*"))) == 3 and 3 <= len(list(at.rglob("*.parquet"))) <= 12
+    graph, at = _many_snapshots(spark, monkeypatch, tmp_path, 0)
+    assert graph.snapshot_table(spark, "").count() == 0

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Snapshots in a folder of a snapshot table. Readers rely on it.
+FOLDER_SNAPSHOTS = 1000
+
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     """A Parquet table, partitioned by a column such as snapshot_id so that scans prune."""
@@ -12,6 +15,18 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def write_snapshots(edges: DataFrame, path: str) -> None:
+    """Snapshot edges (snapshot_id, u, v, weight) as a Parquet table, a folder for each FOLDER_SNAPSHOTS snapshots, named by the first of them.
+
+    A folder per snapshot would be as many files as snapshots, and more, as each task writes its own. Here a folder is
+    written by one task, or by a few where it is large, and its rows are sorted by snapshot, so that scans skip the
+    other folders, and within one what Parquet's statistics rule out.
+    """
+    first = (F.col("snapshot_id") - F.col("snapshot_id") % FOLDER_SNAPSHOTS).alias("first_snapshot")
+    placed = edges.select("*", first).hint("rebalance", "first_snapshot").sortWithinPartitions("first_snapshot", "snapshot_id")
+    placed.write.mode("overwrite").partitionBy("first_snapshot").parquet(path)
+
+
 def write_events_text(events: DataFrame, path: str) -> None:
     """'<src> <etype> <dst> <ts>' per line; a missing time is 0."""
     line = F.concat_ws(" ", F.col("src").cast("string"), "etype", F.col("dst").cast("string"), F.coalesce("ts_ns", F.lit(0)).cast("string"))

@@ -355,10 +355,10 @@ def entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot edges written by snapshot and counted from the table."""
+    """Snapshot edges written in folders of snapshots and counted from the table."""
     at = _folder(spark, "snapshots")
-    storage.write_table(snapshots.snapshot_edges(snapped(spark, sf_dir)), at, by="snapshot_id")
-    return spark.read.parquet(at).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("events"))
+    storage.write_snapshots(snapshots.snapshot_edges(snapped(spark, sf_dir)), at)
+    return raw_log.read_snapshots(spark, at).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("events"))
 
 
 def one_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:

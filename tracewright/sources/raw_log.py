@@ -126,9 +126,13 @@ def read_memberships(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, path: str, *snapshots: int) -> DataFrame:
-    """(snapshot_id, u, v, weight): a table partitioned by snapshot, or only the folders of the snapshots named."""
-    edges = spark.read.parquet(path)
-    return edges.where(F.col("snapshot_id").isin(*snapshots)) if snapshots else edges
+    """(snapshot_id, u, v, weight): a table of snapshots, in folders of one or of many, or only the snapshots named.
+
+    An empty table has no file and gives no row.
+    """
+    edges = spark.read.schema("snapshot_id int, u long, v long, weight long").parquet(path)
+    kept = edges.where(F.col("snapshot_id").isin(*snapshots)) if snapshots else edges
+    return kept.select("snapshot_id", "u", "v", "weight")
 
 
 def blocks_of(labels: DataFrame, blocks: DataFrame) -> DataFrame:
