@@ -363,3 +363,24 @@ def test_snapshot_table_has_few_files(spark, monkeypatch, tmp_path):
     assert len(list(at.glob("*=*"))) == 3 and 3 <= len(list(at.rglob("*.parquet"))) <= 12
     graph, at = _many_snapshots(spark, monkeypatch, tmp_path, 0)
     assert graph.snapshot_table(spark, "").count() == 0
+
+
+def test_one_snapshot_is_read_from_its_folder(spark, monkeypatch, tmp_path):
+    import shutil
+
+    from tracewright.operators.storage import write_table
+
+    graph, at = _many_snapshots(spark, monkeypatch, tmp_path, 2100)
+    assert rows(graph.one_snapshot(spark, "")) == [(0, 0, 0, 1), (0, 0, 1, 2), (1, 1, 1, 1), (1, 1, 2, 2)]
+    assert len(list(at.glob("*=*"))) == 3 and 3 <= len(list(at.rglob("*.parquet"))) <= 12
+    assert rows(raw_log.read_snapshots(spark, str(at), 999, 1000, 2099, 2100), "snapshot_id", "u", "v") == order((s, s, s + d) for s in (999, 1000, 2099) for d in (0, 1))
+    every = raw_log.read_snapshots(spark, str(at))
+    assert every.count() == every.distinct().count() == 4200
+    write_table(every.where("snapshot_id < 4"), str(tmp_path / "each"), by="snapshot_id")
+    assert rows(raw_log.read_snapshots(spark, str(tmp_path / "each"), 3)) == [(3, 3, 3, 1), (3, 3, 4, 2)]
+    named = raw_log.read_snapshots(spark, str(at), 0, 1)
+    for folder in ("first_snapshot=1000", "first_snapshot=2000"):
+        shutil.rmtree(at / folder)
+    assert named.count() == 4
+    graph, at = _many_snapshots(spark, monkeypatch, tmp_path, 0)
+    assert graph.one_snapshot(spark, "").count() == 0

@@ -364,8 +364,8 @@ def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of snapshots 0 and 1, read from the folders of a table."""
     at = _folder(spark, "snapshots")
-    storage.write_table(snapshots.snapshot_edges(snapped(spark, sf_dir)), at, by="snapshot_id")
-    return raw_log.read_snapshots(spark, at, 0, 1).select("snapshot_id", "u", "v", "weight")
+    storage.write_snapshots(snapshots.snapshot_edges(snapped(spark, sf_dir)), at)
+    return raw_log.read_snapshots(spark, at, 0, 1)
 
 
 def membership_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators.ordering import with_position
+from tracewright.operators.storage import FOLDER_SNAPSHOTS
 
 
 @dataclass(frozen=True)
@@ -126,12 +127,15 @@ def read_memberships(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, path: str, *snapshots: int) -> DataFrame:
-    """(snapshot_id, u, v, weight): a table of snapshots, in folders of one or of many, or only the snapshots named.
+    """(snapshot_id, u, v, weight): a table of snapshots, in folders of one or of many, or only the snapshots named, from their folders.
 
     An empty table has no file and gives no row.
     """
-    edges = spark.read.schema("snapshot_id int, u long, v long, weight long").parquet(path)
-    kept = edges.where(F.col("snapshot_id").isin(*snapshots)) if snapshots else edges
+    kept = spark.read.schema("snapshot_id int, u long, v long, weight long").parquet(path)
+    if snapshots:
+        if "first_snapshot" in kept.columns:
+            kept = kept.where(F.col("first_snapshot").isin(*{s - s % FOLDER_SNAPSHOTS for s in snapshots}))
+        kept = kept.where(F.col("snapshot_id").isin(*snapshots))
     return kept.select("snapshot_id", "u", "v", "weight")
 
 
